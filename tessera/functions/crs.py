@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .geometry import BBOX_FIELDS, bbox, col, point
+from .geometry import bbox, col, point
 from .tiles import EARTH_RADIUS
 
 # Ellipsoids and the foot of the US survey.
@@ -126,166 +126,164 @@ def with_crs(df: DataFrame, epsg_col: str = "epsg", name: str = "crs") -> DataFr
     return df.join(F.broadcast(packed), F.col(epsg_col) == F.col("__crs_epsg"), "left").drop("__crs_epsg")
 
 
-def crs_literal(epsg: int) -> Column:
-    """CRS parameters of one known code as a constant struct."""
+def crs_literal(epsg: int) -> str:
+    """CRS parameters of one known code as a constant, in SQL text."""
     for row in crs_rows():
         if row[0] == epsg:
             break
     else:
         raise ValueError(f"unknown EPSG code {epsg}")
-    fields = [f.strip().split(" ") for f in CRS_SCHEMA.split(", ")]
-    parts = []
-    for value, (name, kind) in zip(row, fields):
-        lit = F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value)
-        parts.append(lit.cast(kind).alias(name))
-    return F.struct(*parts)
 
+    def text(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return f"'{value}'"
+        if isinstance(value, list):
+            return f"array({', '.join(text(v) for v in value)})"
+        return f"{value}" if isinstance(value, int) else f"{value!r}D"
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.transform(F.array(value), body)[0]
+    fields = [f.split(" ") for f in CRS_SCHEMA.split(", ")]
+    parts = [f"'{name}', CAST({text(value)} AS {kind})" for value, (name, kind) in zip(row, fields)]
+    return f"named_struct({', '.join(parts)})"
 
 
-def _dot(coefficients: Column, term) -> Column:
-    total = F.lit(0.0)
-    for j in range(4):
-        total = total + coefficients[j] * term(2.0 * (j + 1))
-    return total
+# The formulas are SQL text: long expressions are parsed in one go that way, instead of being put together
+# by thousands of calls into the JVM. ``c`` names the CRS struct; lambda variables get distinct names.
 
 
-def _geodetic_lat(conformal: Column, delta: Column) -> Column:
-    return conformal + _dot(delta, lambda k: F.sin(conformal * k))
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _conformal_tan_col(lat: Column, e: Column) -> Column:
-    s = F.sin(lat)
-    return F.sinh(F.atanh(s) - e * F.atanh(e * s))
+def _point(x: str, y: str) -> str:
+    return f"named_struct('x', {x}, 'y', {y})"
 
 
-def web_to_lonlat(p) -> Column:
-    p = col(p)
-    r = F.lit(EARTH_RADIUS)
-    return point(F.degrees(p["x"] / r), F.degrees(F.atan(F.sinh(p["y"] / r))))
+def _sum4(coefficients: str, first: str, second: str = "") -> str:
+    """Sum over j = 1..4 of coefficient j times the two factors at multiple 2j."""
+    terms = []
+    for j in range(4):
+        factors = [f"{coefficients}[{j}]", first.format(k=f"{2.0 * (j + 1)}D")]
+        if second:
+            factors.append(second.format(k=f"{2.0 * (j + 1)}D"))
+        terms.append(" * ".join(factors))
+    return f"({' + '.join(terms)})"
 
 
-def lonlat_to_web(p) -> Column:
-    p = col(p)
-    r = F.lit(EARTH_RADIUS)
-    return point(r * F.radians(p["x"]), r * F.asinh(F.tan(F.radians(p["y"]))))
+def _geodetic(conformal: str, c: str) -> str:
+    """Latitude in degrees from a conformal latitude."""
+    return _let("chi", conformal, f"degrees(chi + {_sum4(f'{c}.delta', 'sin(chi * {k})')})")
 
 
-def to_lonlat(p, crs) -> Column:
-    """Point in the system described by ``crs`` -> longitude, latitude in degrees."""
-    p, c = col(p), col(crs)
-    east = p["x"] * c["unit"] - c["fe"]
-    north = p["y"] * c["unit"] - c["fn"]
-
-    def tm(s: Column) -> Column:
-        primed = F.struct(
-            (s["u"] - _dot(c["beta"], lambda k: F.sin(s["u"] * k) * F.cosh(s["v"] * k))).alias("u"),
-            (s["v"] - _dot(c["beta"], lambda k: F.cos(s["u"] * k) * F.sinh(s["v"] * k))).alias("v"),
-        )
-
-        def finish(q: Column) -> Column:
-            chi = F.asin(F.sin(q["u"]) / F.cosh(q["v"]))
-            lon = c["lon0"] + F.atan2(F.sinh(q["v"]), F.cos(q["u"]))
-            lat = _let(chi, lambda x: _geodetic_lat(x, c["delta"]))
-            return point(F.degrees(lon), F.degrees(lat))
-
-        return _let(primed, finish)
-
-    start = F.struct((c["offset"] + north / c["scale"]).alias("u"), (east / c["scale"]).alias("v"))
-    down = c["offset"] - north
-    rho = F.sqrt(east * east + down * down)
-    theta = F.atan2(east, down)
-    chi = F.lit(math.pi / 2) - F.lit(2.0) * F.atan(F.pow(rho / c["scale"], F.lit(1.0) / c["cone"]))
-    lcc = point(
-        F.degrees(theta / c["cone"] + c["lon0"]),
-        F.degrees(_let(chi, lambda x: _geodetic_lat(x, c["delta"]))),
+def _web_to_lonlat(x: str, y: str) -> str:
+    return _point(f"degrees({x} / {EARTH_RADIUS}D)", f"degrees(atan(sinh({y} / {EARTH_RADIUS}D)))")
+
+
+def _lonlat_to_web(x: str, y: str) -> str:
+    return _point(f"{EARTH_RADIUS}D * radians({x})", f"{EARTH_RADIUS}D * asinh(tan(radians({y})))")
+
+
+def _to_lonlat(x: str, y: str, c: str) -> str:
+    east, north = f"({x} * {c}.unit - {c}.fe)", f"({y} * {c}.unit - {c}.fn)"
+    straight = f"named_struct('u', {c}.offset + {north} / {c}.scale, 'v', {east} / {c}.scale)"
+    primed = "named_struct('u', s.u - {0}, 'v', s.v - {1})".format(
+        _sum4(f"{c}.beta", "sin(s.u * {k})", "cosh(s.v * {k})"), _sum4(f"{c}.beta", "cos(s.u * {k})", "sinh(s.v * {k})")
+    )
+    tm_point = _point(
+        f"degrees({c}.lon0 + atan2(sinh(q.v), cos(q.u)))", _geodetic("asin(sin(q.u) / cosh(q.v))", c)
+    )
+    tm = _let("s", straight, _let("q", primed, tm_point))
+    polar = f"named_struct('e', {east}, 'd', {c}.offset - {north})"
+    radius = f"sqrt(s.e * s.e + s.d * s.d) / {c}.scale"
+    lcc_point = _point(
+        f"degrees(atan2(s.e, s.d) / {c}.cone + {c}.lon0)",
+        _geodetic(f"{math.pi / 2}D - 2 * atan(power({radius}, 1 / {c}.cone))", c),
     )
     return (
-        F.when(c["method"] == "geographic", point(p["x"], p["y"]))
-        .when(c["method"] == "web", web_to_lonlat(p))
-        .when(c["method"] == "tm", _let(start, tm))
-        .when(c["method"] == "lcc", lcc)
+        f"CASE {c}.method WHEN 'geographic' THEN {_point(x, y)} WHEN 'web' THEN {_web_to_lonlat(x, y)} "
+        f"WHEN 'tm' THEN {tm} WHEN 'lcc' THEN {_let('s', polar, lcc_point)} END"
     )
 
 
-def from_lonlat(p, crs) -> Column:
-    """Longitude, latitude in degrees -> point in the system described by ``crs``."""
-    p, c = col(p), col(crs)
-    lam = F.radians(p["x"]) - c["lon0"]
-    phi = F.radians(p["y"])
-    tan_chi = _conformal_tan_col(phi, c["e"])
-
-    def tm(s: Column) -> Column:
-        primed = F.struct(
-            F.atan2(s["t"], F.cos(s["lam"])).alias("u"),
-            F.atanh(F.sin(s["lam"]) / F.sqrt(s["t"] * s["t"] + 1.0)).alias("v"),
-        )
-
-        def finish(q: Column) -> Column:
-            u = q["u"] + _dot(c["alpha"], lambda k: F.sin(q["u"] * k) * F.cosh(q["v"] * k))
-            v = q["v"] + _dot(c["alpha"], lambda k: F.cos(q["u"] * k) * F.sinh(q["v"] * k))
-            return point(
-                (c["fe"] + c["scale"] * v) / c["unit"], (c["fn"] + c["scale"] * (u - c["offset"])) / c["unit"]
-            )
-
-        return _let(primed, finish)
-
-    rho = c["scale"] * F.exp(-c["cone"] * F.asinh(tan_chi))
-    theta = c["cone"] * lam
-    lcc = point(
-        (c["fe"] + rho * F.sin(theta)) / c["unit"],
-        (c["fn"] + c["offset"] - rho * F.cos(theta)) / c["unit"],
+def _from_lonlat(x: str, y: str, c: str) -> str:
+    tan_chi = f"sinh(atanh(sin(radians({y}))) - {c}.e * atanh({c}.e * sin(radians({y}))))"
+    given = f"named_struct('t', {tan_chi}, 'l', radians({x}) - {c}.lon0)"
+    primed = "named_struct('u', atan2(s.t, cos(s.l)), 'v', atanh(sin(s.l) / sqrt(s.t * s.t + 1)))"
+    u = "(q.u + {0})".format(_sum4(f"{c}.alpha", "sin(q.u * {k})", "cosh(q.v * {k})"))
+    v = "(q.v + {0})".format(_sum4(f"{c}.alpha", "cos(q.u * {k})", "sinh(q.v * {k})"))
+    tm_point = _point(
+        f"({c}.fe + {c}.scale * {v}) / {c}.unit", f"({c}.fn + {c}.scale * ({u} - {c}.offset)) / {c}.unit"
+    )
+    tm = _let("s", given, _let("q", primed, tm_point))
+    rho = f"({c}.scale * exp(-{c}.cone * asinh(s.t)))"
+    lcc_point = _point(
+        f"({c}.fe + {rho} * sin({c}.cone * s.l)) / {c}.unit",
+        f"({c}.fn + {c}.offset - {rho} * cos({c}.cone * s.l)) / {c}.unit",
     )
     return (
-        F.when(c["method"] == "geographic", point(p["x"], p["y"]))
-        .when(c["method"] == "web", lonlat_to_web(p))
-        .when(c["method"] == "tm", _let(F.struct(tan_chi.alias("t"), lam.alias("lam")), tm))
-        .when(c["method"] == "lcc", lcc)
+        f"CASE {c}.method WHEN 'geographic' THEN {_point(x, y)} WHEN 'web' THEN {_lonlat_to_web(x, y)} "
+        f"WHEN 'tm' THEN {tm} WHEN 'lcc' THEN {_let('s', given, lcc_point)} END"
     )
 
 
-def reproject_point(p, source, target) -> Column:
-    return _let(to_lonlat(p, source), lambda g: from_lonlat(g, target))
+def _moved(points: str, source: str, target: str | None) -> str:
+    """Points through longitude/latitude into ``target``, or into EPSG:3857 when that is None."""
+    out = _lonlat_to_web("g.x", "g.y") if target is None else _from_lonlat("g.x", "g.y", target)
+    return f"transform({points}, p -> {_let('g', _to_lonlat('p.x', 'p.y', source), out)})"
+
+
+def to_lonlat(p: str, crs: str) -> Column:
+    """Point (SQL text) in the system described by ``crs`` -> longitude, latitude in degrees."""
+    return F.expr(_let("p", p, _to_lonlat("p.x", "p.y", crs)))
+
+
+def from_lonlat(p: str, crs: str) -> Column:
+    """Longitude, latitude in degrees -> point in the system described by ``crs``."""
+    return F.expr(_let("p", p, _from_lonlat("p.x", "p.y", crs)))
+
 
+def reproject_ring(ring: str, source: str, target: str) -> Column:
+    """Point-wise transform of a ring column; null when either system is unknown.
 
-def reproject_ring(ring, source, target) -> Column:
-    """Point-wise transform; null when either system is unknown."""
-    s, t = col(source), col(target)
-    known = s["method"].isNotNull() & t["method"].isNotNull()
-    return F.when(known, F.transform(col(ring), lambda p: reproject_point(p, s, t)))
+    ``source`` and ``target`` are CRS struct columns (see ``with_crs``) or ``crs_literal`` texts.
+    """
+    return F.expr(f"CASE WHEN {source}.method IS NOT NULL AND {target}.method IS NOT NULL THEN {_moved(ring, source, target)} END")
 
 
-def web_ring(ring, source) -> Column:
+def web_ring(ring: str, source: str) -> Column:
     """Ring in EPSG:3857; rings already there are passed through unchanged."""
-    s = col(source)
-    moved = F.transform(col(ring), lambda p: _let(to_lonlat(p, s), lonlat_to_web))
-    return F.when(s["method"] == "web", col(ring)).when(s["method"].isNotNull(), moved)
+    return F.expr(
+        f"CASE WHEN {source}.method = 'web' THEN {ring} WHEN {source}.method IS NOT NULL THEN {_moved(ring, source, None)} END"
+    )
 
 
-def _corners(box: Column) -> Column:
-    return F.array(
-        point(box["xmin"], box["ymin"]),
-        point(box["xmax"], box["ymin"]),
-        point(box["xmax"], box["ymax"]),
-        point(box["xmin"], box["ymax"]),
+def reproject_bbox(box: str, source: str, target: str) -> Column:
+    """Box around the four transformed corners; null when the box or either system is missing."""
+    b = box
+    corners = (
+        f"array({_point(f'{b}.xmin', f'{b}.ymin')}, {_point(f'{b}.xmax', f'{b}.ymin')}, "
+        f"{_point(f'{b}.xmax', f'{b}.ymax')}, {_point(f'{b}.xmin', f'{b}.ymax')})"
+    )
+    xs, ys = "transform(m, v -> v.x)", "transform(m, v -> v.y)"
+    around = (
+        f"named_struct('xmin', array_min({xs}), 'ymin', array_min({ys}), 'xmax', array_max({xs}), 'ymax', array_max({ys}))"
     )
+    known = f"{b} IS NOT NULL AND {source}.method IS NOT NULL AND {target}.method IS NOT NULL"
+    return F.expr(f"CASE WHEN {known} THEN {_let('m', _moved(corners, source, target), around)} END")
 
 
-def _corner_box(corners: Column) -> Column:
-    xs = F.transform(corners, lambda p: p["x"])
-    ys = F.transform(corners, lambda p: p["y"])
-    return bbox(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+def web_to_lonlat(p) -> Column:
+    p = col(p)
+    r = F.lit(EARTH_RADIUS)
+    return point(F.degrees(p["x"] / r), F.degrees(F.atan(F.sinh(p["y"] / r))))
 
 
-def reproject_bbox(box, source, target) -> Column:
-    """Box around the four transformed corners."""
-    b, s, t = col(box), col(source), col(target)
-    known = b.isNotNull() & s["method"].isNotNull() & t["method"].isNotNull()
-    corners = F.transform(_corners(b), lambda p: reproject_point(p, s, t))
-    return F.when(known, _let(corners, _corner_box))
+def lonlat_to_web(p) -> Column:
+    p = col(p)
+    r = F.lit(EARTH_RADIUS)
+    return point(r * F.radians(p["x"]), r * F.asinh(F.tan(F.radians(p["y"]))))
 
 
 def web_bbox_to_lonlat(box) -> Column:
@@ -299,10 +297,3 @@ def lonlat_bbox_to_web(box) -> Column:
     b = col(box)
     low, high = lonlat_to_web(point(b["xmin"], b["ymin"])), lonlat_to_web(point(b["xmax"], b["ymax"]))
     return F.when(b.isNotNull(), bbox(low["x"], low["y"], high["x"], high["y"]))
-
-
-__all__ = [
-    "BBOX_FIELDS", "crs_literal", "crs_rows", "crs_table", "from_lonlat", "lonlat_bbox_to_web", "lonlat_to_web",
-    "reproject_bbox", "reproject_point", "reproject_ring", "to_lonlat", "web_bbox_to_lonlat", "web_ring",
-    "web_to_lonlat", "with_crs",
-]

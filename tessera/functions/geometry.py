@@ -155,6 +155,11 @@ def bbox_contains(outer, inner) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _edges(ring: Column) -> Column:
     n = F.size(ring) - 1
     return F.zip_with(
@@ -164,11 +169,6 @@ def _edges(ring: Column) -> Column:
     )
 
 
-def _side(edge: Column, p: Column) -> Column:
-    """Positive when ``p`` lies left of the directed edge."""
-    return (edge["x2"] - edge["x1"]) * (p["y"] - edge["y1"]) - (edge["y2"] - edge["y1"]) * (p["x"] - edge["x1"])
-
-
 def _signed_area(ring: Column) -> Column:
     """Shoelace sum of a closed ring, taken relative to its first vertex to keep the digits."""
     x0, y0 = ring[0]["x"], ring[0]["y"]
@@ -179,61 +179,81 @@ def _signed_area(ring: Column) -> Column:
 
 
 def ring_area(ring) -> Column:
-    return F.abs(_signed_area(col(ring)))
+    return let(col(ring), lambda r: F.abs(_signed_area(r)))
 
 
-def counter_clockwise(ring) -> Column:
-    """The ring with its vertices in counter-clockwise order."""
-    r = col(ring)
-    return F.when(_signed_area(r) < 0, F.reverse(r)).otherwise(r)
+def half_planes(ring) -> Column:
+    """A convex ring as the half-planes it is the intersection of.
 
+    Each is ``struct<a,b,x,y>`` with ``a*(px-x) + b*(py-y) >= 0`` inside; the winding of the ring does not
+    matter. Computed once per ring before a join, they make every later test plain arithmetic.
+    """
 
-def ring_intersects(a, b) -> Column:
-    """Closed intersection of two convex counter-clockwise rings by the separating-axis test."""
-    a, b = col(a), col(b)
+    def of(r: Column) -> Column:
+        def planes(sign: Column) -> Column:
+            return F.transform(
+                _edges(r),
+                lambda e: F.struct(
+                    (sign * (e["y1"] - e["y2"])).alias("a"),
+                    (sign * (e["x2"] - e["x1"])).alias("b"),
+                    e["x1"].alias("x"),
+                    e["y1"].alias("y"),
+                ),
+            )
 
-    def separated(r: Column, s: Column) -> Column:
-        return F.exists(_edges(r), lambda e: F.forall(s, lambda p: _side(e, p) < 0))
+        return let(F.when(_signed_area(r) < 0, F.lit(-1.0)).otherwise(F.lit(1.0)), planes)
 
-    return ~separated(a, b) & ~separated(b, a)
+    return let(col(ring), of)
 
 
-def ring_contains(outer, inner) -> Column:
-    """All vertices of ``inner`` lie in the closed convex counter-clockwise ring ``outer``."""
-    o, i = col(outer), col(inner)
-    return F.forall(_edges(o), lambda e: F.forall(i, lambda p: _side(e, p) >= 0))
+def _side(plane: Column, x: Column, y: Column) -> Column:
+    return plane["a"] * (x - plane["x"]) + plane["b"] * (y - plane["y"])
 
 
-def _rotate(points: Column) -> Column:
-    return F.concat(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+def box_misses_planes(box, planes) -> Column:
+    """Some half-plane excludes all of the box. With overlapping bounding boxes this decides intersection."""
+    b = col(box)
+
+    def outside(e: Column) -> Column:
+        x = F.when(e["a"] > 0, b["xmax"]).otherwise(b["xmin"])
+        y = F.when(e["b"] > 0, b["ymax"]).otherwise(b["ymin"])
+        return _side(e, x, y) < 0
+
+    return F.exists(col(planes), outside)
 
 
-def _clip(points: Column, edge: Column) -> Column:
-    """Part of an open convex vertex list on the left of one edge."""
+def box_within_planes(box, planes) -> Column:
+    """The whole box lies in the closed convex ring."""
+    b = col(box)
+
+    def holds(e: Column) -> Column:
+        x = F.when(e["a"] > 0, b["xmin"]).otherwise(b["xmax"])
+        y = F.when(e["b"] > 0, b["ymin"]).otherwise(b["ymax"])
+        return _side(e, x, y) >= 0
 
-    def step(p: Column, q: Column) -> Column:
-        dp, dq = _side(edge, p), _side(edge, q)
-        t = dp / (dp - dq)
-        cut = point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
-        return F.filter(
-            F.array(F.when(dp >= 0, point(p["x"], p["y"])), F.when(dp * dq < 0, cut)), lambda v: v.isNotNull()
-        )
+    return F.forall(col(planes), holds)
 
-    return F.flatten(F.zip_with(points, _rotate(points), step))
 
+def ring_intersects(a, b) -> Column:
+    """Closed intersection of two convex rings by the separating-axis test."""
 
-def clip_area(ring, rings) -> Column:
-    """Area of a convex ring inside the intersection of all the convex counter-clockwise ``rings``."""
-    start = F.slice(col(ring), F.lit(1), F.size(col(ring)) - 1)
-    edges = F.flatten(F.transform(col(rings), _edges))
-    left = F.aggregate(edges, start, _clip)
-    closed = F.concat(left, F.slice(left, 1, 1))
-    return F.when(F.size(left) < 3, F.lit(0.0)).otherwise(F.abs(_signed_area(closed)))
+    def separated(r: Column, s: Column) -> Column:
+        return F.exists(half_planes(r), lambda e: F.forall(s, lambda p: _side(e, p["x"], p["y"]) < 0))
+
+    return ~separated(col(a), col(b)) & ~separated(col(b), col(a))
+
+
+def ring_contains(outer, inner) -> Column:
+    """All vertices of ``inner`` lie in the closed convex ring ``outer``."""
+    i = col(inner)
+    return F.forall(half_planes(outer), lambda e: F.forall(i, lambda p: _side(e, p["x"], p["y"]) >= 0))
 
 
-def shift_ring(ring, dx, dy) -> Column:
-    """Ring moved by (-dx, -dy); used to work near the origin, where doubles are precise."""
-    return F.transform(col(ring), lambda p: point(p["x"] - col(dx), p["y"] - col(dy)))
+def ring_numbers(ring, x0=0.0, y0=0.0) -> Column:
+    """The four corners of a closed quadrilateral as eight numbers relative to (x0, y0)."""
+    r, dx, dy = col(ring), col(x0), col(y0)
+    corners = F.slice(r, 1, 4)
+    return F.flatten(F.transform(corners, lambda p: F.array(p["x"] - dx, p["y"] - dy)))
 
 
 # --- spatial order ----------------------------------------------------------------------------

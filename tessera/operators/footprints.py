@@ -48,12 +48,15 @@ def build_footprints(
 def with_web_copy(footprints: DataFrame) -> DataFrame:
     """Add native and web rings, the web box and the native zoom to rows with ``native_bbox`` and ``epsg``."""
     ringed = C.with_crs(footprints.withColumn("native_ring", G.ring_from_bbox("native_bbox")))
+    # ``inline`` evaluates the transform once per row; as a plain projection it would be repeated in every
+    # filter and field access further up.
+    moved = ringed.select("*", F.inline(F.array(F.struct(C.web_ring("native_ring", "crs").alias("__web"))))).drop("crs")
+    checked = F.struct(G.keep_finite_ring("__web").alias("web_ring"), G.ring_bbox("__web").alias("__box"))
     return (
-        ringed.withColumn("web_ring", C.web_ring("native_ring", "crs"))
-        .withColumn("web_ring", G.keep_finite_ring("web_ring"))
-        .withColumn("web_bbox", G.ring_bbox("web_ring"))
+        moved.select("*", F.inline(F.array(checked)))
+        .withColumn("web_bbox", F.when(F.col("web_ring").isNotNull(), F.col("__box")))
         .withColumn("native_zoom", T.native_zoom("web_bbox", "width"))
-        .drop("crs")
+        .drop("__web", "__box")
     )
 
 

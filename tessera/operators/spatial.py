@@ -14,7 +14,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import crs as C
 from ..functions import geometry as G
+from ..functions import polygons as P
 from ..functions import tiles as T
 
 # Fixed values of the classification.
@@ -82,7 +84,7 @@ def tile_footprint_join(
     """All (tile, footprint) pairs that intersect; touching counts.
 
     ``tiles`` has ``z, x, y`` (distinct per ``on``); ``footprints`` has the 3857 box column ``box`` and, for
-    exact polygon tests, the convex counter-clockwise 3857 ring column ``ring``. ``zoom`` is the tiles'
+    exact polygon tests, the 3857 ring column ``ring`` (a convex quadrilateral, closed, within ``box``). ``zoom`` is the tiles'
     zoom, as a number or as a column of ``footprints``. ``on`` names further equality keys, such as the
     collection. ``max_shift`` may state the coarsest grid when it is known (0 for footprints narrower
     than eight tiles); otherwise it is read from the footprints as a one-row subquery.
@@ -95,6 +97,10 @@ def tile_footprint_join(
     else:
         coarsest = F.lit(max_shift)
     kept = [c for c in footprints.columns if c not in on]
+    if ring is not None:
+        # Before the explode: once per footprint, not once per pair.
+        placed = placed.withColumn("__planes", G.half_planes(ring))
+        kept = [*kept, "__planes"]
     keys = ["__grid", "__cx", "__cy", *on]
     right = (
         placed.select("*", _cells("__x0", "__x1").alias("__cx"))
@@ -113,7 +119,7 @@ def tile_footprint_join(
     pairs = left.join(right, keys).withColumn("tile_bbox", T.tile_bbox("x", "y", "z"))
     hits = pairs.where(G.bbox_intersects("tile_bbox", box))
     if ring is not None:
-        hits = hits.where(G.ring_intersects(G.ring_from_bbox("tile_bbox"), ring))
+        hits = hits.where(~G.box_misses_planes("tile_bbox", "__planes"))
     return hits.select(*tiles.columns, "tile_bbox", *kept)
 
 
@@ -144,7 +150,7 @@ def tile_hits(
     if ring is None:
         inside = G.bbox_contains(box, "tile_bbox")
     else:
-        inside = G.ring_contains(ring, G.ring_from_bbox("tile_bbox"))
+        inside = G.box_within_planes("tile_bbox", "__planes")
     return _count_hits(tiles, pairs, inside, on)
 
 
@@ -182,24 +188,6 @@ def _union_of_unit_boxes(boxes: Column) -> Column:
     return total
 
 
-def _ring_coverage(rings: Column, target: Column) -> Column:
-    """Covered share of a convex ring by inclusion-exclusion over at most four convex rings."""
-    ox, oy = target[0]["x"], target[0]["y"]
-    moved = F.transform(rings, lambda r: G.shift_ring(r, ox, oy))
-    base = G.shift_ring(target, ox, oy)
-
-    def term(mask: Column) -> Column:
-        chosen = F.filter(
-            moved, lambda _r, i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1
-        )
-        sign = F.when(F.size(chosen) % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-        return sign * G.clip_area(base, chosen)
-
-    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(rings)) - 1)
-    total = F.aggregate(F.transform(masks, term), F.lit(0.0), lambda acc, t: acc + t)
-    return F.coalesce(total / F.nullif(G.ring_area(base), F.lit(0.0)), F.lit(0.0))
-
-
 def tile_coverage(
     hits: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None
 ) -> DataFrame:
@@ -214,8 +202,11 @@ def tile_coverage(
         gathered = pairs.groupBy(*_keys(on)).agg(F.array_sort(F.collect_list(part)).alias("__members"))
         share = _union_of_unit_boxes(F.col("__members"))
     else:
-        gathered = pairs.groupBy(*_keys(on)).agg(F.array_sort(F.collect_list(F.col(ring))).alias("__members"))
-        share = _ring_coverage(F.col("__members"), G.ring_from_bbox(T.tile_bbox("x", "y", "z")))
+        tile = F.col("tile_bbox")
+        near = G.ring_numbers(ring, tile["xmin"], tile["ymin"])  # near the origin doubles are precise
+        gathered = pairs.groupBy(*_keys(on)).agg(F.flatten(F.array_sort(F.collect_list(near))).alias("__members"))
+        size = T.tile_size("z")
+        share = P.quad_union_share(G.ring_numbers(G.ring_from_bbox(G.bbox(0.0, 0.0, size, size))), F.col("__members"))
     return gathered.select(*_keys(on), share.alias("coverage"))
 
 
@@ -263,7 +254,7 @@ def usable_tiles(classified: DataFrame) -> DataFrame:
 
 
 def classify_tiles_native(
-    tiles: DataFrame, footprints: DataFrame, zoom, native_box: str, web_box: str, crs: Column, on=()
+    tiles: DataFrame, footprints: DataFrame, zoom, native_box: str, web_box: str, crs: str, on=()
 ) -> DataFrame:
     """Classes computed in the footprints' own CRS: the tile is reprojected, the footprint stays a box.
 
@@ -271,30 +262,37 @@ def classify_tiles_native(
     pairs still come from the 3857 grid, with the web box grown by a tile so that the curvature of edges
     between corners cannot hide a pair; the exact test then runs on the reprojected tile.
     """
-    from ..functions import crs as C
-
     size = T.tile_size(zoom)
     w = F.col(web_box)
-    grown = footprints.withColumn(
-        "__search", G.bbox(w["xmin"] - size, w["ymin"] - size, w["xmax"] + size, w["ymax"] + size)
-    ).withColumn("__native_ring", G.ring_from_bbox(native_box))
+    grown = footprints.select(
+        *on,
+        F.col(native_box).alias("__native"),
+        G.bbox(w["xmin"] - size, w["ymin"] - size, w["xmax"] + size, w["ymax"] + size).alias("__search"),
+    )
 
     def with_native_tile(df: DataFrame) -> DataFrame:
-        source = C.crs_literal(3857)
-        ring = C.reproject_ring(G.ring_from_bbox(T.tile_bbox("x", "y", "z")), source, crs)
-        return df.withColumn("__tile_ring", G.counter_clockwise(ring))
+        # ``inline`` evaluates its argument once per tile and keeps later pushdown from repeating it.
+        ringed = df.withColumn("__web", G.ring_from_bbox(T.tile_bbox("x", "y", "z")))
+        moved = F.struct(C.reproject_ring("__web", C.crs_literal(3857), crs).alias("__ring"))
+        shaped = F.struct(G.ring_bbox("__ring").alias("__box"), G.half_planes("__ring").alias("__tile_planes"))
+        return ringed.select("*", F.inline(F.array(moved))).select("*", F.inline(F.array(shaped))).drop("__web")
 
     def exact(tile_rows: DataFrame) -> DataFrame:
         pairs = tile_footprint_join(with_native_tile(tile_rows), grown, zoom, "__search", on)
-        return pairs.where(G.ring_intersects("__tile_ring", "__native_ring"))
+        return pairs.where(
+            G.bbox_intersects("__native", "__box") & ~G.box_misses_planes("__native", "__tile_planes")
+        )
 
-    inside = G.ring_contains("__native_ring", "__tile_ring")
+    inside = G.bbox_contains("__native", "__box")
     hits = _count_hits(tiles, exact(tiles.select(*_keys(on))), inside, on)
+    corner = F.col("__box")
+    near = G.ring_numbers(G.ring_from_bbox("__native"), corner["xmin"], corner["ymin"])
+    target = G.ring_numbers("__ring", corner["xmin"], corner["ymin"])
     members = (
         exact(undecided(hits).select(*_keys(on)))
         .groupBy(*_keys(on))
-        .agg(F.array_sort(F.collect_list("__native_ring")).alias("__members"), F.first("__tile_ring").alias("__tile_ring"))
-        .select(*_keys(on), _ring_coverage(F.col("__members"), F.col("__tile_ring")).alias("coverage"))
+        .agg(F.flatten(F.array_sort(F.collect_list(near))).alias("__members"), F.first(target).alias("__target"))
+        .select(*_keys(on), P.quad_union_share(F.col("__target"), F.col("__members")).alias("coverage"))
     )
     return (
         hits.join(members, _keys(on), "left")
@@ -343,7 +341,7 @@ def bbox_window(
         (b["xmin"] <= xmax) & (b["xmax"] >= xmin) & (b["ymin"] <= ymax) & (b["ymax"] >= ymin)
     )
     if ring is not None:
-        found = found.where(G.ring_intersects(G.ring_from_bbox(G.bbox(xmin, ymin, xmax, ymax)), ring))
+        found = found.where(~G.box_misses_planes(G.bbox(xmin, ymin, xmax, ymax), G.half_planes(ring)))
     if order is not None:
         found = found.orderBy(order)
     return found if max_rows is None else found.limit(max_rows)
