@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import crs as C
@@ -16,15 +17,13 @@ SELECTION_SCHEMA = "state string, year string, uri string, label string"
 def judged_selections(raw: DataFrame) -> DataFrame:
     """Normalised selections with a ``problem`` column, null for good rows.
 
-    ``raw`` has ``state, year`` (as text), ``uri, label``.
+    ``raw`` has ``state, year`` (as text), ``uri, label``. Selections are configuration; the window over their
+    keys sees a handful of rows.
     """
     state = F.lower(F.trim(F.coalesce("state", F.lit(""))))
     year = F.col("year").cast("string").try_cast("int")
     shaped = raw.select(state.alias("state"), F.col("year").alias("__year"), year.alias("year"), "uri", "label")
-    copies = shaped.groupBy("state", "year").agg(F.count(F.lit(1)).alias("__copies"))
-    joined = shaped.join(copies, (shaped["state"] == copies["state"]) & shaped["year"].eqNullSafe(copies["year"]), "left").select(
-        shaped["state"], shaped["year"], "__year", "uri", "label", "__copies"
-    )
+    joined = shaped.withColumn("__copies", F.count(F.lit(1)).over(W.partitionBy("state", "year")))
     problem = (
         F.when(~F.col("state").rlike(X.STATE_CODE), F.concat(F.lit("invalid state code: "), F.col("state")))
         .when(F.col("year").isNull(), F.concat(F.lit("invalid year for "), F.col("state"), F.lit(": "), F.coalesce("__year", F.lit("null"))))

@@ -143,7 +143,8 @@ def write_catalog(catalog: DataFrame, path: str, header: dict | None = None) ->
     )
     frame = spark.createDataFrame([(-1, head), (2**62, "]}")], "position bigint, value string")
     draft = f"{path}.draft"
-    body.union(frame).orderBy("position").select("value").coalesce(1).write.mode("overwrite").text(draft)
+    ordered = body.union(frame).repartition(1).sortWithinPartitions("position")
+    ordered.select("value").write.mode("overwrite").text(draft)
     part = next(n for n in files.children(spark, draft) if n.startswith("part-"))
     files.move_over(spark, f"{draft}/{part}", path)
     files.remove(spark, draft)

@@ -132,14 +132,14 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Catalog document at ``path``; missing or unreadable means empty."""
     if not files.exists(spark, path):
         return empty_catalog(spark)
-    return parse_catalog(spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "doc"))
+    return parse_catalog(spark.read.text(path, wholetext=True).withColumnRenamed("value", "doc"))
 
 
 def catalog_version(spark: SparkSession, path: str) -> int | None:
     """``version`` of the document, from its small header."""
     if not files.exists(spark, path):
         return None
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     row = doc.select(F.try_variant_get(F.try_parse_json("value"), "$.version", "int").alias("v")).first()
     return row["v"] if row else None
 
