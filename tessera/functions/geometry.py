@@ -3,12 +3,13 @@
 A box is ``struct<xmin,ymin,xmax,ymax: double>``; a ring is a closed ``array<struct<x,y: double>>``.
 Axis order is always x, y. Boxes keep their fields addressable (``bbox.xmin``) so comparisons on them
 reach the Parquet row groups.
+
+Helpers on rings and pairs of boxes take column names (or any SQL text) and are built as SQL text: that is
+one call into the JVM instead of hundreds, which is what planning time is made of.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +27,9 @@ def col(value) -> Column:
 
 def bbox(xmin, ymin, xmax, ymax) -> Column:
     parts = (xmin, ymin, xmax, ymax)
+    if all(isinstance(v, (str, int, float)) for v in parts):
+        text = ", ".join(f"'{n}', CAST({v} AS DOUBLE)" for n, v in zip(BBOX_FIELDS, parts))
+        return F.expr(f"named_struct({text})")
     return F.struct(*(col(v).cast("double").alias(n) for n, v in zip(BBOX_FIELDS, parts)))
 
 
@@ -56,25 +60,29 @@ def footprint_bbox(gt, width, height) -> Column:
     return bbox(F.least(g[0], far_x), F.least(g[3], far_y), F.greatest(g[0], far_x), F.greatest(g[3], far_y))
 
 
-def ring_from_bbox(box) -> Column:
+def _point_text(x: str, y: str) -> str:
+    return f"named_struct('x', {x}, 'y', {y})"
+
+
+def _finite_text(v: str) -> str:
+    return f"({v} IS NOT NULL AND NOT isnan({v}) AND abs({v}) < double('infinity'))"
+
+
+def ring_from_bbox(box: str) -> Column:
     """Closed ring, counter-clockwise from the lower-left corner."""
-    b = col(box)
-    lower_left = point(b["xmin"], b["ymin"])
-    return F.array(
-        lower_left,
-        point(b["xmax"], b["ymin"]),
-        point(b["xmax"], b["ymax"]),
-        point(b["xmin"], b["ymax"]),
-        lower_left,
-    )
+    x0, y0, x1, y1 = (f"{box}.{f}" for f in BBOX_FIELDS)
+    corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    return F.expr(f"array({', '.join(_point_text(x, y) for x, y in corners)})")
 
 
-def ring_bbox(ring) -> Column:
+def ring_bbox(ring: str) -> Column:
     """Box around the points of a ring whose two coordinates are both finite; null if there is none."""
-    good = F.filter(col(ring), lambda p: is_finite(p["x"]) & is_finite(p["y"]))
-    xs = F.transform(good, lambda p: p["x"])
-    ys = F.transform(good, lambda p: p["y"])
-    return F.when(F.size(good) > 0, bbox(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
+    xs, ys = "transform(good, p -> p.x)", "transform(good, p -> p.y)"
+    around = (
+        f"named_struct('xmin', array_min({xs}), 'ymin', array_min({ys}), 'xmax', array_max({xs}), 'ymax', array_max({ys}))"
+    )
+    good = f"filter({ring}, p -> {_finite_text('p.x')} AND {_finite_text('p.y')})"
+    return F.expr(f"transform(array({good}), good -> CASE WHEN size(good) > 0 THEN {around} END)[0]")
 
 
 def plain_number(value) -> Column:
@@ -95,14 +103,15 @@ def is_finite(value) -> Column:
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
 
 
-def is_finite_ring(ring) -> Column:
-    return F.forall(col(ring), lambda p: is_finite(p["x"]) & is_finite(p["y"]))
+def is_finite_ring(ring: str) -> Column:
+    return F.expr(f"forall({ring}, p -> {_finite_text('p.x')} AND {_finite_text('p.y')})")
 
 
-def keep_finite_ring(ring) -> Column:
+def keep_finite_ring(ring: str) -> Column:
     """The ring itself, or null when any coordinate is missing or not finite."""
-    r = col(ring)
-    return F.when(r.isNotNull() & is_finite_ring(r), r)
+    return F.expr(
+        f"CASE WHEN forall({ring}, p -> {_finite_text('p.x')} AND {_finite_text('p.y')}) THEN {ring} END"
+    )
 
 
 def round_bbox(box, places: int) -> Column:
@@ -140,144 +149,98 @@ def center_from_bbox(box, fallback=None) -> Column:
 # --- predicates -------------------------------------------------------------------------------
 
 
-def bbox_intersects(a, b) -> Column:
+def bbox_intersects(a: str, b: str) -> Column:
     """True when the closed boxes share at least one point; touching edges count."""
-    a, b = col(a), col(b)
-    return (
-        (a["xmin"] <= b["xmax"]) & (a["xmax"] >= b["xmin"]) & (a["ymin"] <= b["ymax"]) & (a["ymax"] >= b["ymin"])
-    )
-
-
-def bbox_contains(outer, inner) -> Column:
-    o, i = col(outer), col(inner)
-    return (
-        (o["xmin"] <= i["xmin"]) & (o["ymin"] <= i["ymin"]) & (o["xmax"] >= i["xmax"]) & (o["ymax"] >= i["ymax"])
-    )
+    return F.expr(f"{a}.xmin <= {b}.xmax AND {a}.xmax >= {b}.xmin AND {a}.ymin <= {b}.ymax AND {a}.ymax >= {b}.ymin")
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.transform(F.array(value), body)[0]
+def bbox_contains(outer: str, inner: str) -> Column:
+    o, i = outer, inner
+    return F.expr(f"{o}.xmin <= {i}.xmin AND {o}.ymin <= {i}.ymin AND {o}.xmax >= {i}.xmax AND {o}.ymax >= {i}.ymax")
 
 
-def _edges(ring: Column) -> Column:
-    n = F.size(ring) - 1
-    return F.zip_with(
-        F.slice(ring, F.lit(1), n),
-        F.slice(ring, F.lit(2), n),
-        lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")),
+def _area_text(ring: str) -> str:
+    """Signed shoelace area of a closed ring, relative to its first vertex to keep the digits."""
+    pairs = f"zip_with(slice({ring}, 1, size({ring}) - 1), slice({ring}, 2, size({ring}) - 1), (p, q) -> " + (
+        f"(p.x - {ring}[0].x) * (q.y - {ring}[0].y) - (q.x - {ring}[0].x) * (p.y - {ring}[0].y))"
     )
+    return f"aggregate({pairs}, 0D, (total, t) -> total + t) / 2"
 
 
-def _signed_area(ring: Column) -> Column:
-    """Shoelace sum of a closed ring, taken relative to its first vertex to keep the digits."""
-    x0, y0 = ring[0]["x"], ring[0]["y"]
-    terms = F.transform(
-        _edges(ring), lambda e: (e["x1"] - x0) * (e["y2"] - y0) - (e["x2"] - x0) * (e["y1"] - y0)
-    )
-    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t) / 2.0
+def ring_area(ring: str) -> Column:
+    return F.expr(f"abs({_area_text(ring)})")
 
 
-def ring_area(ring) -> Column:
-    return let(col(ring), lambda r: F.abs(_signed_area(r)))
+def _planes_text(ring: str) -> str:
+    plane = (
+        "named_struct('a', sign * (p.y - q.y), 'b', sign * (q.x - p.x), 'x', p.x, 'y', p.y)"
+    )
+    edges = f"zip_with(slice({ring}, 1, size({ring}) - 1), slice({ring}, 2, size({ring}) - 1), (p, q) -> {plane})"
+    turn = f"CASE WHEN {_area_text(ring)} < 0 THEN -1D ELSE 1D END"
+    return f"transform(array({turn}), sign -> {edges})[0]"
 
 
-def half_planes(ring) -> Column:
+def half_planes(ring: str) -> Column:
     """A convex ring as the half-planes it is the intersection of.
 
     Each is ``struct<a,b,x,y>`` with ``a*(px-x) + b*(py-y) >= 0`` inside; the winding of the ring does not
     matter. Computed once per ring before a join, they make every later test plain arithmetic.
     """
+    return F.expr(_planes_text(ring))
 
-    def of(r: Column) -> Column:
-        def planes(sign: Column) -> Column:
-            return F.transform(
-                _edges(r),
-                lambda e: F.struct(
-                    (sign * (e["y1"] - e["y2"])).alias("a"),
-                    (sign * (e["x2"] - e["x1"])).alias("b"),
-                    e["x1"].alias("x"),
-                    e["y1"].alias("y"),
-                ),
-            )
-
-        return let(F.when(_signed_area(r) < 0, F.lit(-1.0)).otherwise(F.lit(1.0)), planes)
-
-    return let(col(ring), of)
 
-
-def _side(plane: Column, x: Column, y: Column) -> Column:
-    return plane["a"] * (x - plane["x"]) + plane["b"] * (y - plane["y"])
-
-
-def box_misses_planes(box, planes) -> Column:
+def box_misses_planes(box: str, planes: str) -> Column:
     """Some half-plane excludes all of the box. With overlapping bounding boxes this decides intersection."""
-    b = col(box)
-
-    def outside(e: Column) -> Column:
-        x = F.when(e["a"] > 0, b["xmax"]).otherwise(b["xmin"])
-        y = F.when(e["b"] > 0, b["ymax"]).otherwise(b["ymin"])
-        return _side(e, x, y) < 0
+    far_x = f"(CASE WHEN e.a > 0 THEN {box}.xmax ELSE {box}.xmin END - e.x)"
+    far_y = f"(CASE WHEN e.b > 0 THEN {box}.ymax ELSE {box}.ymin END - e.y)"
+    return F.expr(f"exists({planes}, e -> e.a * {far_x} + e.b * {far_y} < 0)")
 
-    return F.exists(col(planes), outside)
 
-
-def box_within_planes(box, planes) -> Column:
+def box_within_planes(box: str, planes: str) -> Column:
     """The whole box lies in the closed convex ring."""
-    b = col(box)
-
-    def holds(e: Column) -> Column:
-        x = F.when(e["a"] > 0, b["xmin"]).otherwise(b["xmax"])
-        y = F.when(e["b"] > 0, b["ymin"]).otherwise(b["ymax"])
-        return _side(e, x, y) >= 0
-
-    return F.forall(col(planes), holds)
+    near_x = f"(CASE WHEN e.a > 0 THEN {box}.xmin ELSE {box}.xmax END - e.x)"
+    near_y = f"(CASE WHEN e.b > 0 THEN {box}.ymin ELSE {box}.ymax END - e.y)"
+    return F.expr(f"forall({planes}, e -> e.a * {near_x} + e.b * {near_y} >= 0)")
 
 
-def ring_intersects(a, b) -> Column:
+def ring_intersects(a: str, b: str) -> Column:
     """Closed intersection of two convex rings by the separating-axis test."""
 
-    def separated(r: Column, s: Column) -> Column:
-        return F.exists(half_planes(r), lambda e: F.forall(s, lambda p: _side(e, p["x"], p["y"]) < 0))
+    def separated(r: str, s: str) -> str:
+        return f"exists({_planes_text(r)}, e -> forall({s}, v -> e.a * (v.x - e.x) + e.b * (v.y - e.y) < 0))"
 
-    return ~separated(col(a), col(b)) & ~separated(col(b), col(a))
+    return F.expr(f"NOT {separated(a, b)} AND NOT {separated(b, a)}")
 
 
-def ring_contains(outer, inner) -> Column:
+def ring_contains(outer: str, inner: str) -> Column:
     """All vertices of ``inner`` lie in the closed convex ring ``outer``."""
-    i = col(inner)
-    return F.forall(half_planes(outer), lambda e: F.forall(i, lambda p: _side(e, p["x"], p["y"]) >= 0))
+    return F.expr(
+        f"forall({_planes_text(outer)}, e -> forall({inner}, v -> e.a * (v.x - e.x) + e.b * (v.y - e.y) >= 0))"
+    )
 
 
-def ring_numbers(ring, x0=0.0, y0=0.0) -> Column:
+def ring_numbers(ring: str, x0: str = "0D", y0: str = "0D") -> Column:
     """The four corners of a closed quadrilateral as eight numbers relative to (x0, y0)."""
-    r, dx, dy = col(ring), col(x0), col(y0)
-    corners = F.slice(r, 1, 4)
-    return F.flatten(F.transform(corners, lambda p: F.array(p["x"] - dx, p["y"] - dy)))
+    return F.expr(f"flatten(transform(slice({ring}, 1, 4), p -> array(p.x - {x0}, p.y - {y0})))")
 
 
 # --- spatial order ----------------------------------------------------------------------------
 
-_SPREAD = ((16, "0000FFFF0000FFFF"), (8, "00FF00FF00FF00FF"), (4, "0F0F0F0F0F0F0F0F"), (2, "3333333333333333"), (1, "5555555555555555"))
-
-
-def _spread(value: Column) -> Column:
-    """Insert a zero bit before each of the low 31 bits."""
-
-    def step(v: Column, item) -> Column:
-        shift, mask = item
-        return v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(int(mask, 16)))
 
-    return reduce(step, _SPREAD, value)
 
-
-def z_order(box, world: float = 20037508.342789244, bits: int = 24) -> Column:
-    """Morton number of a box centre on a ``2^bits`` grid over ``[-world, world]`` on both axes."""
-    b = col(box)
+def z_order(box: str, world: float = 20037508.342789244, bits: int = 24) -> Column:
+    """Morton number of a box centre on a ``2^bits`` grid (at most 31 bits) over ``[-world, world]`` on both axes."""
     cells = 2**bits
 
-    def grid(low: str, high: str) -> Column:
-        unit = ((b[low] + b[high]) / 2.0 + world) / (2.0 * world)
-        return F.least(F.greatest(F.floor(unit * cells), F.lit(0)), F.lit(cells - 1)).cast("bigint")
+    def grid(low: str, high: str) -> str:
+        unit = f"(({box}.{low} + {box}.{high}) / 2D + {world!r}D) / {2.0 * world!r}D"
+        return f"CAST(least(greatest(floor({unit} * {cells}), 0L), {cells - 1}L) AS BIGINT)"
+
+    def spread(value: str) -> str:
+        """A zero bit before each bit, in five halving steps."""
+        for shift in (16, 8, 4, 2, 1):
+            kept = sum(((1 << shift) - 1) << at for at in range(0, 64, 2 * shift))
+            value = f"transform(array({value}), v -> (v | shiftleft(v, {shift})) & {kept}L)[0]"
+        return value
 
-    return _spread(grid("xmin", "xmax")).bitwiseOR(F.shiftleft(_spread(grid("ymin", "ymax")), 1))
+    return F.expr(f"{spread(grid('xmin', 'xmax'))} | shiftleft({spread(grid('ymin', 'ymax'))}, 1)")

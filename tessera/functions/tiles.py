@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import bbox, col, plain_number
+from .geometry import BBOX_FIELDS, col, plain_number
 
 # Fixed values shared with every XYZ tile client.
 WEB_EXTENT = 20037508.342789244
@@ -43,14 +43,12 @@ def lonlat_to_tile(lon, lat, zoom) -> Column:
     )
 
 
-def tile_bbox(x, y, zoom) -> Column:
-    size, x, y = tile_size(zoom), col(x), col(y)
-    return bbox(
-        F.lit(-WEB_EXTENT) + x * size,
-        F.lit(WEB_EXTENT) - (y + 1) * size,
-        F.lit(-WEB_EXTENT) + (x + 1) * size,
-        F.lit(WEB_EXTENT) - y * size,
-    )
+def tile_bbox(x: str, y: str, zoom: str | int) -> Column:
+    """Box of a tile in EPSG:3857, from column names (or SQL text)."""
+    size = f"({2.0 * WEB_EXTENT!r}D / power(2D, {zoom}))"
+    e = f"{WEB_EXTENT!r}D"
+    edges = (f"-{e} + {x} * {size}", f"{e} - ({y} + 1) * {size}", f"-{e} + ({x} + 1) * {size}", f"{e} - {y} * {size}")
+    return F.expr(f"named_struct({', '.join(f"'{n}', {v}" for n, v in zip(BBOX_FIELDS, edges))})")
 
 
 def bbox_text(box) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_COARSE = 256  # buckets per factor of two
+_COARSE_BITS = 8
+_COARSE = 2**_COARSE_BITS  # buckets per factor of two
 _FINE = 65536  # buckets per coarse bucket
 
 
@@ -36,81 +37,91 @@ def log_tail(df: DataFrame, job: str = "job_id", line_no: str = "line_no", n: in
     return keep_first(df, [job], [F.col(line_no).desc()], n)
 
 
-def _bucket_columns(value: Column) -> dict[str, Column]:
-    """Two-level bucket numbers that grow with the value.
+def _bucketed(df: DataFrame) -> DataFrame:
+    """Add two-level bucket numbers that grow with ``__v``.
 
-    The level-one number is the exponent and the leading digits of the magnitude, so there are at most
-    about a million of them whatever the data; the level-two number splits that bucket evenly.
+    ``__b1`` is the exponent and the leading digits of the magnitude, so there are at most about a million
+    of them whatever the data; ``__b2`` splits such a bucket evenly. If ``log2`` rounds across a power of
+    two, the same bucket results from either exponent. One column per step: each is evaluated once.
     """
-    size = F.abs(value)
-    exponent = F.when(size > 0, F.floor(F.log2(size))).otherwise(F.lit(-1075)).cast("bigint")
-    scaled = F.when(size > 0, size / F.pow(F.lit(2.0), exponent)).otherwise(F.lit(1.0))
-    # The rounding of log2 may be off by one next to a power of two; clamping keeps the order.
-    step = F.least(F.greatest((scaled - 1.0) * _COARSE, F.lit(0.0)), F.lit(float(_COARSE)))
-    coarse = F.floor(step)
-    fine = F.floor((step - coarse) * _FINE)
-    magnitude = (exponent + 1076) * (_COARSE + 1) + coarse
-    sign = F.when(value < 0, F.lit(-1)).otherwise(F.lit(1))
-    return {"__b1": (sign * magnitude).cast("bigint"), "__b2": (sign * fine).cast("bigint")}
+    sign = F.when(F.col("__v") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    zero = F.lit(0).cast("bigint")
+    exponent = F.greatest(F.coalesce(F.floor(F.log2(F.nullif("__m", F.lit(0.0)))), F.lit(-1000)), F.lit(-1000))
+    return (
+        df.withColumn("__m", F.abs("__v"))
+        .withColumn("__e", exponent.cast("double"))
+        .withColumn("__u", F.col("__m") * F.pow(F.lit(2.0), F.lit(float(_COARSE_BITS)) - F.col("__e")))
+        .withColumn("__f", F.floor("__u").cast("double"))
+        # Declared non-null: a null test on a join key would be pushed into the scan with all of this inlined.
+        .withColumn("__b1", F.coalesce((sign * ((F.col("__e") + 1001) * _COARSE + F.col("__f"))).cast("bigint"), zero))
+        .withColumn("__b2", F.coalesce((sign * F.floor((F.col("__u") - F.col("__f")) * _FINE)).cast("bigint"), zero))
+        .drop("__m", "__e", "__u", "__f")
+    )
+
+
+def _match(rows: DataFrame, targets: DataFrame, keys: list[str], exact: list[str]) -> DataFrame:
+    """Inner join in which null group keys match each other."""
+    renamed = targets.withColumnsRenamed({k: f"__t_{k}" for k in [*keys, *exact]})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__t_{k}"))
+    for k in exact:
+        condition = condition & (F.col(k) == F.col(f"__t_{k}"))
+    return rows.join(renamed, condition).drop(*[f"__t_{k}" for k in [*keys, *exact]])
 
 
 def rank_percentiles(df: DataFrame, value: str, probs: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
     """Exact nearest-rank values: the element at index ``floor(n * p)`` of the sorted group, never interpolated.
 
     The index is clamped to the last element. Result: ``by`` columns and one column per entry of
-    ``probs``. Nulls are ignored.
+    ``probs``. Nulls, NaN and infinities are ignored. Windows only ever see histograms (at most about a
+    million rows per group), one coarse bucket's histogram, or the distinct values of one fine bucket.
     """
     keys = list(by)
     v = F.col(value).cast("double")
-    # NaN and infinities have no bucket; keep only numbers that can be ordered.
     numbers = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(*keys, (v + 0.0).alias("__v"))
-    counted = numbers.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")).withColumns(_bucket_columns(F.col("__v")))
-
-    wanted = F.array(
+    counted = _bucketed(numbers.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")))
+
+    # Level 1: which coarse bucket holds each wanted rank.
+    group = W.partitionBy(*keys)
+    level1 = (
+        counted.groupBy(*keys, "__b1").agg(F.sum("__n").alias("__n"))
+        .withColumn("__total", F.sum("__n").over(group))
+        .withColumn("__to", F.sum("__n").over(group.orderBy("__b1")))
+    )
+    ranks = F.array(
         *[
             F.struct(
-                F.lit(name).alias("name"),
+                F.lit(name).alias("p"),
                 F.least(F.floor(F.col("__total") * F.lit(float(p))), F.col("__total") - 1).cast("bigint").alias("rank"),
             )
             for name, p in probs.items()
         ]
     )
+    start = F.col("__to") - F.col("__n")
+    inside = F.filter(ranks, lambda r: (r["rank"] >= start) & (r["rank"] < F.col("__to")))
+    at1 = level1.select(*keys, "__b1", start.alias("__before"), F.explode(inside).alias("__w")).select(
+        *keys, "__b1", F.col("__w")["p"].alias("__p"), (F.col("__w")["rank"] - F.col("__before")).alias("__rank")
+    )
 
     def locate(histogram: DataFrame, groups: list[str], order: str) -> DataFrame:
-        """Per group and wanted rank, the entry whose running count passes the rank, and the rank inside it."""
-        w = W.partitionBy(*groups).orderBy(order)
-        running = histogram.withColumn("__to", F.sum("__n").over(w))
+        """The entry of each group whose running count passes ``__rank``, and the rank inside it."""
+        running = histogram.withColumn("__to", F.sum("__n").over(W.partitionBy(*groups).orderBy(order)))
         before = F.col("__to") - F.col("__n")
         return running.where((F.col("__rank") >= before) & (F.col("__rank") < F.col("__to"))).select(
-            *[g for g in groups], order, (F.col("__rank") - before).alias("__left")
+            *groups, order, (F.col("__rank") - before).alias("__rank")
         )
 
-    # Level 1: at most about a million rows per group.
-    level1 = counted.groupBy(*keys, "__b1").agg(F.sum("__n").alias("__n"))
-    totals = level1.groupBy(*keys).agg(F.sum("__n").alias("__total")).select(*keys, F.explode(wanted).alias("__w"))
-    totals = totals.select(*keys, F.col("__w")["name"].alias("__p"), F.col("__w")["rank"].alias("__rank"))
-    joined = _join(level1, totals, keys)
-    at1 = locate(joined, [*keys, "__p", "__rank"], "__b1")
-
-    # Level 2: only rows of the buckets that hold a wanted rank.
-    def narrow(rows: DataFrame, target: DataFrame, on: list[str]) -> DataFrame:
-        return _join(rows, target.drop("__rank").withColumnRenamed("__left", "__rank"), on)
-
-    level2 = (
-        narrow(counted.groupBy(*keys, "__b1", "__b2").agg(F.sum("__n").alias("__n")), at1, [*keys, "__b1"])
-    )
-    at2 = locate(level2, [*keys, "__p", "__rank", "__b1"], "__b2")
+    # Level 2: only the buckets that hold a wanted rank. The bucket lists are a few rows per group; adaptive
+    # execution measures them and broadcasts them when they are as small as that.
+    narrowed = _match(counted, at1, keys, ["__b1"])
+    at_keys = [*keys, "__p"]
+    level2 = narrowed.groupBy(*at_keys, "__b2").agg(F.sum("__n").alias("__n"), F.first("__rank").alias("__rank"))
+    at2 = locate(level2, at_keys, "__b2")
 
     # Level 3: the distinct values of one fine bucket.
-    level3 = narrow(counted, at2, [*keys, "__b1", "__b2"])
-    found = locate(level3, [*keys, "__p", "__rank", "__b1", "__b2"], "__v")
+    level3 = _match(narrowed.drop("__rank"), at2, keys, ["__p", "__b2"])
+    found = locate(level3, at_keys, "__v")
     return found.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__p") == name, F.col("__v"))).alias(name) for name in probs]
     )
-
-
-def _join(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Equi-join; with no keys the small side is one row per wanted rank, a handful by construction."""
-    if keys:
-        return big.join(small, keys)
-    return big.join(F.broadcast(small))

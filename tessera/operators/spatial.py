@@ -42,9 +42,8 @@ def place_footprints(footprints: DataFrame, box: str, zoom) -> DataFrame:
     """
     b, size = F.col(box), T.tile_size(zoom)
     west, north = F.lit(-T.WEB_EXTENT), F.lit(T.WEB_EXTENT)
-    placed = footprints.where(
-        G.is_finite(b["xmin"]) & G.is_finite(b["ymin"]) & G.is_finite(b["xmax"]) & G.is_finite(b["ymax"])
-    ).withColumns(
+    finite = " AND ".join(f"NOT isnan({box}.{f}) AND abs({box}.{f}) < double('infinity')" for f in G.BBOX_FIELDS)
+    placed = footprints.where(finite).withColumns(
         {
             "__x0": _floor_index((b["xmin"] - west) / size - CELL_SLACK),
             "__x1": _floor_index((b["xmax"] - west) / size + CELL_SLACK),
@@ -68,8 +67,8 @@ def _cells(low: str, high: str) -> Column:
 
 
 def _grid(zoom: Column) -> Column:
-    """Zoom and cell width as one key."""
-    return (zoom.cast("int") * 64 + F.col("__shift")).alias("__grid")
+    """Zoom and cell width as one key; non-null, so that no null test drags its formula into the scan."""
+    return F.coalesce(zoom.cast("int") * 64 + F.col("__shift"), F.lit(-1)).alias("__grid")
 
 
 def tile_footprint_join(
@@ -202,11 +201,14 @@ def tile_coverage(
         gathered = pairs.groupBy(*_keys(on)).agg(F.array_sort(F.collect_list(part)).alias("__members"))
         share = _union_of_unit_boxes(F.col("__members"))
     else:
-        tile = F.col("tile_bbox")
-        near = G.ring_numbers(ring, tile["xmin"], tile["ymin"])  # near the origin doubles are precise
-        gathered = pairs.groupBy(*_keys(on)).agg(F.flatten(F.array_sort(F.collect_list(near))).alias("__members"))
-        size = T.tile_size("z")
-        share = P.quad_union_share(G.ring_numbers(G.ring_from_bbox(G.bbox(0.0, 0.0, size, size))), F.col("__members"))
+        near = G.ring_numbers(ring, "tile_bbox.xmin", "tile_bbox.ymin")  # near the origin doubles are precise
+        gathered = (
+            pairs.groupBy(*_keys(on))
+            .agg(F.flatten(F.array_sort(F.collect_list(near))).alias("__members"))
+            .withColumn("__size", T.tile_size("z"))
+            .withColumn("__square", F.expr("array(0D, 0D, __size, 0D, __size, __size, 0D, __size)"))
+        )
+        share = P.quad_union_share(F.col("__square"), F.col("__members"))
     return gathered.select(*_keys(on), share.alias("coverage"))
 
 
@@ -272,7 +274,8 @@ def classify_tiles_native(
 
     def with_native_tile(df: DataFrame) -> DataFrame:
         # ``inline`` evaluates its argument once per tile and keeps later pushdown from repeating it.
-        ringed = df.withColumn("__web", G.ring_from_bbox(T.tile_bbox("x", "y", "z")))
+        boxed = df.withColumn("__tile_box", T.tile_bbox("x", "y", "z"))
+        ringed = boxed.withColumn("__web", G.ring_from_bbox("__tile_box")).drop("__tile_box")
         moved = F.struct(C.reproject_ring("__web", C.crs_literal(3857), crs).alias("__ring"))
         shaped = F.struct(G.ring_bbox("__ring").alias("__box"), G.half_planes("__ring").alias("__tile_planes"))
         return ringed.select("*", F.inline(F.array(moved))).select("*", F.inline(F.array(shaped))).drop("__web")
@@ -285,11 +288,11 @@ def classify_tiles_native(
 
     inside = G.bbox_contains("__native", "__box")
     hits = _count_hits(tiles, exact(tiles.select(*_keys(on))), inside, on)
-    corner = F.col("__box")
-    near = G.ring_numbers(G.ring_from_bbox("__native"), corner["xmin"], corner["ymin"])
-    target = G.ring_numbers("__ring", corner["xmin"], corner["ymin"])
+    near = G.ring_numbers("__native_ring", "__box.xmin", "__box.ymin")
+    target = G.ring_numbers("__ring", "__box.xmin", "__box.ymin")
     members = (
         exact(undecided(hits).select(*_keys(on)))
+        .withColumn("__native_ring", G.ring_from_bbox("__native"))
         .groupBy(*_keys(on))
         .agg(F.flatten(F.array_sort(F.collect_list(near))).alias("__members"), F.first(target).alias("__target"))
         .select(*_keys(on), P.quad_union_share(F.col("__target"), F.col("__members")).alias("coverage"))
@@ -341,7 +344,9 @@ def bbox_window(
         (b["xmin"] <= xmax) & (b["xmax"] >= xmin) & (b["ymin"] <= ymax) & (b["ymax"] >= ymin)
     )
     if ring is not None:
-        found = found.where(~G.box_misses_planes(G.bbox(xmin, ymin, xmax, ymax), G.half_planes(ring)))
+        kept = found.columns
+        shaped = found.withColumns({"__window": G.bbox(xmin, ymin, xmax, ymax), "__planes": G.half_planes(ring)})
+        found = shaped.where(~G.box_misses_planes("__window", "__planes")).select(*kept)
     if order is not None:
         found = found.orderBy(order)
     return found if max_rows is None else found.limit(max_rows)
