@@ -197,7 +197,7 @@ def box_misses_planes(box: str, planes: str) -> Column:
 
 
 def box_within_planes(box: str, planes: str) -> Column:
-    """The whole box lies in the closed convex ring."""
+    """The whole box lies in the closed convex ring; says nothing about a ring without area."""
     near_x = f"(CASE WHEN e.a > 0 THEN {box}.xmin ELSE {box}.xmax END - e.x)"
     near_y = f"(CASE WHEN e.b > 0 THEN {box}.ymin ELSE {box}.ymax END - e.y)"
     return F.expr(f"forall({planes}, e -> e.a * {near_x} + e.b * {near_y} >= 0)")

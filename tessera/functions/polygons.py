@@ -63,10 +63,12 @@ def union_share(target: np.ndarray, members: np.ndarray, count: np.ndarray) -> n
     """Share of each target (rows, 4, 2) covered by the union of its first ``count`` members (rows, k, 4, 2)."""
     target, members = _oriented(target), _oriented(members)
     whole = _areas(target)
+    # A member without area covers nothing, but its zero-length edges would not cut anything away either.
+    solid = _areas(members.reshape(-1, 4, 2)).reshape(members.shape[:2]) > 0
     total = np.zeros(len(target))
     for size in range(1, MAX_MEMBERS + 1):
         for chosen in combinations(range(MAX_MEMBERS), size):
-            rows = np.flatnonzero(count > chosen[-1])
+            rows = np.flatnonzero((count > chosen[-1]) & solid[:, chosen].all(axis=1))
             if not len(rows):
                 continue
             poly = target[rows]

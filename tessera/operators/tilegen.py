@@ -101,8 +101,9 @@ def classify_draws(
     rng: str = "range", ring: str | None = None,
 ) -> DataFrame:
     """Every distinct drawn tile with its attempt number and class."""
-    drawn = first_attempts(draw_tiles(ranges, zoom, max_attempts(requests), seed, rng))
-    classes = spatial.classify_tiles(drawn, footprints, zoom, box, (), ring)
+    attempts = max_attempts(requests)
+    drawn = first_attempts(draw_tiles(ranges, zoom, attempts, seed, rng))
+    classes = spatial.classify_tiles(drawn, footprints, zoom, box, (), ring, few=attempts <= spatial.BROADCAST_TILES)
     return drawn.join(classes, ["z", "x", "y"])
 
 
