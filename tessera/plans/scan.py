@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..functions import tiles as T
 from ..operators import catalog as K
 from ..operators import footprints as P
+from ..operators import ranks
 from ..session import materialize
 from ..sinks import writers
 
@@ -81,8 +82,9 @@ def collection_facts(footprints: DataFrame, by: tuple[str, ...] = ("collection_i
         ).alias("groups"),
     )
     web = G.round_bbox("w", 0)
-    zooms = P.median_native_zoom(footprints, by)
-    return rows.join(zooms, list(by)).select(
+    zooms = ranks.rank_percentiles(footprints, "native_zoom", {"median": 0.5}, by)
+    zoom = F.coalesce(F.bround("median").cast("int"), F.lit(T.DEFAULT_NATIVE_ZOOM))
+    return rows.join(zooms, list(by), "left").select(
         *by,
         "cog_count",
         G.bbox_array(G.round_bbox("n", 2)).alias("extent_native"),
@@ -90,7 +92,7 @@ def collection_facts(footprints: DataFrame, by: tuple[str, ...] = ("collection_i
         G.bbox_array(G.round_bbox(C.web_bbox_to_lonlat(web), 4)).alias("bbox_4326"),
         F.transform("groups", lambda g: g["epsg"]).alias("native_epsgs"),
         "groups",
-        "native_zoom",
+        zoom.alias("native_zoom"),
     )
 
 
