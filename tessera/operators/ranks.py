@@ -44,17 +44,18 @@ def _bucketed(df: DataFrame) -> DataFrame:
     of them whatever the data; ``__b2`` splits such a bucket evenly. If ``log2`` rounds across a power of
     two, the same bucket results from either exponent. One column per step: each is evaluated once.
     """
-    sign = F.when(F.col("__v") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    zero = F.lit(0).cast("bigint")
-    exponent = F.greatest(F.coalesce(F.floor(F.log2(F.nullif("__m", F.lit(0.0)))), F.lit(-1000)), F.lit(-1000))
+    sign = "CASE WHEN __v < 0 THEN -1 ELSE 1 END"
     return (
-        df.withColumn("__m", F.abs("__v"))
-        .withColumn("__e", exponent.cast("double"))
-        .withColumn("__u", F.col("__m") * F.pow(F.lit(2.0), F.lit(float(_COARSE_BITS)) - F.col("__e")))
-        .withColumn("__f", F.floor("__u").cast("double"))
+        df.selectExpr("*", "abs(__v) AS __m")
+        .selectExpr("*", "CAST(greatest(coalesce(floor(log2(nullif(__m, 0D))), -1000L), -1000L) AS DOUBLE) AS __e")
+        .selectExpr("*", f"__m * power(2D, {_COARSE_BITS} - __e) AS __u")
+        .selectExpr("*", "CAST(floor(__u) AS DOUBLE) AS __f")
         # Declared non-null: a null test on a join key would be pushed into the scan with all of this inlined.
-        .withColumn("__b1", F.coalesce((sign * ((F.col("__e") + 1001) * _COARSE + F.col("__f"))).cast("bigint"), zero))
-        .withColumn("__b2", F.coalesce((sign * F.floor((F.col("__u") - F.col("__f")) * _FINE)).cast("bigint"), zero))
+        .selectExpr(
+            "*",
+            f"coalesce(CAST({sign} * ((__e + 1001) * {_COARSE} + __f) AS BIGINT), 0L) AS __b1",
+            f"coalesce(CAST({sign} * floor((__u - __f) * {_FINE}) AS BIGINT), 0L) AS __b2",
+        )
         .drop("__m", "__e", "__u", "__f")
     )
 

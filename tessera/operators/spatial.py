@@ -34,30 +34,23 @@ SHIFT_STEP = 3
 CELL_SLACK = 1e-6
 
 
-def _floor_index(value: Column) -> Column:
-    return F.floor(value).cast("bigint")
-
-
 def place_footprints(footprints: DataFrame, box: str, zoom) -> DataFrame:
     """Add the closed tile range (``__x0..__y1``) and the grid ``__shift`` of every footprint.
 
     Rows whose box is missing or not finite touch nothing and are left out.
     """
-    b, size = F.col(box), T.tile_size(zoom)
-    west, north = F.lit(-T.WEB_EXTENT), F.lit(T.WEB_EXTENT)
     finite = " AND ".join(f"NOT isnan({box}.{f}) AND abs({box}.{f}) < double('infinity')" for f in G.BBOX_FIELDS)
-    placed = footprints.where(finite).withColumns(
-        {
-            "__x0": _floor_index((b["xmin"] - west) / size - CELL_SLACK),
-            "__x1": _floor_index((b["xmax"] - west) / size + CELL_SLACK),
-            "__y0": _floor_index((north - b["ymax"]) / size - CELL_SLACK),
-            "__y1": _floor_index((north - b["ymin"]) / size + CELL_SLACK),
-        }
+    e, slack = f"{T.WEB_EXTENT!r}D", f"{CELL_SLACK!r}D"
+    ranged = footprints.where(finite).withColumn("__size", T.tile_size(zoom)).selectExpr(
+        "*",
+        f"CAST(floor(({box}.xmin + {e}) / __size - {slack}) AS BIGINT) AS __x0",
+        f"CAST(floor(({box}.xmax + {e}) / __size + {slack}) AS BIGINT) AS __x1",
+        f"CAST(floor(({e} - {box}.ymax) / __size - {slack}) AS BIGINT) AS __y0",
+        f"CAST(floor(({e} - {box}.ymin) / __size + {slack}) AS BIGINT) AS __y1",
     )
-    span = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0")) + 1
-    halvings = F.greatest(F.ceil(F.log2(span / float(CELLS_PER_AXIS))), F.lit(0))
-    steps = F.ceil(halvings / float(SHIFT_STEP)).cast("int")
-    return placed.withColumn("__shift", steps * SHIFT_STEP)
+    span = f"(greatest(__x1 - __x0, __y1 - __y0) + 1) / {float(CELLS_PER_AXIS)}D"
+    steps = f"CAST(ceil(greatest(ceil(log2({span})), 0L) / {float(SHIFT_STEP)}D) AS INT)"
+    return ranged.drop("__size").selectExpr("*", f"{steps} * {SHIFT_STEP} AS __shift")
 
 
 def _cells(low: str, high: str) -> Column:
@@ -173,33 +166,31 @@ def undecided(hits: DataFrame) -> DataFrame:
     return hits.where(F.col("cog_count").between(1, MAX_READABLE_HITS) & ~F.col("inside_one"))
 
 
-def _unit_box(box: Column, tile: Column) -> Column:
+def _unit_box(box: str, tile: str) -> Column:
     """The part of a box inside a tile, in units of that tile (0..1 on both axes)."""
-    width = tile["xmax"] - tile["xmin"]
-    height = tile["ymax"] - tile["ymin"]
-    return G.bbox(
-        F.greatest((box["xmin"] - tile["xmin"]) / width, F.lit(0.0)),
-        F.greatest((box["ymin"] - tile["ymin"]) / height, F.lit(0.0)),
-        F.least((box["xmax"] - tile["xmin"]) / width, F.lit(1.0)),
-        F.least((box["ymax"] - tile["ymin"]) / height, F.lit(1.0)),
+    width, height = f"({tile}.xmax - {tile}.xmin)", f"({tile}.ymax - {tile}.ymin)"
+    return F.expr(
+        f"named_struct('xmin', greatest(({box}.xmin - {tile}.xmin) / {width}, 0D), "
+        f"'ymin', greatest(({box}.ymin - {tile}.ymin) / {height}, 0D), "
+        f"'xmax', least(({box}.xmax - {tile}.xmin) / {width}, 1D), "
+        f"'ymax', least(({box}.ymax - {tile}.ymin) / {height}, 1D))"
     )
 
 
-def _union_of_unit_boxes(boxes: Column) -> Column:
+def _union_of_unit_boxes(boxes: str) -> Column:
     """Area of the union of at most four boxes by inclusion-exclusion, as plain arithmetic."""
-    members = [F.get(boxes, F.lit(i)) for i in range(MAX_READABLE_HITS)]
-    total = F.lit(0.0)
+    members = [f"get({boxes}, {i})" for i in range(MAX_READABLE_HITS)]
+    terms = []
     for size in range(1, MAX_READABLE_HITS + 1):
-        sign = 1.0 if size % 2 else -1.0
         for chosen in combinations(members, size):
-            # ``least``/``greatest`` of one argument do not exist; repeating a member changes nothing.
+            # ``least`` and ``greatest`` want two arguments; repeating a member changes nothing.
             both = (*chosen, chosen[-1])
-            width = F.least(*(m["xmax"] for m in both)) - F.greatest(*(m["xmin"] for m in both))
-            height = F.least(*(m["ymax"] for m in both)) - F.greatest(*(m["ymin"] for m in both))
-            area = F.greatest(width, F.lit(0.0)) * F.greatest(height, F.lit(0.0))
+            low = {f: f"greatest({', '.join(f'{m}.{f}' for m in both)})" for f in ("xmin", "ymin")}
+            high = {f: f"least({', '.join(f'{m}.{f}' for m in both)})" for f in ("xmax", "ymax")}
+            area = f"greatest({high['xmax']} - {low['xmin']}, 0D) * greatest({high['ymax']} - {low['ymin']}, 0D)"
             # The members are filled from the front, so the last one tells whether all are there.
-            total = total + F.when(chosen[-1].isNotNull(), area * sign).otherwise(F.lit(0.0))
-    return total
+            terms.append(f"CASE WHEN {chosen[-1]} IS NULL THEN 0D ELSE {'' if size % 2 else '-'}({area}) END")
+    return F.expr(" + ".join(terms))
 
 
 def tile_coverage(
@@ -212,9 +203,9 @@ def tile_coverage(
     open_tiles = undecided(hits).select(*_keys(on))
     pairs = tile_footprint_join(open_tiles, footprints, zoom, box, on, ring, max_shift, few)
     if ring is None:
-        part = _unit_box(F.col(box), F.col("tile_bbox"))
+        part = _unit_box(box, "tile_bbox")
         gathered = pairs.groupBy(*_keys(on)).agg(F.array_sort(F.collect_list(part)).alias("__members"))
-        share = _union_of_unit_boxes(F.col("__members"))
+        share = _union_of_unit_boxes("__members")
     else:
         near = G.ring_numbers(ring, "tile_bbox.xmin", "tile_bbox.ymin")  # near the origin doubles are precise
         gathered = (
