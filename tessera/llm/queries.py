@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, secrets, simhash, toxicity
+from . import bpe, fingerprint, idfiles, licences, mixing, secrets, simhash, toxicity, vptree
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    found = fingerprint.compared(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint.as_text("cells").alias("fingerprint"),
+        fingerprint.as_text("cells2").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def joined(spans: str) -> Column:
     """kind:start:end of an array of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -36,6 +44,15 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_id_files(spark: SparkSession, sf: str) -> DataFrame:
+    files = idfiles.write(table(spark, sf, "documents"), idfiles.folder_for(spark), public_tokenizers.path("word_bpe_49k.json"))
+    return idfiles.read(files)
+
+
+def op7_licences(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.find(table(spark, sf, "documents"), licences.template_table(spark))
+
+
 def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     made = bpe.encode(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -46,10 +63,19 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_vp_trees(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return vptree.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 QUERIES = {
+    "op1_fingerprints": (op1_fingerprints, None),
     "op2_secrets": (op2_secrets, None),
     "op4_simhash": (op4_simhash, None),
     "op5_toxicity": (op5_toxicity, None),
+    "op6_id_files": (op6_id_files, None),
+    "op7_licences": (op7_licences, licences.oracle()),
     "op8_bpe": (op8_bpe, None),
     "op9_mixing": (op9_mixing, None),
+    "op10_vp_trees": (op10_vp_trees, None),
 }
