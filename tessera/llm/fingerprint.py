@@ -120,7 +120,7 @@ def as_text(cells: str) -> Column:
 
 def next_rows(rows: DataFrame, chunks: int, id_col: str, hash_col: str, carried: list[str]) -> DataFrame:
     """``rows`` with ``next``: a struct of the ``carried`` columns of the row after it (of the first after the last)."""
-    wanted = rows.filter(F.col(id_col).isNotNull()).agg(F.expr(f"approx_percentile({id_col}, transform(sequence(1, {chunks - 1}), i -> i / {float(chunks)}D), 10000)").alias("q")).first()
+    wanted = rows.filter(F.col(id_col).isNotNull()).agg(F.percentile_approx(id_col, [i / chunks for i in range(1, chunks)], 10_000).alias("q")).first()
     cuts = sorted(set(wanted["q"] or []))
     inside = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(id_col) >= c)) if cuts else F.lit(0)
     placed = rows.withColumn("__chunk", F.when(F.col(id_col).isNull(), F.lit(len(cuts) + 1)).otherwise(inside)).withColumn("__copy", F.lit(0))

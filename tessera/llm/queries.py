@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, idfiles, licences, mixing, secrets, simhash, toxicity, vptree
+from . import bpe, fingerprint, idfiles, licences, mixing, pages, secrets, simhash, toxicity, vptree
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op2_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op3_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    source = table(spark, sf, "pages")
+    found = pages.main_text(source, pages.train(source))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_copies(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -71,6 +77,7 @@ def op10_vp_trees(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": (op1_fingerprints, None),
     "op2_secrets": (op2_secrets, None),
+    "op3_main_text": (op3_main_text, None),
     "op4_simhash": (op4_simhash, None),
     "op5_toxicity": (op5_toxicity, None),
     "op6_id_files": (op6_id_files, None),
