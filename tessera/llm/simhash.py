@@ -38,6 +38,7 @@ SEED = 42
 #: File rows of one partition value in one block; more are cut into blocks.
 BLOCK = 4096
 PAIRS = 1 << 20
+PARTITIONS = 3
 #: Weight of a probe row against a candidate check in the cost that the thresholds minimise.
 PROBE_COST = 4.0
 
@@ -122,19 +123,6 @@ def group_bits(corr: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def choose_m(n: int, radius: int) -> int:
-    """Number of partitions with the least expected cost for ``n`` fingerprints, were bits independent."""
-    from math import comb
-
-    def cost(m: int) -> float:
-        width, total = 64 // m, radius - m + 1
-        t = [total // m + (i < total % m) for i in range(m)]
-        probes = sum(sum(comb(width, e) for e in range(ti + 1)) for ti in t)
-        return probes * (PROBE_COST + n / 2.0**width)
-
-    return min((m for m in range(1, radius + 2) if 64 // m >= 8 and 3 * m > radius), key=cost)
-
-
 def gather(x: np.ndarray, bits: list[int]) -> np.ndarray:
     """The named bits of each fingerprint as one number."""
     out = np.zeros(len(x), np.uint64)
@@ -222,9 +210,13 @@ class Plan:
 
 
 def plan_search(fps: DataFrame, radius: int) -> Plan:
-    """Statistics over all distinct fingerprints, and the partitions they call for."""
+    """Statistics over all distinct fingerprints, and the partitions they call for.
+
+    The number of partitions depends on the radius alone: three, or as many as thresholds of two bits need. Fewer
+    partitions are wider, so a value is shared by fewer strangers, at the price of more probes.
+    """
     corr, n = correlations(fps)
-    groups = group_bits(corr, choose_m(n, radius))
+    groups = group_bits(corr, max(PARTITIONS, radius // 3 + 1))
     runs = [(i, j, bits) for i, g in enumerate(groups) for j, bits in enumerate(halves(g))]
 
     def part(x: np.ndarray) -> np.ndarray:
