@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def units(text):
-    return set(re.findall(r"[^\n.!?]{1,160}[.!?]*|[.!?]+", text))
+    return set(re.findall(r"[^\n]{120,300}?[.!?]+|[^\n]{1,300}", text))
 
 
 def jaccard(a, b):
