@@ -370,7 +370,7 @@ def bbox_window_polygons(spark, sf):
 
 def feature_cap(spark, sf):
     """A window request answers with at most 50,000 features, here in id order."""
-    return spatial.bbox_window(footprints(spark, sf), WINDOW, order="id").select("id", "key")
+    return spatial.bbox_window(footprints(spark, sf), WINDOW, max_rows=50_000, order="id").select("id", "key")
 
 
 FEATURE_CAP = f"WITH {ctes('fx_footprints')} SELECT id, key FROM fx_footprints WHERE {IN_WINDOW} ORDER BY id LIMIT 50000"

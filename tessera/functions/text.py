@@ -59,20 +59,15 @@ def epsg_from_wkt(wkt, override=None) -> Column:
 
 
 def location_url(base, mode, region, bucket, key) -> Column:
-    """Address a raster is read through, as written by a scan."""
-    return F.concat_ws(
-        "/",
-        F.concat(F.lit("/vsicurl/"), F.rtrim(col(base), F.lit("/"))),
-        col(mode),
-        col(region),
-        col(bucket),
-        F.ltrim(col(key), F.lit("/")),
-    )
+    """Address a raster is read through, as written by a scan; null where a part is missing."""
+    parts = (F.rtrim(col(base), F.lit("/")), col(mode), col(region), col(bucket), F.ltrim(col(key), F.lit("/")))
+    return F.concat(F.lit("/vsicurl"), *(x for p in parts for x in (F.lit("/"), p)))
 
 
 def staged_location(base, mode, region, bucket, key) -> Column:
     """Address as written by staging: same parts, no ``/vsicurl`` and the key untouched."""
-    return F.concat_ws("/", F.rtrim(col(base), F.lit("/")), col(mode), col(region), col(bucket), col(key))
+    first, *rest = (F.rtrim(col(base), F.lit("/")), col(mode), col(region), col(bucket), col(key))
+    return F.concat(first, *(x for p in rest for x in (F.lit("/"), p)))
 
 
 def payer_mode(requester_pays) -> Column:

@@ -88,7 +88,7 @@ def delete_collection(catalog: DataFrame, collection_id: str) -> DataFrame:
     """The catalog without one collection; an unknown id is an error (checked by a short job)."""
     if catalog.where(F.col("id") == collection_id).isEmpty():
         raise ValueError(f"Collection {collection_id} not found")
-    return catalog.where(F.col("id") != collection_id)
+    return catalog.where(~F.col("id").eqNullSafe(collection_id))
 
 
 def enabled_collections(collections: DataFrame) -> DataFrame:

@@ -341,13 +341,15 @@ def nested_read_plan(plan: DataFrame, classified: DataFrame, on=()) -> DataFrame
 
 def bbox_window(
     footprints: DataFrame, window: tuple[float, float, float, float], box: str = "bbox", ring: str | None = None,
-    max_rows: int | None = 50_000, order: str | None = None,
+    max_rows: int | None = None, order: str | None = None,
 ) -> DataFrame:
     """Footprints that intersect a window given as (xmin, ymin, xmax, ymax).
 
     The four comparisons are on struct fields against constants and reach the Parquet row groups.
-    ``max_rows`` is the feature cap of a request (None for all); with ``order`` the cap is a top-k.
+    ``max_rows`` is the feature cap that a request states; it needs ``order``, so that the cap is a top-k.
     """
+    if max_rows is not None and order is None:
+        raise ValueError("a feature cap needs an order")
     xmin, ymin, xmax, ymax = (float(v) for v in window)
     b = F.col(box)
     found = footprints.where(

@@ -39,11 +39,13 @@ BLOCK = 256
 def tile_grid(ranges: DataFrame, zoom, on: tuple[str, ...] = (), rng: str = "range") -> DataFrame:
     """All tiles of each row's range; ``on`` columns are carried along."""
     r = F.col(rng)
+    # a stated number, as block rows are tiny and adaptive coalescing would put them all into one task
+    n = max(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     blocks = (
         ranges.select(*on, T.col(zoom).cast("int").alias("z"), r.alias("__r"))
         .select("*", F.explode(F.sequence(F.col("__r")["x_min"], F.col("__r")["x_max"], F.lit(BLOCK))).alias("__bx"))
         .select("*", F.explode(F.sequence(F.col("__r")["y_min"], F.col("__r")["y_max"], F.lit(BLOCK))).alias("__by"))
-        .repartition(*on, "__bx", "__by")
+        .repartition(n, *on, "__bx", "__by")
     )
 
     def opened(start: str, last: str) -> Column:

@@ -33,11 +33,15 @@ def build_session(app_name: str = "tessera", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    The fallback to a local folder serves single-machine runs only, where the setting is absent.
+    Without the setting a single-machine session gets a local folder; on a cluster its absence is an error, as
+    every executor would write to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     fallback = os.path.join(tempfile.gettempdir(), "tessera-shared")
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback

@@ -64,7 +64,7 @@ def publish_generation(
     except Exception as error:
         files.remove(spark, target)
         files.write_text(
-            spark, f"{root}/{STATUS}", json.dumps({"status": "failed", "generation": generation, "error": str(error)[:2000]})
+            spark, f"{root}/{STATUS}", json.dumps({"status": "failed", "generation": generation, "error": str(error)})
         )
         raise
     for name in files.children(spark, root):
