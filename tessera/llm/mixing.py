@@ -31,10 +31,10 @@ from .common import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 CHUNK_BITS = 12
-#: Slots generated by one row of a task.
-SEGMENT = 1 << 16
-#: Steps of the permutation's cycle walk; each ends with a chance of one half at least.
-WALK = 64
+#: Slots generated by one row of a task, such rows in a task on average, and the most tasks.
+SEGMENT, SEGMENTS, TASKS = 1 << 13, 16, 20_000
+#: Steps of the permutation's cycle walk; each ends with a chance of one half at least, so few need more than ``SHORT_WALK``.
+WALK, SHORT_WALK = 64, 4
 
 
 def size_of(text: Column) -> Column:
@@ -75,9 +75,15 @@ def permuted(x: Column, n: Column, key: Column) -> Column:
 
         return F.aggregate(p["a"], y, turn)
 
+    def go(y: Column, steps: int, p: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), y, lambda z, _: F.when(z < p["n"], z).otherwise(step(z, p)))
+
     def walk(p: Column) -> Column:
-        end = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(p["x"], p), lambda y, _: F.when(y < p["n"], y).otherwise(step(y, p)))
-        return F.when(end < p["n"], end).otherwise(F.raise_error(F.lit("permutation walk did not end")).cast("long"))
+        def rest(y: Column) -> Column:
+            end = F.transform(F.array(go(y, WALK - SHORT_WALK, p)), lambda z: F.when(z < p["n"], z).otherwise(F.raise_error(F.lit("permutation walk did not end")).cast("long")))[0]
+            return F.when(y < p["n"], y).otherwise(end)
+
+        return F.transform(F.array(go(step(p["x"], p), SHORT_WALK, p)), rest)[0]
 
     return F.transform(F.array(made), walk)[0]
 
@@ -136,7 +142,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, blo
     documents = placed.join(bases, ["rank", "chunk"]).select("rank", "chunk", "row", "size", (F.col("base") + F.col("__run")).alias("from"), "kept")
     documents = materialize(documents, "placed")
     segments = sources.filter("slots > 0").select("rank", "blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SEGMENT))).alias("segment"))
-    segments = segments.repartition("rank", "segment")
+    # a stated number of tasks: adaptive execution would put these few small rows into one task, which then draws every slot
+    n_segments = sources.agg(F.coalesce(F.sum(F.ceil(F.col("slots") / SEGMENT)), F.lit(0))).first()[0]
+    segments = segments.repartition(max(1, min(TASKS, -(-int(n_segments) // SEGMENTS))), "rank", "segment")
     last = F.least((F.col("segment") + 1) * SEGMENT, F.col("slots")) - 1
     drawn = segments.select("rank", "blocks", F.explode(F.sequence(F.col("segment") * SEGMENT, last)).alias("slot"))
     slots = drawn.select(
