@@ -190,9 +190,8 @@ SELECT z, x, y, coalesce(n, 0) AS cog_count, coalesce(inside, false) AS inside_o
 def tile_coverage(spark, sf):
     fp = footprints(spark, sf)
     tiles = tile_report.area_tiles(fp, 16)
-    few = spatial.few_tiles(tiles)
-    hits = spatial.tile_hits(tiles, fp, 16, few=few)
-    return spatial.tile_coverage(hits, fp, 16, few=few).withColumn("coverage", F.round("coverage", 6))
+    hits = spatial.tile_hits(tiles, fp, 16)
+    return spatial.tile_coverage(hits, fp, 16).withColumn("coverage", F.round("coverage", 6))
 
 
 COVERAGE = with_area(16, pairs_sql(), class_sql()) + """
@@ -285,9 +284,8 @@ FROM tiles t JOIN fx_footprints f ON f.xmin <= t.txmax AND f.xmax >= t.txmin AND
 def nested_read_plan(spark, sf):
     fp = _located(footprints(spark, sf))
     tiles = tile_report.area_tiles(fp, 16)
-    few = spatial.few_tiles(tiles)
-    plan = spatial.tile_read_plan(tiles, fp, 16, few=few)
-    nested = spatial.nested_read_plan(plan, spatial.classify_tiles(tiles, fp, 16, few=few))
+    plan = spatial.tile_read_plan(tiles, fp, 16)
+    nested = spatial.nested_read_plan(plan, spatial.classify_tiles(tiles, fp, 16))
     keys = F.transform("files", lambda f: f["key"])
     return nested.select("z", "x", "y", F.size("files").alias("n_files"), F.array_join(keys, "|").alias("keys"))
 

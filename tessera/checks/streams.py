@@ -100,15 +100,26 @@ r AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n F
 SELECT count(*) AS n, min(t) AS min, round(avg(t), 6) AS mean, {picks}, max(t) AS max FROM r"""
 
 
-def stream_index_load(spark, sf):
-    """Footprint rows arriving as a stream replace their collections."""
+def _loaded(spark, fp):
     path = scratch_path(spark, "streamed-index")
-    fp = _stream(spark, sf, "fx_footprints", "part")
     rows = fp.select("collection_id", F.concat(F.lit("/v/"), F.col("key")).alias("location"), X.file_name("key").alias("file_name"), "key", F.lit(3857).alias("native_epsg"), F.col("id").alias("seq"))
     _finish(SI.replace_collections(rows, path, path + "-checkpoint"))
     return spark.read.parquet(path).select("collection_id", "location", "file_name", "native_epsg")
 
 
+def stream_index_load(spark, sf):
+    """Footprint rows arriving as a stream replace their collections."""
+    return _loaded(spark, _stream(spark, sf, "fx_footprints", "part"))
+
+
+def stream_index_load_split(spark, sf):
+    """The same rows from several files, one file a micro-batch, so that every collection is spread over batches."""
+    source = scratch_path(spark, "split-part")
+    table(spark, sf, "part").repartition(3).write.parquet(source)
+    raw = spark.readStream.schema(table(spark, sf, "part").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return _loaded(spark, spark.sql(FIXTURES["fx_footprints"].replace("FROM part", "FROM {raw}"), raw=raw))
+
+
 STREAMED_INDEX = f"""WITH {ctes('fx_footprints')} SELECT DISTINCT collection_id, '/v/' || key AS location, regexp_extract(key, '[^/]*$') AS file_name, 3857 AS native_epsg FROM fx_footprints"""
 
 QUERIES = {
@@ -118,4 +129,5 @@ QUERIES = {
     "stream_last_samples": (stream_last_samples, SAMPLES),
     "stream_latency": (stream_latency, _latency_sql()),
     "stream_index_load": (stream_index_load, STREAMED_INDEX),
+    "stream_index_load_split": (stream_index_load_split, STREAMED_INDEX),
 }

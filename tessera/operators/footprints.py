@@ -19,12 +19,14 @@ def build_footprints(
     proxy_base: str = "http://localhost:8001",
     requester_pays: bool = False,
     source_epsg: int = 0,
+    fill_gaps: bool = False,
 ) -> DataFrame:
     """One footprint per header: native and web rings and boxes, location, EPSG and native zoom.
 
     ``headers`` has ``bucket, key, wkt, gt, width, height, bands, data_type``. No shuffle: the CRS
     parameters come from a broadcast table of fewer than 200 rows. A header in an unknown system, or one
     whose web ring is not finite, keeps its native footprint and gets a null web copy.
+    With ``fill_gaps`` a header without a code first takes the only code of its collection, see ``fill_epsg``.
     """
     name = F.lit(collection) if isinstance(collection, str) else collection
     base = headers.select(
@@ -42,7 +44,7 @@ def build_footprints(
         F.when(F.col("bands") > 0, F.col("data_type")).otherwise(F.lit("unknown")).alias("data_type"),
         G.footprint_bbox("gt", "width", "height").alias("native_bbox"),
     )
-    return with_web_copy(base)
+    return with_web_copy(fill_epsg(base, source_epsg) if fill_gaps else base)
 
 
 def with_web_copy(footprints: DataFrame) -> DataFrame:

@@ -24,9 +24,6 @@ MAX_READABLE_HITS = 4
 COVERAGE_THRESHOLD = 0.999
 TILE_CLASSES = ("empty", "interior", "seam", "partial", "too_many")
 
-# Up to this many tiles the tile side is broadcast; it is counted (no further than this) before that.
-BROADCAST_TILES = 200_000
-
 CELLS_PER_AXIS = 8
 SHIFT_STEP = 3
 # Candidate cells are widened by this share of a cell, so that rounding in the cell arithmetic can
@@ -62,15 +59,6 @@ def _cells(low: str, high: str) -> Column:
     )
 
 
-def few_tiles(tiles: DataFrame) -> bool:
-    """Whether a tile set is small enough to broadcast. Runs a job that stops at the limit.
-
-    The planner cannot tell: it takes a grid generated from one row for as small as that row, and adaptive
-    execution does not take a broadcast back when that would add a shuffle.
-    """
-    return tiles.select("z").limit(BROADCAST_TILES + 1).count() <= BROADCAST_TILES
-
-
 def _grid(zoom: Column) -> Column:
     """Zoom and cell width as one key; non-null, so that no null test drags its formula into the scan."""
     return F.coalesce(zoom.cast("int") * 64 + F.col("__shift"), F.lit(-1)).alias("__grid")
@@ -84,7 +72,6 @@ def tile_footprint_join(
     on: tuple[str, ...] = (),
     ring: str | None = None,
     max_shift: int | None = None,
-    few: bool | None = None,
 ) -> DataFrame:
     """All (tile, footprint) pairs that intersect; touching counts.
 
@@ -92,9 +79,9 @@ def tile_footprint_join(
     exact polygon tests, the 3857 ring column ``ring`` (a convex quadrilateral, closed, within ``box``). ``zoom`` is the tiles'
     zoom, as a number or as a column of ``footprints``. ``on`` names further equality keys, such as the
     collection. ``max_shift`` may state the coarsest grid when it is known (0 for footprints narrower
-    than eight tiles); otherwise it is read from the footprints as a one-row subquery. ``few`` says whether
-    the tiles may be broadcast, see ``few_tiles``; None has them counted. Many tiles meet the footprints in a
-    sort-merge join on the cell, whose skewed partitions adaptive execution splits.
+    than eight tiles); otherwise it is read from the footprints as a one-row subquery. Both sides are shuffled to the
+    cells, whatever their sizes: the planner would take a grid generated from one row for as small as that row and
+    broadcast it. Adaptive execution splits skewed cells.
 
     The result has the tile's columns with its box as ``tile_bbox``, and the footprint's other columns.
     """
@@ -120,9 +107,7 @@ def tile_footprint_join(
         .withColumn("__cy", F.call_function("shiftright", F.col("y").cast("bigint"), F.col("__shift")))
         .select(*tiles.columns, _grid(F.col("z")), "__cx", "__cy")
     )
-    if few is None:
-        few = few_tiles(tiles)
-    pairs = left.hint("broadcast" if few else "merge").join(right, keys).withColumn("tile_bbox", T.tile_bbox("x", "y", "z"))
+    pairs = left.hint("merge").join(right, keys).withColumn("tile_bbox", T.tile_bbox("x", "y", "z"))
     hits = pairs.where(G.bbox_intersects("tile_bbox", box))
     if ring is not None:
         hits = hits.where(~G.box_misses_planes("tile_bbox", "__planes"))
@@ -149,10 +134,10 @@ def _count_hits(tiles: DataFrame, pairs: DataFrame, inside: Column, on) -> DataF
 
 
 def tile_hits(
-    tiles: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None, few=None
+    tiles: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None
 ) -> DataFrame:
     """Number of footprints per tile and whether one of them contains it; tiles without hits give 0/false."""
-    pairs = tile_footprint_join(tiles.select(*_keys(on)), footprints, zoom, box, on, ring, max_shift, few)
+    pairs = tile_footprint_join(tiles.select(*_keys(on)), footprints, zoom, box, on, ring, max_shift)
     if ring is None:
         inside = G.bbox_contains(box, "tile_bbox")
     else:
@@ -194,14 +179,14 @@ def _union_of_unit_boxes(boxes: str) -> Column:
 
 
 def tile_coverage(
-    hits: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None, few=None
+    hits: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None
 ) -> DataFrame:
     """``coverage`` of each undecided tile of ``hits`` (see ``tile_hits``).
 
     Only tiles with at most four hits take part, so the list gathered per tile has at most four members.
     """
     open_tiles = undecided(hits).select(*_keys(on))
-    pairs = tile_footprint_join(open_tiles, footprints, zoom, box, on, ring, max_shift, few)
+    pairs = tile_footprint_join(open_tiles, footprints, zoom, box, on, ring, max_shift)
     if ring is None:
         part = _unit_box(box, "tile_bbox")
         gathered = pairs.groupBy(*_keys(on)).agg(F.array_sort(F.collect_list(part)).alias("__members"))
@@ -230,13 +215,11 @@ def tile_class(cog_count="cog_count", inside_one="inside_one", coverage="coverag
 
 
 def classify_tiles(
-    tiles: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None, few=None
+    tiles: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None
 ) -> DataFrame:
     """``class`` and ``cog_count`` of every tile."""
-    if few is None:
-        few = few_tiles(tiles)
-    hits = tile_hits(tiles.select(*_keys(on)), footprints, zoom, box, on, ring, max_shift, few)
-    covered = tile_coverage(hits, footprints, zoom, box, on, ring, max_shift, few)
+    hits = tile_hits(tiles.select(*_keys(on)), footprints, zoom, box, on, ring, max_shift)
+    covered = tile_coverage(hits, footprints, zoom, box, on, ring, max_shift)
     return (
         hits.join(covered, _keys(on), "left")
         .withColumn("class", tile_class())
@@ -264,7 +247,7 @@ def usable_tiles(classified: DataFrame) -> DataFrame:
 
 
 def classify_tiles_native(
-    tiles: DataFrame, footprints: DataFrame, zoom, native_box: str, web_box: str, crs: str, on=(), few=None
+    tiles: DataFrame, footprints: DataFrame, zoom, native_box: str, web_box: str, crs: str, on=()
 ) -> DataFrame:
     """Classes computed in the footprints' own CRS: the tile is reprojected, the footprint stays a box.
 
@@ -272,8 +255,6 @@ def classify_tiles_native(
     pairs still come from the 3857 grid, with the web box grown by a tile so that the curvature of edges
     between corners cannot hide a pair; the exact test then runs on the reprojected tile.
     """
-    if few is None:
-        few = few_tiles(tiles)
     size = T.tile_size(zoom)
     w = F.col(web_box)
     grown = footprints.select(
@@ -291,7 +272,7 @@ def classify_tiles_native(
         return ringed.select("*", F.inline(F.array(moved))).select("*", F.inline(F.array(shaped))).drop("__web")
 
     def exact(tile_rows: DataFrame) -> DataFrame:
-        pairs = tile_footprint_join(with_native_tile(tile_rows), grown, zoom, "__search", on, few=few)
+        pairs = tile_footprint_join(with_native_tile(tile_rows), grown, zoom, "__search", on)
         return pairs.where(
             G.bbox_intersects("__native", "__box") & ~G.box_misses_planes("__native", "__tile_planes")
         )
@@ -318,14 +299,14 @@ def classify_tiles_native(
 
 
 def tile_read_plan(
-    tiles: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None, few=None
+    tiles: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None
 ) -> DataFrame:
     """One row per tile and file to read (``key, location, tile_srs``).
 
     Kept flat: a tile under a huge number of footprints stays many rows instead of one giant array.
     Readers order by tile and key; a range-partitioned sort on those columns does so without gathering.
     """
-    pairs = tile_footprint_join(tiles.select(*_keys(on)), footprints, zoom, box, on, ring, max_shift, few)
+    pairs = tile_footprint_join(tiles.select(*_keys(on)), footprints, zoom, box, on, ring, max_shift)
     return pairs.select(*_keys(on), "key", "location", "tile_srs")
 
 

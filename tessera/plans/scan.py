@@ -170,10 +170,10 @@ def scan_collection(headers: DataFrame, s: ScanSettings, index_path: str, table_
     if "error" not in headers.columns:
         headers = headers.withColumn("error", F.lit(None).cast("string"))
     good = P.build_footprints(
-        headers.where("error IS NULL"), s.collection, s.region, s.proxy_base, s.requester_pays, s.source_epsg
+        headers.where("error IS NULL"), s.collection, s.region, s.proxy_base, s.requester_pays, s.source_epsg, fill_gaps=True
     )
     # The footprints feed the report, both indexes and the entry: write them once to the shared folder.
-    footprints = materialize(P.fill_epsg(good, s.source_epsg), "footprints")
+    footprints = materialize(good, "footprints")
     results = footprints.select("key", F.lit(None).cast("string").alias("error"), "web_ring").union(
         headers.where("error IS NOT NULL").select("key", "error", F.lit(None).cast("array<struct<x:double,y:double>>"))
     )

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Scheme and authority of a qualified path.
+SCHEME = "^[a-z0-9]+:(//[^/]*)?"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -16,6 +23,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme and authority, as file listings give it."""
+    fs, p = _fs(spark, path)
+    return fs.makeQualified(p).toString()
+
+
+def bare_text(path: str) -> str:
+    """A qualified path without scheme and authority."""
+    return re.sub(SCHEME, "", path)
+
+
+def bare(path: Column) -> Column:
+    return F.regexp_replace(path, SCHEME, "")
+
+
+def read_with_text_ids(spark: SparkSession, path: str, name: str = "collection_id") -> DataFrame:
+    """A table partitioned by ``name``, whose folder names stay text: ids such as 007 or 2024-01-01 are no numbers or dates."""
+    found = spark.read.parquet(path).schema
+    if name not in found.names:
+        return spark.read.parquet(path)
+    typed = T.StructType([T.StructField(f.name, T.StringType() if f.name == name else f.dataType) for f in found])
+    return spark.read.schema(typed).parquet(path)
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names directly under ``path``; empty when it does not exist."""
     fs, p = _fs(spark, path)

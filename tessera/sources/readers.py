@@ -44,13 +44,14 @@ def rasters(listing: DataFrame, prefix: str = "", limit: int = 0, key: str = "ke
 
 def list_rasters(spark: SparkSession, root: str, prefix: str = "", limit: int = 0) -> DataFrame:
     """Raster files under ``root/prefix``: ``key, length, modified``. File contents are never read."""
-    base = root.rstrip("/")
-    files_found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{base}/{prefix}")
-    bare = F.regexp_replace(F.col("path"), "^[a-z0-9]+:(//[^/]*)?", "")
-    anchor = F.lit(base.split("://", 1)[-1] if "://" in base else base)
-    key = F.expr("substring_index(p, a, -1)")
-    keyed = files_found.select(bare.alias("p"), anchor.alias("a"), "length", F.col("modificationTime").alias("modified"))
-    listed = keyed.select(F.ltrim(key, F.lit("/")).alias("key"), "length", "modified")
+    base = files.qualified(spark, root).rstrip("/")
+    files_found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{base}/{prefix.rpartition('/')[0]}".rstrip("/"))
+    # keys are what follows the root at the beginning of the path, so that a root's name may come again below it
+    listed = files_found.select(
+        F.substring(files.bare(F.col("path")), F.lit(len(files.bare_text(base)) + 2), F.length("path")).alias("key"),
+        "length",
+        F.col("modificationTime").alias("modified"),
+    )
     return rasters(listed, prefix, limit)
 
 
@@ -157,7 +158,7 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 def read_index(spark: SparkSession, path: str, collection_id: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """Index rows of one collection: the partition filter and the column list both reach the scan."""
-    df = spark.read.parquet(path)
+    df = files.read_with_text_ids(spark, path)
     if collection_id is not None:
         df = by_collection(df, collection_id)
     return df.select(*columns) if columns else df

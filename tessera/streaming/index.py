@@ -7,21 +7,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import ranks
+from ..session import materialize
+from ..sources import files
 
 
 def replace_collections(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Footprint-table rows arrive as whole collections; each one seen in a micro-batch replaces its partition.
+    """Footprint-table rows arrive as loads of collections; a load may be spread over any number of micro-batches.
 
-    If a location repeats within the batch, the row of the highest ``seq`` wins.
+    ``load`` names the scan a row belongs to; without that column, all rows of one checkpoint are one load. Rows join
+    what is stored of their own load and replace what is stored of another, so the result does not depend on how
+    rows fall into batches. If a location repeats within a load, the row of the highest ``seq`` wins. Of several
+    loads of a collection in one batch the highest counts. ``load`` and ``seq`` stay in the table.
     """
-
-    def load(batch: DataFrame, _batch_id: int) -> None:
-        latest = ranks.keep_first(batch, ["collection_id", "location"], [F.col("seq").desc()]).drop("seq")
+    if "load" not in rows.columns:
+        rows = rows.withColumn("load", F.lit(checkpoint))
+
+    def run(batch: DataFrame, _batch_id: int) -> None:
+        spark = batch.sparkSession
+        loads = batch.groupBy("collection_id").agg(F.max("load").alias("load"))
+        rows_now = batch
+        if files.children(spark, path):
+            rows_now = batch.unionByName(files.read_with_text_ids(spark, path).select(*batch.columns))
+        current = rows_now.join(loads, ["collection_id", "load"], "left_semi")
+        latest = ranks.keep_first(current, ["collection_id", "location"], [F.col("seq").desc()])
+        # written aside first: the partitions that are replaced are also read
+        ready = materialize(latest.select(*batch.columns), "index-load")
         keys = ["collection_id", "native_epsg", "key"]
         (
-            latest.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            ready.repartitionByRange(*keys).sortWithinPartitions(*keys)
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("collection_id").parquet(path)
         )
 
-    return rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+    return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
