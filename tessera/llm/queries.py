@@ -28,7 +28,11 @@ def joined(spans: str) -> Column:
 
 def op2_secrets(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.find(table(spark, sf, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+
+    def count(kind: str) -> Column:  # the filter function takes one argument: a second one would be the index
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in secrets.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
