@@ -410,17 +410,20 @@ def near_copies(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str =
 
 
 def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest id, once; columns unchanged.
+    """The rows of ``docs`` that stay: one of each component, columns unchanged.
 
-    Rows without an id stay only where their component has no id, one of them. Repeated rows of the id that stays
-    are reduced to one.
+    It is the row with the smallest id (null ids last), of these the one with the smallest hash over all columns, so
+    ids that stand for several texts neither lose a component nor make reruns differ.
     """
-    group = near_copies(docs, words, radius, id_col, text_col)
-    winners = group.groupBy("component_id").agg(F.count(F.lit(1)))  # ids that stay; null: components without ids
-    ids = winners.filter("component_id is not null").select(F.col("component_id").alias(id_col))
-    kept = docs.join(ids, id_col, "left_semi")
-    first = kept.dropDuplicates([id_col])
-    lone = group.filter("component_id is null").groupBy("fp").agg(F.count(F.lit(1)).alias("__n")).select("fp")
-    nameless = docs.filter(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"))
-    marked = fingerprints(nameless, words, "__text", ["__row"]).join(lone, "fp", "left_semi").dropDuplicates(["fp"]).select("__row.*")
-    return first.select(*docs.columns).unionByName(marked)
+    rows = docs.withColumn("__row", F.xxhash64(F.struct(*docs.columns)))
+    marked = materialize(fingerprints(rows, words, text_col, [id_col, "__row"]), "fingerprints")
+    distinct = materialize(marked.select("fp").distinct(), "distinct-fingerprints")
+    return _survivors(rows, marked, "fp", components(links(distinct, radius)), id_col)
+
+
+def _survivors(rows: DataFrame, marked: DataFrame, key: str, found: DataFrame, id_col: str) -> DataFrame:
+    """The first row of each component: ``marked`` has the id, ``__row`` and node (``key``) of each row, ``found`` (node, root)."""
+    rooted = marked.join(found, marked[key] == found["node"], "left").withColumn("__root", F.coalesce("root", key))
+    order = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    first = rooted.groupBy("__root").agg(F.min(order).alias("x")).select(F.col("x.row").alias("__row"))
+    return rows.join(first, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")

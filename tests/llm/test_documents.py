@@ -186,6 +186,15 @@ def test_simhash_odd_rows(spark, odd):
     assert sorted(r["text"] for r in simhash.one_of_each(nameless).collect()) == ["a b c d e", "q r s t u v"]
 
 
+def test_survivors_are_rows(spark):
+    """One id over two texts: each of the two groups keeps one row, the same one on every layout."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a, "x"), (1, b, "x"), (2, b, "y"), (3, a, "z"), (1, a, "x"), (4, "another text that stands alone here", "w")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id bigint, text string, source string").repartition(3)
+        assert sorted(map(tuple, simhash.one_of_each(df).collect())) == sorted([(1, a, "x"), (1, b, "x"), (4, "another text that stands alone here", "w")])
+
+
 # ----------------------------------------------------------------------------------------------------- toxicity
 
 
