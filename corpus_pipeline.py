@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of linked SimHash fingerprints."""
-    return simhash.one_of_each(docs)
+    """One document, the one with the smallest id, of each group linked by Jaccard 0.8 or more of 5-word shingles."""
+    return simhash.one_of_similar(docs, words=5, similarity=0.8)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

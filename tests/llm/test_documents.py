@@ -195,6 +195,40 @@ def test_survivors_are_rows(spark):
         assert sorted(map(tuple, simhash.one_of_each(df).collect())) == sorted([(1, a, "x"), (1, b, "x"), (4, "another text that stands alone here", "w")])
 
 
+def test_similar_texts_are_reduced_whatever_their_fingerprints(spark):
+    """All pairs of 5-word Jaccard 0.8 or more by comparing everything, on the tables and on planted copies of many sizes of edit."""
+    rng = np.random.default_rng(8)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    for g in range(30):
+        base = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(8, 300))]
+        for k in range(4):
+            copy = list(base)
+            for _ in range(k * len(base) // 60):
+                copy[rng.integers(0, len(copy))] = f"e{rng.integers(0, 10**6)}"
+            texts[10**6 + 10 * g + k] = " ".join(copy)
+    ids = sorted(texts)
+    words = [texts[i].encode().lower().split() for i in ids]
+    sets = [{b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    where, root, far = defaultdict(list), list(range(len(ids))), 0
+    for i, s in enumerate(sets):
+        for j in Counter(j for x in s or {None} for j in where[x]).items():
+            both = j[1] if s else 0
+            if not s or both >= 0.8 * (len(s) + len(sets[j[0]]) - both):
+                far += bin(fingerprint_reference(texts[ids[i]]) ^ fingerprint_reference(texts[ids[j[0]]])).count("1") > 4
+                a, b = i, j[0]
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                root[max(a, b)] = min(a, b)
+        for x in s or {None}:
+            where[x].append(i)
+    assert far > 10
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    got = sorted(r["doc_id"] for r in simhash.one_of_similar(df).collect())
+    assert got == [ids[i] for i in range(len(ids)) if root[i] == i]
+
+
 # ----------------------------------------------------------------------------------------------------- toxicity
 
 
