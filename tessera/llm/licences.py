@@ -8,6 +8,13 @@ a template of b only if b least / (2 - least) <= a <= b (2 - least) / least; the
 their bigrams are exploded and templates in the join. Bigrams of the segments that are left meet the templates'
 in an equi-join, which the planner broadcasts if the templates are small; matches are counted per segment.
 
+Besides, notices that no such segment holds are found in runs of adjacent sentences, across lines and paragraphs (kind
+``run``, ``place`` counts sentences of one word or more from 0). A run counts if its words make m low .. m high bigrams,
+repeats included, for the template's m. Its first and last sentence share a bigram with the template, as others only
+lower the score. Runs that touch a line, paragraph or text that reaches ``least`` with the same template are left to it;
+of overlapping runs of one licence the best is kept, then the shortest, then the first. A run of Dice ``least`` has
+m low or more of the template's bigrams, so only texts with so many are cut into sentences.
+
 Defined results: null text = empty text = no match. A segment's best template is kept, ties to the smaller
 ``licence``. Repeated rows match as often as they occur. An empty table gives none. Extra columns are ignored.
 """
@@ -42,6 +49,48 @@ def bigrams(text: str) -> str:
     return f"transform(array(split({normal}, ' ')), w -> array_distinct(transform(slice(w, 1, greatest(size(w) - 1, 0)), (x, i) -> concat(x, ' ', w[i + 1]))))[0]"
 
 
+def words(text: str) -> str:
+    """SQL for the words of the normalised SQL expression ``text``."""
+    return f"filter(split(regexp_replace(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+', ' '), ' '), x -> x != '')"
+
+
+def pairs_of(w: str) -> str:
+    """SQL for the distinct bigrams of an array of words, which is evaluated once."""
+    return f"transform(array({w}), v -> array_distinct(transform(slice(v, 1, greatest(size(v) - 1, 0)), (x, i) -> concat(x, ' ', v[i + 1]))))[0]"
+
+
+def dice(grams: str) -> str:
+    """SQL for the Dice coefficient of distinct bigrams and those of the template ``t``."""
+    return f"transform(array({grams}), g -> 2D * size(array_intersect(g, t.b)) / (size(g) + size(t.b)))[0]"
+
+
+def runs(docs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(__id, kind, place, licence, score) of the runs in the rows (__id, __t); templates are held in one row."""
+    low, high = least / (2 - least), (2 - least) / least
+    once = lambda x: F.explode(F.expr(f"array({x})"))  # noqa: E731  a generator: what reads the column does not repeat it
+    held = known.agg(F.array_sort(F.collect_list(F.struct("licence", "b"))).alias("ts"))
+    held = held.select("ts", F.expr("array_distinct(flatten(transform(ts, t -> t.b)))").alias("every"))
+    some = docs.crossJoin(F.broadcast(held)).withColumn("hit", once(f"array_intersect({bigrams('__t')}, every)")).filter("size(hit) > 0")
+    some = some.withColumn("t", F.explode(F.expr(f"filter(ts, t -> size(array_intersect(hit, t.b)) >= size(t.b) * {low} - 1e-9)"))).drop("ts", "every", "hit")
+    grams = pairs_of(words("z"))
+    sentences = f"filter(transform(split(l, '(?<=[.!?])\\\\s+'), s -> named_struct('w', {words('s')}, 'held', lheld or pheld or theld)), u -> size(u.w) > 0)"
+    reaches = lambda x: f"({dice(grams.replace('lower(z)', f'lower({x})'))} >= {least})"
+    lines = f"flatten(transform(split(p, '\\n'), l -> transform(array({reaches('l')}), lheld -> {sentences})[0]))"
+    units = f"flatten(transform(split(__t, '\\n[ \\t\\r]*\\n'), p -> transform(array({reaches('p')}), pheld -> {lines})[0]))"
+    some = some.withColumn("u", once(f"transform(array({reaches('__t')}), theld -> {units})[0]"))
+    around = "concat(if(k > 0, slice(u[k - 1].w, -1, 1), cast(array() as array<string>)), u[k].w, if(k + 1 < size(u), slice(u[k + 1].w, 1, 1), cast(array() as array<string>)))"
+    touching = f"filter(sequence(0, size(u) - 1), k -> not u[k].held and arrays_overlap({pairs_of(around)}, t.b))"
+    some = some.filter("size(u) > 0").withColumn("at", once(touching))
+    # sentences of one word at least: a run has no more of them than words
+    some = some.withColumn("from", F.explode("at")).withColumn("to", F.explode(F.expr(f"filter(at, j -> j >= from and j - from <= size(t.b) * {high})")))
+    some = some.withColumn("r", once("slice(u, from + 1, to - from + 1)")).filter("not exists(r, x -> x.held)")
+    some = some.withColumn("w", once("flatten(transform(r, x -> x.w))")).filter(f"size(w) - 1 between size(t.b) * {low} - 1e-9 and size(t.b) * {high} + 1e-9")
+    some = some.select("__id", "__row", "t.licence", "from", "to", once(dice(pairs_of("w"))).alias("score")).filter(F.col("score") >= least)
+    found = some.groupBy("__row", "__id", "licence").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (F.col("to") - F.col("from")).alias("n"), "from", "to"))).alias("a"))
+    best = "aggregate(a, slice(a, 1, 0), (acc, r) -> if(exists(acc, x -> x.from <= r.to and r.from <= x.to), acc, concat(acc, array(r))))"
+    return found.withColumn("x", F.explode(F.expr(best))).select("__id", F.lit("run").alias("kind"), F.col("x.from").alias("place"), "licence", (-F.col("x.s")).alias("score"))
+
+
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
     """(licence, template) rows."""
     rows = sorted((templates or TEMPLATES).items())
@@ -51,7 +100,7 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
 def find(docs: DataFrame, templates: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kind, place, licence, score) for every segment whose best template reaches ``least``.
 
-    ``kind`` is line, paragraph or text; ``place`` counts the segments of a kind in the text from 0.
+    ``kind`` is line, paragraph, text or run; ``place`` counts the segments of a kind in the text from 0.
     """
     low, high = least / (2 - least), (2 - least) / least
     known = templates.select("licence", F.expr(bigrams("template")).alias("b")).filter("size(b) > 0").select("licence", F.size("b").alias("m"), "b")
@@ -72,7 +121,9 @@ def find(docs: DataFrame, templates: DataFrame, least: float = LEAST, id_col: st
     counts = near.groupBy("__row", "__id", "kind", "place", "n", "licence", "m").agg(F.count(F.lit(1)).alias("both"))
     scored = counts.withColumn("score", 2 * F.col("both") / (F.col("n") + F.col("m"))).filter(F.col("score") >= least)
     best = scored.groupBy("__row", "__id", "kind", "place").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("x"))
-    return best.select(F.col("__id").alias(id_col), "kind", F.col("place").cast("long").alias("place"), F.col("x.licence").alias("licence"), (-F.col("x.s")).alias("score"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.expr(text).alias("__t"), F.monotonically_increasing_id().alias("__row"))
+    best = best.select("__id", "kind", "place", "x.licence", (-F.col("x.s")).alias("score")).unionByName(runs(rows, known.select("licence", "b"), least))
+    return best.select(F.col("__id").alias(id_col), "kind", F.col("place").cast("long").alias("place"), "licence", "score")
 
 
 def oracle(templates: dict[str, str] | None = None, least: float = LEAST) -> str:

@@ -124,3 +124,38 @@ def test_vp_trees_odd_rows(spark):
     got = sorted(map(tuple, vptree.nearest(df, df.filter("vec_id % 20 = 0"), 20).collect()))
     assert got == [(0, 1, 1, 4.5), (0, 2, 7, 4.5), (0, 3, 7, 4.5)]
     assert vptree.nearest(df.limit(0), df, 3).count() == 0 and vptree.nearest(df, df.limit(0), 3).count() == 0
+
+
+def test_notices_across_paragraphs_and_inside_lines(spark):
+    """Standard headers with blank lines inside a longer document, and a licence sentence inside a line of prose."""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+    prose = "\n\n".join(f"Paragraph {i} says that the weather of day {i} was fine. Nobody went out all the same." for i in range(40))
+    docs = [
+        (1, f"{prose}\n\n{apache}\n\n{prose}"), (2, f"{prose}\n\n{gpl}\n\n{prose}"), (3, "Our tools are free to use. Released under the MIT License. Please write to us."),
+        (4, "Released under the MIT License."), (5, prose), (6, None), (7, f"{prose}\n\n{apache}\n\n{prose}\n\n{apache}"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = [(r["doc_id"], r["kind"], r["licence"]) for r in licences.find(df, licences.template_table(spark)).collect() if not (r["kind"] == "line" and r["licence"] == "apache-2.0-line")]
+    assert sorted(got) == [(1, "run", "apache-2.0-notice"), (2, "run", "gpl-3.0-notice"), (3, "run", "mit-line"), (4, "line", "mit-line"), (7, "run", "apache-2.0-notice"), (7, "run", "apache-2.0-notice")]
