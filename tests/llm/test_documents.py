@@ -96,6 +96,19 @@ def test_random_tokens_are_found_and_words_left(spark):
     assert not any(found[100 + i] for i in range(60))
 
 
+def test_parts_of_runs():
+    """Names before an equals sign, marks of both alphabets, and runs that a base span overlaps in part."""
+    rng = np.random.default_rng(4)
+    token, mixed = "".join(rng.choice(list(secrets.ENCODINGS["base62"]), 40)), "".join(rng.choice(list(secrets.ENCODINGS["base64url"]), 40))
+    for text, part in (
+        (f"AWS_ACCOUNT_VALUE={token}", token), (f"export STRIPE_KEY=sk_live_{token}; x", f"sk_live_{token}"), (f"a=b={token}==&c", token + "=="),
+        (f"get/it+now/{mixed}", mixed.strip("+/")), (f"https://a.example/x_y/{token}?q", token), (f"password=abcdefgh/{token}", None), ("0123456789abcdef01234567" + token[:0] + f"Z{token}", "Z" + token),
+    ):
+        found = [text[c[0] : c[1]] for c in secrets.scan_text(text)[1]]
+        assert part is None and not found or any(part in f for f in found), text
+    assert secrets.scan_text("a-b/c_d+" * 10)[1] == []
+
+
 def test_redaction(spark, odd):
     df = spark.createDataFrame([(1, "a password=abcdefgh b " + "0" * 8 + "f" * 24 + " c", 60), (2, "clean", 5), (3, None, None), (4, "token=" + "a" * 30, 36)], "doc_id bigint, text string, n_chars bigint")
     out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(df).collect()}
