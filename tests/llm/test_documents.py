@@ -109,6 +109,20 @@ def test_parts_of_runs():
     assert secrets.scan_text("a-b/c_d+" * 10)[1] == []
 
 
+def test_ordinary_identifiers_are_not_reported(spark):
+    """Short clean identifiers, whose random look the battery cannot tell, alone and beside tokens; tokens of a length with power stay."""
+    rng = np.random.default_rng(6)
+    names = ["Windows10UpdateBlocker", "SpringBootQuickJava17", "Version20240315Build1287", "Python3PackageIndex2", "Kubernetes1Cluster29Node"]
+    prose = "The house at the end of the street was sold to a teacher who had lived in the north for years and wanted to be near the sea in the end. "
+    rows = [(i, f"{prose} {names[i % 5]} {prose}") for i in range(300)]
+    rows += [(1000 + i, f"{prose} {''.join(rng.choice(list(secrets.ENCODINGS['base62']), 60))} {prose}") for i in range(100)]
+    found = {r["doc_id"]: r["spans"] for r in secrets.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert not any(found[i] for i in range(300))
+    assert sum(bool(found[1000 + i]) for i in range(100)) >= 90
+    few = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "doc_id bigint, text string")
+    assert not any(r["spans"] for r in secrets.find(few).collect())
+
+
 def test_redaction(spark, odd):
     df = spark.createDataFrame([(1, "a password=abcdefgh b " + "0" * 8 + "f" * 24 + " c", 60), (2, "clean", 5), (3, None, None), (4, "token=" + "a" * 30, 36)], "doc_id bigint, text string, n_chars bigint")
     out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(df).collect()}
