@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, idfiles, licences, mixing, pages, secrets, simhash, toxicity, vptree
+from . import bpe, fingerprint, idfiles, licences, merkle, mixing, pages, secrets, simhash, toxicity, vptree
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op10_vp_trees(spark: SparkSession, sf: str) -> DataFrame:
     return vptree.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
 
 
+def op13_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.checked(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": (op1_fingerprints, None),
     "op2_secrets": (op2_secrets, None),
@@ -89,4 +93,5 @@ QUERIES = {
     "op8_bpe": (op8_bpe, None),
     "op9_mixing": (op9_mixing, None),
     "op10_vp_trees": (op10_vp_trees, None),
+    "op13_merkle": (op13_merkle, merkle.oracle()),
 }
