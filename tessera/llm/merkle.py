@@ -100,12 +100,11 @@ def _paths(nodes: DataFrame, payload: list[str], above: DataFrame, fan: int, eve
         left = f"array_join(slice(d{t}, cast({at} - {at} % {fan} + 1 as int), cast({at} % {fan} as int)), '')"
         right = f"array_join(slice(d{t}, cast({at} + 2 as int), cast({fan - 1} - {at} % {fan} as int)), '')"
         steps.append(f"if(sub = 0 and size(d{t}) = 1, cast(array() as {PATH}), array(struct({left} as left, {right} as right)))")
-    names = ["p", "d", *payload]
-    kept = ", ".join(f"x.{c} as {c}" for c in names)
     up = above.select("g", F.col("p").alias("sub"), F.col("path").alias("above"), "top")
     joined = _members(nodes, payload, fan, every).join(up.hint("merge"), ["g", "sub"])
-    one = joined.select("g", "top", F.expr(f"explode(transform(m, (x, i) -> struct({kept}, concat({', '.join(steps)}, above) as path)))").alias("x"))
-    return one.select("g", "top", "x.*")
+    levels = [f"d{t}" for t in range(every)]
+    one = joined.select("g", "sub", "top", "above", *levels, F.posexplode("m").alias("i", "x"))  # the paths of a subtree are never held together
+    return one.select("g", "top", *[f"x.{c}" for c in ("p", "d", *payload)], F.expr(f"concat({', '.join(steps)}, above)").alias("path"))
 
 
 @dataclass
