@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, idfiles, licences, merkle, mixing, pages, secrets, simhash, toxicity, vptree
+from . import bpe, fingerprint, idfiles, licences, merkle, mixing, pages, pii, secrets, simhash, toxicity, vptree
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -78,6 +78,16 @@ def op10_vp_trees(spark: SparkSession, sf: str) -> DataFrame:
     return vptree.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
 
 
+def op12_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(table(spark, sf, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op13_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.checked(table(spark, sf, "documents"))
 
@@ -93,5 +103,6 @@ QUERIES = {
     "op8_bpe": (op8_bpe, None),
     "op9_mixing": (op9_mixing, None),
     "op10_vp_trees": (op10_vp_trees, None),
+    "op12_pii": (op12_pii, None),
     "op13_merkle": (op13_merkle, merkle.oracle()),
 }
