@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, idfiles, licences, merkle, mixing, pages, pii, secrets, simhash, toxicity, vptree
+from . import align, bpe, fingerprint, idfiles, licences, merkle, mixing, pages, pii, secrets, simhash, toxicity, vptree
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -78,6 +78,11 @@ def op10_vp_trees(spark: SparkSession, sf: str) -> DataFrame:
     return vptree.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    found, _ = align.align(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_pii(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find(table(spark, sf, "documents"))
 
@@ -103,6 +108,7 @@ QUERIES = {
     "op8_bpe": (op8_bpe, None),
     "op9_mixing": (op9_mixing, None),
     "op10_vp_trees": (op10_vp_trees, None),
+    "op11_alignment": (op11_alignment, None),
     "op12_pii": (op12_pii, None),
     "op13_merkle": (op13_merkle, merkle.oracle()),
 }
