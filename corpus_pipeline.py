@@ -3,6 +3,12 @@ mixed to target weights, and texts become token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the stages between are written as Parquet to the
 shared folder and read again, so that a stage starts from files and survives lost executors.
+
+Defined results: a null text counts as empty where a stage reads it and stays null. Empty texts are not toxic, share
+fingerprint zero (one of them stays), hold no secrets, have size zero in the mix and no ids. Texts are read whole. Rows
+with a null id are rows like others and come last where ids decide; null sources are a source of their own. Repeated rows
+are near copies of each other, so one stays; after the mix a document may come up to three times. Empty tables pass
+through. Columns of the caller keep their names, order and values, whatever the operators call theirs.
 """
 
 from __future__ import annotations
@@ -17,13 +23,14 @@ from tessera.llm.common import materialize
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 by a model of this corpus' labels."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs.withColumnRenamed("text", "__raw"), model, "__raw", ["__raw", *[c for c in docs.columns if c != "text"]])
-    return scored.filter("score < 0.5").withColumnRenamed("__raw", "text").select(*docs.columns)
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    scored = toxicity.score(docs.toDF(*names), model, names[docs.columns.index("text")], names)
+    return scored.filter("score < 0.5").drop("score").toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by Jaccard 0.8 or more of 5-word shingles."""
-    return simhash.one_of_similar(docs, words=5, similarity=0.8)
+    """One document, the one with the smallest id, of each group linked by 4 or fewer differing bits of 4-word shingles' fingerprints."""
+    return simhash.one_of_each(docs, words=4, radius=4)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
