@@ -2,11 +2,11 @@
 
 File format (little endian), one file per shard, documents in ascending id (null ids last, then by text hash)::
 
-    8 bytes   magic "EFIDS01\\n"
-    u64 x 4   documents, ids, documents without an id, smallest document id (as two's complement)
+    8 bytes   magic "EFIDS02\\n"
+    u64 x 5   documents, ids, documents without an id, smallest document id (as two's complement), bytes of an id
     3 coded sequences: boundaries (documents + 1 values, 0 .. ids), document ids less the smallest, as below
               (the third is reserved and empty)
-    u32 x ids the ids
+    ids       2 bytes each where the vocabulary has at most 65,536 entries, else 4
 
 A coded sequence of n non-decreasing values up to u: u64 n, u64 l, u64 bytes of lows, u64 bytes of highs; the low l
 bits of every value, packed; the high parts as unary gaps; and for every 64 bytes of those the number of ones before
@@ -14,8 +14,8 @@ it (u32), with which ``select`` finds the i-th value without a table of 64-bit o
 bits a document.
 
 Encoding takes the tokenizers library. It drops white space, so a text is encoded by its chunks between white space,
-and a task remembers the ids of up to ``CACHE`` chunks. Texts with the control characters U+001C to U+001F, which
-Python but not the library takes for white space, are encoded whole.
+and a task remembers the ids of up to ``CACHE`` chunks. Texts with the strings of added tokens, and those with the control
+characters U+001C to U+001F, which Python but not the library takes for white space, are encoded whole.
 
 Files go to a folder that all executors reach, through the file system of its URI. A file is written under another
 name and moved, and its content follows from the rows alone, so a task that runs again writes the same file.
@@ -26,6 +26,7 @@ are documents of their own. An empty table writes no file. Extra columns are ign
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -44,10 +45,11 @@ from tessera.session import scratch_path
 
 from .common import materialize, slices
 
-MAGIC = b"EFIDS01\n"
+MAGIC = b"EFIDS02\n"
 SHARD_IDS = 1 << 22
 CACHE = 500_000
-CONTROL = re.compile("[\x1c-\x1f]")
+#: Characters whose form, case or class is left to the library; U+0130 becomes two when lower-cased.
+OTHER = re.compile("[^\x21-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]")
 
 
 class EliasFano:
@@ -110,28 +112,60 @@ class EliasFano:
 
 
 class Encoder:
-    """Ids of texts as packed unsigned 32-bit integers, by chunks that are remembered."""
+    """Ids of texts as packed unsigned integers of ``width`` bytes, by chunks between white space that are remembered.
+
+    The strings of added tokens in a text are those tokens, as in the library. Chunks of Latin letters, digits and marks are
+    lower-cased and cut by the file's pattern here, and the library is asked for their pieces only; others it gets whole.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        data = json.loads(self.tokenizer.to_str())
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        added = "|".join(re.escape(t["content"]) for t in data["added_tokens"])
+        self.whole = re.compile("[\x1c-\x1f]" + (f"|{added}" if added else ""))
         self.known: dict[str, bytes] = {}
+        self.pieces = None
+        steps = data.get("normalizer") or {}
+        split = (data.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        suffix = data["model"].get("end_of_word_suffix")
+        if [n["type"] for n in steps.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"] and suffix:
+            self.pieces = regex.compile(split[0]["pattern"]["Regex"])
+            self.bare = Tokenizer.from_file(tokenizer_file)
+            self.bare.normalizer = None
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_pieces(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks without characters that ``OTHER`` names: NFC leaves them, and every piece ends with a token that ends a word."""
+        found = [self.pieces.findall(c.lower()) for c in chunks]
+        encoded = self.bare.encode_batch_fast([" ".join(x for some in found[a : a + 500] for x in some) for a in range(0, len(found), 500)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, f"<u{self.width}") for e in encoded])
+        last = np.cumsum([len(some) for some in found]) - 1
+        cuts = (self.width * (np.flatnonzero(self.ends[ids])[last] + 1)).tolist()
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [t if CONTROL.search(t) else None for t in texts]
+        whole = [t if self.whole.search(t) else None for t in texts]
         chunks = [t.split() if w is None else [] for t, w in zip(texts, whole)]
         if len(self.known) > CACHE:
             self.known = {}
-        missing = list({c for some in chunks for c in some if c not in self.known})
-        for a in range(0, len(missing), 4096):
-            part = missing[a : a + 4096]
-            self.known.update(zip(part, self._ids(part)))
+        missing = set().union(*chunks) - self.known.keys()
+        plain = [c for c in missing if self.pieces is not None and not OTHER.search(c)]
+        for some, ids in ((plain, self._of_pieces), (list(missing.difference(plain)), self._ids)):
+            for a in range(0, len(some), 50_000):
+                part = some[a : a + 50_000]
+                self.known.update(zip(part, ids(part)))
         get = self.known.__getitem__
         return [b"".join(map(get, some)) if w is None else self._ids([w])[0] for some, w in zip(chunks, whole)]
 
@@ -141,13 +175,13 @@ def encoder_of(tokenizer_file: str) -> Encoder:
     return Encoder(tokenizer_file)
 
 
-def pack(doc_ids: list[int | None], docs: list[bytes]) -> bytes:
+def pack(doc_ids: list[int | None], docs: list[bytes], width: int) -> bytes:
     """A shard's file."""
     known = [i for i in doc_ids if i is not None]
     least = min(known, default=0)
-    lengths = np.array([len(d) // 4 for d in docs], np.int64)
+    lengths = np.array([len(d) // width for d in docs], np.int64)
     bounds = np.concatenate([[0], np.cumsum(lengths)])
-    head = np.array([len(docs), int(bounds[-1]), len(docs) - len(known), least % (1 << 64)], "<u8").tobytes()
+    head = np.array([len(docs), int(bounds[-1]), len(docs) - len(known), least % (1 << 64), width], "<u8").tobytes()
     parts = [EliasFano.of(bounds).dump(), EliasFano.of(np.array([i - least for i in known], np.uint64)).dump(), EliasFano.of(np.zeros(0, np.uint64)).dump()]
     return b"".join([MAGIC, head, *parts, *docs])
 
@@ -159,13 +193,13 @@ class Shard:
         view = memoryview(data)
         if bytes(view[:8]) != MAGIC:
             raise ValueError("not a token id file")
-        self.n_docs, self.n_ids, self.n_null, least = (int(x) for x in np.frombuffer(view[8:40], "<u8"))
+        self.n_docs, self.n_ids, self.n_null, least, self.width = (int(x) for x in np.frombuffer(view[8:48], "<u8"))
         least = least - (1 << 64) if least >= 1 << 63 else least
-        self.bounds, at = EliasFano.load(view, 40)
+        self.bounds, at = EliasFano.load(view, 48)
         ids, at = EliasFano.load(view, at)
         _, at = EliasFano.load(view, at)
         self.doc_ids = [int(x) + least for x in ids.select(np.arange(ids.n))] + [None] * self.n_null
-        self.data = view[at : at + 4 * self.n_ids]
+        self.ids = np.frombuffer(view[at : at + self.width * self.n_ids], f"<u{self.width}")
 
     def offsets(self, first: int, last: int) -> np.ndarray:
         """Boundaries of documents first to last: one more than there are documents."""
@@ -195,28 +229,29 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 2, id
     rows = docs.select(F.col(id_col).cast("bigint").alias("__id"), text.alias("__text"), F.xxhash64(text).alias("__hash"))
     order = (F.col("__id").asc_nulls_last(), F.col("__hash"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("__id", "__text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = encoder_of(tokenizer_file), TaskContext.get().partitionId()
+        width = encoder.width
+        end = np.array([end_id], f"<u{width}").tobytes()
         ids: list[int | None] = []
         packed: list[bytes] = []
         size = shard = 0
 
         def flush() -> pa.RecordBatch:
-            path = _save(folder, f"part-{part:06d}-{shard:06d}.efids", pack(ids, packed))
+            path = _save(folder, f"part-{part:06d}-{shard:06d}.efids", pack(ids, packed, width))
             return pa.RecordBatch.from_pylist([{"path": path, "part": part, "shard": shard, "n_docs": len(ids), "n_ids": size}], schema=manifest)
 
         for whole in batches:
             for b in slices(whole, 1):
                 for i, x in zip(b.column(0).to_pylist(), encoder(b.column(1).to_pylist())):
                     x += end
-                    if ids and size + len(x) // 4 > shard_ids:
+                    if ids and size + len(x) // width > shard_ids:
                         yield flush()
                         ids, packed, size, shard = [], [], 0, shard + 1
                     ids.append(i)
                     packed.append(x)
-                    size += len(x) // 4
+                    size += len(x) // width
         if ids:
             yield flush()
 
@@ -239,9 +274,10 @@ def read(files: DataFrame, with_ids: bool = False) -> DataFrame:
                 for a in range(0, shard.n_docs, 4096):
                     e = min(shard.n_docs, a + 4096)
                     at = shard.offsets(a, e)
-                    ids = [shard.data[4 * s : 4 * t] for s, t in zip(at[:-1].tolist(), at[1:].tolist())]
+                    wide = shard.ids[at[0] : at[-1]].astype("<u4").tobytes()
+                    ids = [wide[4 * s : 4 * t] for s, t in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist())]
                     made = [pa.array(shard.doc_ids[a:e], pa.int64()), pa.array(at[:-1] + start), pa.array(np.diff(at)), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*made, *([pa.array([bytes(x) for x in ids], pa.binary())] if with_ids else [])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([*made, *([pa.array(ids, pa.binary())] if with_ids else [])], schema=schema)
 
     ddl = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     return files.select("path", "start").repartition("path").mapInArrow(run, ddl)

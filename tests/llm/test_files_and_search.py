@@ -31,18 +31,25 @@ def test_elias_fano(gaps, scale):
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(TOKENIZER)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from([*"aZé.,'’s 3½ßΣİ\t\n\x1c\x1f\x85\xa0 ", "\u0301", "\u0307", "e\u0301", "<|endoftext|>", "ﬁ", "日本"]), max_size=40).map("".join))
+@given(st.lists(st.sampled_from([*"aZé.,'’s 3½ßΣİ\t\n\x1c\x1f\x85\xa0 ", "\u0301", "\u0307", "e\u0301", "<|endoftext|>", "<|startoftext|>", "ﬁ", "日本", "İ", "'re", "ª²"]), max_size=40).map("".join))
 def test_chunks_encode_as_the_whole_text(text):
-    got = np.frombuffer(idfiles.encoder_of(TOKENIZER)([text])[0], "<u4").tolist()
+    encoder = idfiles.encoder_of(TOKENIZER)
+    got = np.frombuffer(encoder([text])[0], f"<u{encoder.width}").tolist()
     assert got == library().encode(text, add_special_tokens=False).ids
 
 
+def test_strings_of_added_tokens():
+    encoder = idfiles.encoder_of(TOKENIZER)
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder(["a <|endoftext|> b", "A<|startoftext|>b <|endoftext", "x"])] == [
+        library().encode(t, add_special_tokens=False).ids for t in ("a <|endoftext|> b", "A<|startoftext|>b <|endoftext", "x")
+    ]
+    assert library().encode("a <|endoftext|> b", add_special_tokens=False).ids == [320, 49407, 321]
+
+
 def test_id_files_query(spark):
     docs = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()))
     rows = {r["doc_id"]: r for r in queries.op6_id_files(spark, SF).collect()}
