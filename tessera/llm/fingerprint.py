@@ -1,7 +1,7 @@
 """Document fingerprints by invertible Bloom lookup sketches, with DataFrame functions only.
 
-A text is cut into paragraphs: lines, long ones cut at sentence ends or else by length, always counted from the start
-of the line, so an edit leaves what stands before it alone. The set of their XXH64 digests is sketched in ``CELLS``
+A text is cut into paragraphs: runs up to the end of a line or sentence, long ones cut every ``UNIT`` characters from
+their start, so an edit leaves what stands before it alone. The set of their XXH64 digests is sketched in ``CELLS``
 cells; each digest falls into one cell of each of three rows, and a cell holds a count and the XORs of digests and
 of check hashes. The cells in hexadecimal are the fingerprint.
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 ROWS, ROW_BITS = 3, 3
 BLOCK_ROWS, BLOCK_BITS = 3, 2
 CELLS = ROWS << ROW_BITS
-#: A paragraph ends with the line, at the first sentence end after ``UNIT`` characters, or after ``LONGEST``.
-UNIT, LONGEST = 120, 300
+#: The most characters of a paragraph.
+UNIT = 160
 CHUNKS = 256
 LOAD = 2.0
 LEVELS = 4
@@ -53,7 +53,7 @@ def _cell(n: str, held: str) -> str:
 
 def paragraphs(text: str) -> str:
     """SQL: distinct digests of a text's paragraphs."""
-    pattern = f"[^\\\\n]{{{UNIT},{LONGEST}}}?[.!?]+|[^\\\\n]{{1,{LONGEST}}}"
+    pattern = f"[^\\\\n.!?]{{1,{UNIT}}}[.!?]*|[.!?]+"
     return f"array_distinct(transform(regexp_extract_all({text}, '{pattern}', 0), u -> xxhash64(u)))"
 
 
