@@ -111,7 +111,8 @@ class Mix:
     def times(self) -> DataFrame:
         """Pieces with the number of slots that read their block."""
         read = self.slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
-        return self.pieces.join(read, ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+        # the planner takes generated slots for a handful of rows and would broadcast their counts: they grow with the corpus
+        return self.pieces.join(read.hint("merge"), ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
     def taken(self) -> DataFrame:
         """(rank, chunk, row, taken): the words the mix takes of each row, repeats counted."""
@@ -139,7 +140,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, blo
     bases = sums.select("rank", "chunk", (F.sum("n").over(Window.partitionBy("rank").orderBy("chunk")) - F.col("n")).alias("base"))
     w = Window.partitionBy("rank", "chunk").orderBy("hash", "__id")
     placed = ranked.withColumn("row", F.row_number().over(w)).withColumn("__run", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    documents = placed.join(bases, ["rank", "chunk"]).select("rank", "chunk", "row", "size", (F.col("base") + F.col("__run")).alias("from"), "kept")
+    documents = placed.join(bases.hint("merge"), ["rank", "chunk"]).select("rank", "chunk", "row", "size", (F.col("base") + F.col("__run")).alias("from"), "kept")
     documents = materialize(documents, "placed")
     segments = sources.filter("slots > 0").select("rank", "blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SEGMENT))).alias("segment"))
     # a stated number of tasks: adaptive execution would put these few small rows into one task, which then draws every slot
@@ -157,18 +158,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, blo
 def accounts(mixed: Mix) -> DataFrame:
     """Per input row: id, size, source_size, target, taken."""
     known = mixed.documents.select("rank", "chunk", "row", "size", "kept.*")
-    return known.join(mixed.taken(), ["rank", "chunk", "row"]).join(mixed.sources.select("rank", "source_size", "target"), "rank")
+    return known.join(mixed.taken().hint("merge"), ["rank", "chunk", "row"]).join(mixed.sources.select("rank", "source_size", "target"), "rank")
 
 
 def block_texts(mixed: Mix, text: str = "text") -> DataFrame:
     """(shard, rank, slot, text): the words of every slot's block; needs ``text`` among the kept columns."""
     words = F.expr("filter(split(coalesce(t, ''), '" + BLANK.replace("\\", "\\\\") + "'), w -> w != '')")
     texts = mixed.documents.select("rank", "chunk", "row", F.col(f"kept.{text}").alias("t"))
-    cut = mixed.pieces.filter("words > 0").join(texts, ["rank", "chunk", "row"])
+    cut = mixed.pieces.filter("words > 0").join(texts.hint("merge"), ["rank", "chunk", "row"])
     cut = cut.select("rank", "block", "chunk", "row", F.slice(words, (F.col("skip") + 1).cast("int"), F.col("words").cast("int")).alias("w"))
     joined = cut.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("chunk", "row", "w"))).alias("p"))
     joined = joined.select("rank", "block", F.expr("array_join(flatten(transform(p, x -> x.w)), ' ')").alias("text"))
-    return mixed.slots.join(joined, ["rank", "block"]).select("shard", "rank", "slot", "text")
+    return mixed.slots.join(joined.hint("merge"), ["rank", "block"]).select("shard", "rank", "slot", "text")
 
 
 def remixed(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
@@ -180,7 +181,7 @@ def remixed(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars",
     per = mixed.times().filter("words > 0").groupBy("rank", "chunk", "row").agg(
         F.min("times").alias("full"), F.collect_list(F.struct("skip", "words", "times")).alias("parts")
     ).withColumn("parts", F.expr("array_sort(filter(parts, p -> p.times > full))")).filter("full > 0 or size(parts) > 0")
-    rows = mixed.documents.select("rank", "chunk", "row", "kept").join(per, ["rank", "chunk", "row"])
+    rows = mixed.documents.select("rank", "chunk", "row", "kept").join(per.hint("merge"), ["rank", "chunk", "row"])
     copies = F.expr("filter(sequence(0, cast(full as int)), i -> i > 0 or size(parts) > 0)")  # 0: the partial repeat
     out = rows.withColumn("__copy", F.explode(copies))
     words = "filter(split(coalesce(kept.`" + text_col + "`, ''), '" + BLANK.replace("\\", "\\\\") + "'), w -> w != '')"
