@@ -33,15 +33,18 @@ WHERE EXISTS (SELECT 1 FROM fx_selections s WHERE s.state = l.region AND s.year
 
 
 def lake_partitions(spark, sf):
-    """The lake written in its folder layout, read back with only the selected folders."""
+    """The lake written in its folder layout, read back with only the selected folders; those of 2019 have an address of their own."""
     path = scratch_path(spark, "lake")
-    lake(spark, sf).withColumn("collection", F.lit("naip")).repartitionByRange("region", "year", "id").write.partitionBy("collection", "region", "year").parquet(path)
-    chosen = _selections(spark, sf).where("uri IS NULL")
-    return readers.read_selected(spark, path, chosen).select("collection", "region", "year", "id")
+    rows = lake(spark, sf).withColumn("collection", F.lit("naip")).repartitionByRange("region", "year", "id")
+    rows.where("year <> 2019").write.partitionBy("collection", "region", "year").parquet(f"{path}/lake")
+    rows.where("year = 2019").drop("year").write.partitionBy("region").parquet(f"{path}/apart")
+    own = F.when(F.col("year") == "2019", F.concat(F.lit(f"{path}/apart/region="), "state"))
+    chosen = _selections(spark, sf).withColumn("uri", own)
+    return readers.read_selected(spark, f"{path}/lake", chosen).select("collection", "region", "year", "id")
 
 
 LAKE_PARTITIONS = f"""WITH {ctes('fx_lake', 'fx_selections')} SELECT 'naip' AS collection, region, year, id FROM fx_lake l
-WHERE EXISTS (SELECT 1 FROM fx_selections s WHERE s.state = l.region AND s.year = l.year AND s.year <> 2019)"""
+WHERE EXISTS (SELECT 1 FROM fx_selections s WHERE s.state = l.region AND s.year = l.year)"""
 
 
 def staged_columns(spark, sf):
@@ -115,18 +118,18 @@ def published_generation(spark, sf):
     """Two generations published one after the other; readers see the second only."""
     root = scratch_path(spark, "generations")
     rows = staging.staged_columns(lake(spark, sf), "http://localhost:8001")
-    generations.publish_generation(rows.where("year = 2018"), root)
+    generations.publish_generation(rows.where("year = 2018"), root)  # replaced by all rows
 
     def write(df, path):
         writers.write_staged_index(df, path, partition_by=("region", "year"), world=180.0, tie=("source_key",))
 
-    generations.publish_generation(rows.where("year > 2018"), root, write)
+    generations.publish_generation(rows, root, write, expected_rows=rows.count())
     back = generations.read_generation(spark, root)
     return back.select("id", "region", F.col("year").cast("int").alias("year"), "location", "tile_srs")
 
 
 PUBLISHED = f"""WITH {ctes('fx_lake')} SELECT id, region, year, 'http://localhost:8001/requester-pays/us-west-2/' || source_bucket || '/' || source_key AS location,
- 'EPSG:' || proj_epsg::VARCHAR AS tile_srs FROM fx_lake WHERE year > 2018"""
+ 'EPSG:' || proj_epsg::VARCHAR AS tile_srs FROM fx_lake"""
 
 
 def stale_generations(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import FIXTURES, table
 from ..functions import text as X
 from ..session import scratch_path
+from ..sources import readers
 from ..streaming import index as SI
 from ..streaming import telemetry as ST
 from .common import ctes
@@ -102,9 +103,9 @@ SELECT count(*) AS n, min(t) AS min, round(avg(t), 6) AS mean, {picks}, max(t) A
 
 def _loaded(spark, fp):
     path = scratch_path(spark, "streamed-index")
-    rows = fp.select("collection_id", F.concat(F.lit("/v/"), F.col("key")).alias("location"), X.file_name("key").alias("file_name"), "key", F.lit(3857).alias("native_epsg"), F.col("id").alias("seq"))
+    rows = fp.select("collection_id", F.concat(F.lit("/v/"), F.col("key")).alias("location"), X.file_name("key").alias("file_name"), "key", F.lit(3857).alias("native_epsg"), F.col("id").alias("seq"), F.lit(1).alias("load"))
     _finish(SI.replace_collections(rows, path, path + "-checkpoint"))
-    return spark.read.parquet(path).select("collection_id", "location", "file_name", "native_epsg")
+    return readers.read_index(spark, path).select("collection_id", "location", "file_name", "native_epsg")
 
 
 def stream_index_load(spark, sf):

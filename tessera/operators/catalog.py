@@ -48,10 +48,21 @@ def typed(catalog: DataFrame) -> DataFrame:
     return catalog.select("position", "id", *[field(n, t).alias(n) for n, t in TYPED_FIELDS.items()])
 
 
-def untyped(rows: DataFrame, position: Column | None = None) -> DataFrame:
-    """Catalog rows from plain columns; null columns count as absent, ``id`` is required."""
+def untyped(rows: DataFrame, position: Column | None = None, present: tuple[str, ...] = ()) -> DataFrame:
+    """Catalog rows from plain columns, ``id`` is required.
+
+    A null column counts as absent, but for those in ``present``: their null is a value, and overrides what a merge
+    finds (a rescan without any extent must not keep the old one).
+    """
     names = [c for c in rows.columns if c != "position"]
-    parts = [F.when(F.col(n).isNotNull(), F.map_from_arrays(F.array(F.lit(n)), F.array(_variant(n)))) for n in names]
+
+    def entry(n: str) -> Column:
+        one = F.map_from_arrays(F.array(F.lit(n)), F.array(_variant(n)))
+        if n in present:
+            return F.coalesce(F.when(F.col(n).isNotNull(), one), F.map_from_arrays(F.array(F.lit(n)), F.array(F.parse_json(F.lit("null")))))
+        return F.when(F.col(n).isNotNull(), one)
+
+    parts = [entry(n) for n in names]
     empty = F.expr("cast(map() as map<string,variant>)")
     at = F.col("position").cast("bigint") if position is None else position
     return rows.select(at.alias("position"), "id", F.map_concat(*[F.coalesce(p, empty) for p in parts]).alias("fields"))

@@ -9,7 +9,10 @@ from ..functions import geometry as G
 from ..operators import catalog as K
 from ..operators import staging
 from ..sinks import generations, writers
-from ..sources import readers
+from ..sources import files, readers
+
+#: The catalog of a generation, beside its index.
+CATALOG = "_catalog.json"
 
 
 def staged_rows(lake: DataFrame, proxy_base: str, access_mode: str = "requester-pays", region: str = "us-west-2") -> DataFrame:
@@ -83,7 +86,10 @@ def refresh(
     proxy_base: str = "http://localhost:8001", access_mode: str = "requester-pays", region: str = "us-west-2",
     catalog_path: str | None = None,
 ) -> str:
-    """Stage the selected partitions as one job, publish them as a generation, then swap the catalog.
+    """Stage the selected partitions as one job and publish them with their catalog as one generation.
+
+    ``catalog_path`` names a copy of the catalog outside; it is replaced after the pointer has moved, and if that fails,
+    the pointer goes back.
 
     The lake's rows carry ``bbox`` (lon/lat struct), ``source_bucket``, ``source_key`` and ``proj_epsg``.
     """
@@ -100,10 +106,19 @@ def refresh(
         if gap:
             raise RuntimeError(f"no footprints for selection {gap[0]['region']}:{gap[0]['year']}")
 
-    generation = generations.publish_generation(rows, target_root, write, check)
-    if catalog_path:
-        root = f"{target_root}/{generations.PREFIX}{generation}"
-        summary = staging.index_summary(spark.read.parquet(root))
-        entries = staged_entries(summary, selections, root, access_mode, region)
-        writers.write_catalog(entries, catalog_path)
-    return generation
+    def document(written: DataFrame, path: str) -> None:
+        entries = staged_entries(staging.index_summary(written), selections, path, access_mode, region)
+        writers.write_catalog(entries, f"{path}/{CATALOG}")
+
+    def copy(path: str) -> None:
+        if catalog_path:
+            files.copy_over(spark, f"{path}/{CATALOG}", catalog_path)
+
+    return generations.publish_generation(rows, target_root, write, check, documents=document, after=copy)
+
+
+def read_published(spark: SparkSession, target_root: str) -> tuple[DataFrame, DataFrame]:
+    """(index, catalog) of the current generation: always a pair."""
+    path = f"{target_root}/{generations.PREFIX}{generations.current_generation(spark, target_root)}"
+    text = files.read_text(spark, f"{path}/{CATALOG}")  # the scan of the index leaves names with an underscore out
+    return spark.read.parquet(path), readers.parse_catalog(spark.createDataFrame([(text,)], "doc string"))

@@ -159,7 +159,7 @@ def collection_entry(footprints: DataFrame, s: ScanSettings, indexed_at: Column
     )
     first = F.col("tileindexes")[0]
     named = entry.withColumns({"tileindex": first["tileindex"], "tileindex_layer_name": first["tileindex_layer_name"]})
-    return K.untyped(named, F.lit(0).cast("bigint"))
+    return K.untyped(named, F.lit(0).cast("bigint"), present=("extent_native", "extent_3857", "bbox_4326"))
 
 
 def scan_collection(headers: DataFrame, s: ScanSettings, index_path: str, table_path: str | None = None, catalog_path: str | None = None) -> dict:

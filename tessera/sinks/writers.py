@@ -32,23 +32,38 @@ def write_tile_index(df: DataFrame, path: str, partitions: int | None = None) ->
     Range partitioning on (collection, code, key) splits a huge collection over many tasks and gives each
     file its own key range. Everything is written to a draft folder first; when that is complete, each
     collection in it takes the place of the old one as a whole, so a code that a rescan no longer finds
-    does not linger. Rows without a code belong to no group.
+    does not linger. The old one is moved aside and comes back if the new one cannot take its place; what a crash leaves
+    aside is put back by the next call. Rows without a code belong to no group.
     """
     spark = df.sparkSession
     keys = ["collection_id", "native_epsg", "key"]
     grouped = df.where(F.col("native_epsg").isNotNull())
     ranged = grouped.repartitionByRange(partitions, *keys) if partitions else grouped.repartitionByRange(*keys)
-    draft = f"{path}/_draft-{uuid.uuid4().hex}"
+    draft, aside = f"{path}/_draft-{uuid.uuid4().hex}", f"{path}/_replaced"
+    _put_back(spark, path, aside)
     try:
         ranged.sortWithinPartitions(*keys).write.partitionBy("collection_id", "native_epsg").parquet(draft)
         for name in files.children(spark, draft):
             if name.startswith("collection_id="):
-                files.remove(spark, f"{path}/{name}")
+                if files.exists(spark, f"{path}/{name}"):
+                    files.make_folder(spark, aside)
+                    files.move(spark, f"{path}/{name}", f"{aside}/{name}")
                 files.move(spark, f"{draft}/{name}", f"{path}/{name}")
+                files.remove(spark, f"{aside}/{name}")
     finally:
+        _put_back(spark, path, aside)
         files.remove(spark, draft)
 
 
+def _put_back(spark: SparkSession, path: str, aside: str) -> None:
+    """Collections that were moved aside and whose place is empty return to it."""
+    for name in files.children(spark, aside):
+        if files.exists(spark, f"{path}/{name}"):
+            files.remove(spark, f"{aside}/{name}")
+        else:
+            files.move(spark, f"{aside}/{name}", f"{path}/{name}")
+
+
 def replace_collection(df: DataFrame, path: str, collection_id: str, partitions: int | None = None) -> int:
     """Replace one collection in the footprint table by ``df`` (all EPSG groups in one job); returns its row count.
 
@@ -151,10 +166,28 @@ def write_catalog(catalog: DataFrame, path: str, header: dict | None = None) ->
 
 
 def upsert_catalog_document(entries: DataFrame, path: str) -> None:
-    """Merge entries into the document at ``path``; warns when its version is not the expected one."""
+    """Merge entries into the document at ``path``: its other keys and its collections stay.
+
+    A document that exists but cannot be read is an error and is left as it is; a version that is not the expected one
+    only gives a warning.
+    """
     spark = entries.sparkSession
-    version = readers.catalog_version(spark, path)
-    if version is not None and version != CATALOG_VERSION:
-        print(f"WARN: {path} has version {version}, expected {CATALOG_VERSION}", file=sys.stderr)
+    header = readers.catalog_header(spark, path)
+    if header is not None and header.get("version") != CATALOG_VERSION:
+        print(f"WARN: {path} has version {header.get('version')}, expected {CATALOG_VERSION}", file=sys.stderr)
     merged = K.upsert_catalog(readers.read_catalog(spark, path), entries)
-    write_catalog(merged, path)
+    write_catalog(merged, path, header)
+
+
+def delete_collection_everywhere(spark: SparkSession, collection_id: str, catalog_path: str, table: str | None = None, tile_index: str | None = None) -> int:
+    """Remove a collection from the catalog document, the footprint table and the tile index; returns its rows in the table.
+
+    An unknown id is an error and changes nothing. The catalog goes first: what it does not name is not served, and a call
+    that failed afterwards can be repeated with ``delete_index_rows``.
+    """
+    remaining = K.delete_collection(readers.read_catalog(spark, catalog_path), collection_id)
+    write_catalog(remaining, catalog_path, readers.catalog_header(spark, catalog_path))
+    n = delete_index_rows(spark, table, collection_id) if table else 0
+    if tile_index:
+        files.remove(spark, f"{tile_index}/collection_id={collection_id}")
+    return n

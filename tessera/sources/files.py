@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import time
+import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,11 @@ def bare_text(path: str) -> str:
     return re.sub(SCHEME, "", path)
 
 
+def unescaped(name: str) -> str:
+    """The value that a partition folder's name stands for."""
+    return unquote(name)
+
+
 def bare(path: Column) -> Column:
     return F.regexp_replace(path, SCHEME, "")
 
@@ -55,6 +63,11 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p))
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return bool(fs.delete(p, True))
@@ -99,8 +112,62 @@ def move_over(spark: SparkSession, source: str, target: str) -> None:
     context.rename(fs.makeQualified(src), fs.makeQualified(dst), options)
 
 
+def copy_over(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a file beside another, then rename it over that."""
+    fs, src = _fs(spark, source)
+    to, draft = _fs(spark, f"{target}.tmp")
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, src, to, draft, False, True, spark._jsc.hadoopConfiguration()):
+        raise OSError(f"could not copy {source} to {target}")
+    move_over(spark, f"{target}.tmp", target)
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     """Rename a file or folder to a free name."""
     fs, src = _fs(spark, source)
     if not fs.rename(src, spark._jvm.org.apache.hadoop.fs.Path(target)):
         raise OSError(f"could not move {source} to {target}")
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small control file unless there is one; False if there is."""
+    fs, p = _fs(spark, path)
+    try:
+        stream = fs.create(p, False)
+    except Exception as error:  # Py4JJavaError; its Java class tells what happened
+        if "FileAlreadyExists" in str(error):
+            return False
+        raise
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    return True
+
+
+class Lease:
+    """Mutual exclusion by a file that only one process can create.
+
+    A lease that has not been given back after ``seconds`` (its holder died) is moved aside, which again succeeds for
+    one process only, and then taken anew.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, seconds: float = 6 * 3600):
+        self.spark, self.path, self.seconds, self.owner = spark, path, seconds, uuid.uuid4().hex
+
+    def __enter__(self) -> Lease:
+        for _ in range(2):
+            if create_new(self.spark, self.path, f"{self.owner} {time.time()}"):
+                return self
+            held = (read_text(self.spark, self.path) or "").split()
+            if len(held) == 2 and time.time() - float(held[1]) > self.seconds:
+                aside = f"{self.path}.{self.owner}"
+                try:
+                    move(self.spark, self.path, aside)
+                except Exception:
+                    continue  # another process was faster
+                remove(self.spark, aside)
+        raise RuntimeError(f"another publication holds {self.path}")
+
+    def __exit__(self, *_error) -> None:
+        if (read_text(self.spark, self.path) or "").startswith(self.owner):
+            remove(self.spark, self.path)

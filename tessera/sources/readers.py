@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import staging
+from ..operators import ranks, staging
 from ..operators.catalog import CATALOG_SCHEMA
 from . import files
 
@@ -75,16 +77,44 @@ def read_lake(spark: SparkSession, root: str) -> DataFrame:
 def read_selected(spark: SparkSession, root: str, selections: DataFrame) -> DataFrame:
     """Rows of the selected partitions of a lake; a selection with its own address is read from there.
 
-    The explicit addresses come from the selection list, a small configuration, and are read on the driver
-    as configuration; the rows themselves are not.
+    The selections are a validated configuration. They become part of the plan: a predicate over the partition columns, so
+    that other folders are never opened, and one scan over all explicit addresses, whose files say which selection their
+    rows belong to.
     """
-    lake = staging.selected_partitions(read_lake(spark, root), selections.where(F.coalesce("uri", F.lit("")) == ""))
-    for row in selections.where(F.coalesce("uri", F.lit("")) != "").toLocalIterator():
-        own = spark.read.parquet(row["uri"]).withColumns(
-            {"region": F.lit(row["state"]), "year": F.lit(row["year"]).cast("int")}
-        )
-        lake = lake.unionByName(own, allowMissingColumns=True)
-    return lake
+    chosen = [(r["state"], int(r["year"]), r["uri"] or "") for r in selections.select("state", "year", "uri").distinct().collect()]
+    lake = read_lake(spark, root).where(partition_predicate([(s, y) for s, y, uri in chosen if not uri]))
+    addressed = [x for x in chosen if x[2]]
+    return lake.unionByName(read_addresses(spark, addressed), allowMissingColumns=True) if addressed else lake
+
+
+def partition_predicate(selected: list[tuple[str, int]]) -> Column:
+    """Condition on the lake's folders: of each year the regions wanted."""
+    by_year: dict[int, list[str]] = {}
+    for region, year in sorted(set(selected)):
+        by_year.setdefault(year, []).append(region)
+    found = F.lit(False)
+    for year, regions in by_year.items():
+        found = found | ((F.col("year") == year) & F.col("region").isin(regions))
+    return found
+
+
+def read_addresses(spark: SparkSession, selected: list[tuple[str, int, str]]) -> DataFrame:
+    """Rows of explicit addresses (files or folders) with their selections' ``region`` and ``year``, by one scan.
+
+    An address that several selections name gives its rows to each of them.
+    """
+    places = {uri: files.bare_text(files.qualified(spark, uri)).rstrip("/") for _, _, uri in selected}
+    tops = {u: p for u, p in places.items() if not any(p != q and p.startswith(q + "/") for q in places.values())}
+    one_each = list({p: u for u, p in tops.items()}.values())
+    rows = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(*one_each)
+    owners = []
+    for name in rows.inputFiles():  # as many names as the scan lists itself
+        plain = files.unescaped(files.bare_text(name))
+        owners += [(plain, s, y) for s, y, uri in selected if plain == places[uri] or plain.startswith(places[uri] + "/")]
+    owner = spark.createDataFrame(owners, "__file string, region string, year int")
+    here = F.url_decode(F.replace(files.bare(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B")))
+    plain_rows = rows.select("*", here.alias("__file")).drop("region", "year")
+    return plain_rows.join(owner, "__file").drop("__file")
 
 
 def parse_selections(df: DataFrame, column: str = "raw") -> DataFrame:
@@ -136,6 +166,20 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return parse_catalog(spark.read.text(path, wholetext=True).withColumnRenamed("value", "doc"))
 
 
+def catalog_header(spark: SparkSession, path: str) -> dict | None:
+    """Every key of the document but its collections, or None where there is none; text that is no catalog is an error."""
+    if not files.exists(spark, path):
+        return None
+    doc = spark.read.text(path, wholetext=True)
+    fields = F.from_json("value", "map<string,variant>")
+    small = F.map_filter(fields, lambda k, _v: k != "collections")
+    listed = F.try_variant_get(F.try_parse_json("value"), "$.collections", "array<variant>").isNotNull()
+    row = doc.select(listed.alias("ok"), F.to_json(small).alias("header")).first()
+    if row is None or not row["ok"]:
+        raise ValueError(f"{path} exists but is not a catalog document")
+    return json.loads(row["header"])
+
+
 def catalog_version(spark: SparkSession, path: str) -> int | None:
     """``version`` of the document, from its small header."""
     if not files.exists(spark, path):
@@ -156,11 +200,30 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return named.select("layer", "f.properties.*", ring.alias("ring"))
 
 
+#: Beside rows that arrive in loads: which loads there are.
+LEDGER = "_ledger"
+
+
+def current_loads(spark: SparkSession, path: str) -> DataFrame:
+    """(collection_id, load): the load of each collection that counts."""
+    if not files.children(spark, f"{path}/{LEDGER}"):
+        return spark.createDataFrame([], "collection_id string, load bigint")
+    ledger = spark.read.schema("collection_id string, load bigint, batch string").parquet(f"{path}/{LEDGER}")
+    return ledger.groupBy("collection_id").agg(F.max("load").alias("load"))
+
+
 def read_index(spark: SparkSession, path: str, collection_id: str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Index rows of one collection: the partition filter and the column list both reach the scan."""
+    """Index rows of one collection: the partition filter and the column list both reach the scan.
+
+    Of a table that arrives in loads, the rows of the current load of each collection, one for each location. Folders of
+    other loads are not read.
+    """
     df = files.read_with_text_ids(spark, path)
     if collection_id is not None:
         df = by_collection(df, collection_id)
+    if files.exists(spark, f"{path}/{LEDGER}"):
+        rows = df.withColumn("load", F.col("load").cast("bigint")).join(current_loads(spark, path), ["collection_id", "load"], "left_semi")
+        df = ranks.keep_first(rows, ["collection_id", "location"], [F.col("seq").desc(), F.col("batch").desc()]).drop("batch")
     return df.select(*columns) if columns else df
 
 
