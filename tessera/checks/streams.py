@@ -53,10 +53,10 @@ FROM w GROUP BY window_start"""
 def stream_cache_status(spark, sf):
     path = scratch_path(spark, "cache")
     counts = ST.cache_status_windows(_stream(spark, sf, "fx_access_log"), length="1 day")
-    state = ST.BatchedState(path, "window_start timestamp, cache_status string, requests bigint, bytes bigint")
-    writer = counts.writeStream.outputMode("complete").foreachBatch(lambda b, i: state.save(b, i))
+    store = ST.ChangedRows(path, ["window_start", "cache_status"], "window_start timestamp, cache_status string, requests bigint, bytes bigint")
+    writer = counts.writeStream.outputMode("update").foreachBatch(store.save)
     _finish(writer.option("checkpointLocation", path + "-checkpoint"))
-    return _wall_clock(state.current(spark), "window_start")
+    return _wall_clock(store.current(spark), "window_start")
 
 
 CACHE_WINDOWS = f"""WITH {ctes('fx_access_log')} SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, cache_status, count(*) AS requests, CAST(sum(size) AS BIGINT) AS bytes
@@ -84,6 +84,38 @@ def stream_last_samples(spark, sf):
 SAMPLES = f"""WITH {ctes('fx_access_log')} SELECT event_id, ts, {SAFE} AS upstream_time_s FROM fx_access_log WHERE args LIKE '%GetMap%' ORDER BY ts DESC, event_id DESC LIMIT 100"""
 
 
+def _parts_by_time(spark, sf, n=4):
+    """The events as n files in the order of time, written one after another; a stream takes one a micro-batch."""
+    path = scratch_path(spark, "events-by-time")
+    events = table(spark, sf, "events")
+    first, last = events.select(F.unix_seconds(F.min("ts").cast("timestamp")), F.unix_seconds(F.max("ts").cast("timestamp"))).first()
+    if first is None:
+        first = last = 0
+    step = (last - first) // n + 1
+    part = F.coalesce(F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - first) / step), F.lit(0))
+    for i in range(n):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.sql(FIXTURES["fx_access_log"].replace("FROM events", "FROM {raw}"), raw=raw)
+
+
+def stream_trailing_latency(spark, sf):
+    """Exact figures of every trailing hour, by quarters of an hour, from several micro-batches in update mode."""
+    path = scratch_path(spark, "panes")
+    _finish(ST.panes_to(_parts_by_time(spark, sf), path, path + "-checkpoint", slide="15 minutes"))
+    found = ST.trailing_latency(ST.pane_store(path).current(spark), 900, 4)
+    return _wall_clock(found, "window_start", "window_end").withColumn("mean", F.round("mean", 6))
+
+
+def _trailing_sql() -> str:
+    picks = ", ".join(f"max(CASE WHEN i = least(n - 1, CAST(floor(n * {p}::DOUBLE) AS BIGINT)) THEN t END) AS {name}" for name, p in (("median", 0.5), ("p95", 0.95), ("p99", 0.99)))
+    return f"""WITH {ctes('fx_access_log')}, g AS (SELECT ts, {SAFE} AS t FROM fx_access_log WHERE args LIKE '%GetMap%'),
+k AS (SELECT t, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS b, unnest(generate_series(0, 3)) AS back FROM g),
+r AS (SELECT t, b - back * INTERVAL 15 MINUTE AS window_start FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY window_start) AS n FROM r)
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS n, min(t) AS min, round(avg(t), 6) AS mean, {picks}, max(t) AS max FROM o GROUP BY window_start"""
+
+
 def stream_latency(spark, sf):
     """Exact percentiles of every micro-batch."""
     path = scratch_path(spark, "latency")
@@ -128,6 +160,7 @@ QUERIES = {
     "stream_cache_status": (stream_cache_status, CACHE_WINDOWS),
     "stream_scan_progress": (stream_scan_progress, PROGRESS),
     "stream_last_samples": (stream_last_samples, SAMPLES),
+    "stream_trailing_latency": (stream_trailing_latency, _trailing_sql()),
     "stream_latency": (stream_latency, _latency_sql()),
     "stream_index_load": (stream_index_load, STREAMED_INDEX),
     "stream_index_load_split": (stream_index_load_split, STREAMED_INDEX),

@@ -2,8 +2,9 @@
 
 A group may hold a third of all rows, so nothing here sorts a whole group in one task. ``row_number``
 filters of the form ``<= n`` are cut to n rows per task before the shuffle by Spark itself. Exact
-percentiles are selected by counting: a histogram over magnitude buckets finds the bucket that holds
-the wanted rank, then a finer one inside it, then the few distinct values left.
+percentiles are selected by counting in passes over the values: a histogram over magnitude buckets, which every task
+makes of its own rows, finds the bucket that holds the wanted rank; a finer one of that bucket's rows follows, then the
+few distinct values left. Only histograms are shuffled, so the shuffle does not grow with the number of distinct values.
 """
 
 from __future__ import annotations
@@ -12,6 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+#: Targets (groups times percentiles) up to which a list of wanted buckets is broadcast, after it has been counted.
+BROADCAST_TARGETS = 10_000
+
 _COARSE_BITS = 8
 _COARSE = 2**_COARSE_BITS  # buckets per factor of two
 _FINE = 65536  # buckets per coarse bucket
@@ -81,12 +87,12 @@ def rank_percentiles(df: DataFrame, value: str, probs: dict[str, float], by: tup
     keys = list(by)
     v = F.col(value).cast("double")
     numbers = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(*keys, (v + 0.0).alias("__v"))
-    counted = _bucketed(numbers.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")))
+    rows = _bucketed(numbers.withColumn("__n", F.lit(1).cast("bigint")))
 
     # Level 1: which coarse bucket holds each wanted rank.
     group = W.partitionBy(*keys)
     level1 = (
-        counted.groupBy(*keys, "__b1").agg(F.sum("__n").alias("__n"))
+        rows.groupBy(*keys, "__b1").agg(F.sum("__n").alias("__n"))
         .withColumn("__total", F.sum("__n").over(group))
         .withColumn("__to", F.sum("__n").over(group.orderBy("__b1")))
     )
@@ -113,16 +119,24 @@ def rank_percentiles(df: DataFrame, value: str, probs: dict[str, float], by: tup
             *groups, order, (F.col("__rank") - before).alias("__rank")
         )
 
-    # Level 2: only the buckets that hold a wanted rank. The bucket lists are a few rows per group; adaptive
-    # execution measures them and broadcasts them when they are as small as that.
-    narrowed = _match(counted, at1, keys, ["__b1"])
+    # Level 2: only rows of the buckets that hold a wanted rank.
+    narrowed = _match(rows, _counted(at1, "rank-buckets"), keys, ["__b1"])
     at_keys = [*keys, "__p"]
     level2 = narrowed.groupBy(*at_keys, "__b2").agg(F.sum("__n").alias("__n"), F.first("__rank").alias("__rank"))
     at2 = locate(level2, at_keys, "__b2")
 
     # Level 3: the distinct values of one fine bucket.
-    level3 = _match(narrowed.drop("__rank"), at2, keys, ["__p", "__b2"])
+    inside_fine = _match(narrowed.drop("__rank"), _counted(at2, "rank-values"), keys, ["__p", "__b2"])
+    level3 = inside_fine.groupBy(*at_keys, "__v").agg(F.sum("__n").alias("__n"), F.first("__rank").alias("__rank"))
     found = locate(level3, at_keys, "__v")
     return found.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__p") == name, F.col("__v"))).alias(name) for name in probs]
     )
+
+
+def _counted(targets: DataFrame, label: str) -> DataFrame:
+    """Targets as a local table to broadcast if they turn out to be few; written once and joined by a shuffle if not."""
+    few = targets.limit(BROADCAST_TARGETS + 1).collect()
+    if len(few) <= BROADCAST_TARGETS:
+        return F.broadcast(targets.sparkSession.createDataFrame(few, targets.schema))
+    return materialize(targets, label).hint("merge")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -74,6 +75,85 @@ class BatchedState:
         return self.before(spark, 2**62)
 
 
+class ChangedRows:
+    """What an update-mode stream gives out, one folder a micro-batch; the newest row of a key counts.
+
+    A micro-batch that runs again overwrites its folder. ``compact`` folds the folders into one.
+    """
+
+    def __init__(self, path: str, keys: list[str], schema: str):
+        self.path, self.keys, self.schema = path.rstrip("/"), keys, f"{schema}, batch bigint"
+
+    def save(self, df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def current(self, spark: SparkSession) -> DataFrame:
+        if not files.children(spark, self.path):
+            return spark.createDataFrame([], self.schema).drop("batch")
+        rows = spark.read.schema(self.schema).parquet(self.path)
+        return ranks.keep_first(rows, self.keys, [F.col("batch").desc()]).drop("batch")
+
+    def compact(self, spark: SparkSession) -> None:
+        """Fold all folders into that of the newest batch. Not while the stream writes."""
+        names = sorted((n for n in files.children(spark, self.path) if n.startswith("batch=")), key=lambda n: int(n[6:]))
+        if len(names) > 1:
+            folded = f"{self.path}/_{names[-1]}"
+            self.current(spark).write.mode("overwrite").parquet(folded)
+            files.remove(spark, f"{self.path}/{names[-1]}")
+            files.move(spark, folded, f"{self.path}/{names[-1]}")
+            for name in names[:-1]:
+                files.remove(spark, f"{self.path}/{name}")
+
+
+PANE_SCHEMA = "pane timestamp, upstream_time_s double, n bigint"
+
+
+def latency_panes(log: DataFrame, time: str = "ts", slide: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """How often each latency occurs in each pane of event time; run in update mode.
+
+    The state has one count for each distinct latency of a pane (milliseconds: few), however many requests there are, and
+    the watermark frees a pane when no request can fall into it any more.
+    """
+    seconds = X.safe_double("upstream_time_s")
+    counted = telemetry.getmap_only(log).withWatermark(time, late).groupBy(F.window(time, slide), seconds.alias("upstream_time_s")).count()
+    return counted.select(F.col("window.start").alias("pane"), "upstream_time_s", F.col("count").alias("n"))
+
+
+def panes_to(log: DataFrame, path: str, checkpoint: str, **windows: str) -> DataStreamWriter:
+    store = pane_store(path)
+    return latency_panes(log, **windows).writeStream.outputMode("update").foreachBatch(store.save).option("checkpointLocation", checkpoint)
+
+
+def pane_store(path: str) -> ChangedRows:
+    return ChangedRows(path, ["pane", "upstream_time_s"], PANE_SCHEMA)
+
+
+def trailing_latency(panes: DataFrame, slide_s: int = 300, panes_per_window: int = 12) -> DataFrame:
+    """Exact n, min, mean, median, p95, p99 and max of every window of so many panes, as nearest ranks.
+
+    Histograms of panes add up to those of windows; a window is ranked over its distinct values.
+    """
+    back = F.explode(F.sequence(F.lit(0), F.lit(panes_per_window - 1)))
+    each = panes.select("*", back.alias("back")).select(
+        F.timestamp_seconds(F.unix_seconds("pane") - F.col("back") * slide_s).alias("window_start"), "upstream_time_s", "n"
+    )
+    histogram = each.groupBy("window_start", "upstream_time_s").agg(F.sum("n").alias("n"))
+    group = W.partitionBy("window_start")
+    counted = histogram.withColumn("to", F.sum("n").over(group.orderBy("upstream_time_s"))).withColumn("total", F.sum("n").over(group))
+
+    def at(p: float, name: str):
+        rank = F.least(F.floor(F.col("total") * F.lit(p)), F.col("total") - 1)
+        here = (F.col("to") - F.col("n") <= rank) & (rank < F.col("to"))
+        return F.max(F.when(here, F.col("upstream_time_s"))).alias(name)
+
+    length = slide_s * panes_per_window
+    found = counted.groupBy("window_start").agg(
+        F.sum("n").alias("n"), F.min("upstream_time_s").alias("min"), (F.sum(F.col("upstream_time_s") * F.col("n")) / F.sum("n")).alias("mean"),
+        at(0.5, "median"), at(0.95, "p95"), at(0.99, "p99"), F.max("upstream_time_s").alias("max"),
+    )
+    return found.withColumn("window_end", F.timestamp_seconds(F.unix_seconds("window_start") + length))
+
+
 SAMPLE_SCHEMA = "event_id bigint, ts timestamp, upstream_time_s double"
 
 
@@ -108,8 +188,12 @@ def rollup_to(lines: DataFrame, state: BatchedState, checkpoint: str) -> DataStr
     """Scan progress kept as a table: the changed jobs of each micro-batch replace their older rows."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        old = state.before(batch.sparkSession, batch_id)
-        kept = old.join(batch.select("job_id"), "job_id", "left_anti")
-        state.save(kept.unionByName(batch), batch_id)
+        batch.persist()  # used twice: the stateful aggregate must not run again
+        try:
+            old = state.before(batch.sparkSession, batch_id)
+            kept = old.join(batch.select("job_id"), "job_id", "left_anti")
+            state.save(kept.unionByName(batch), batch_id)
+        finally:
+            batch.unpersist()
 
     return scan_progress(lines).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)

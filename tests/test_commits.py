@@ -1,6 +1,7 @@
 """What holds when jobs fail, run late, twice or at once: generations, index loads, catalog documents, static lake plans."""
 
 import json
+import random
 import time
 
 import pytest
@@ -12,6 +13,7 @@ from tessera.plans import refresh
 from tessera.sinks import generations, writers
 from tessera.sources import files, readers
 from tessera.streaming import index as SI
+from tessera.streaming import telemetry as ST
 
 # --- incremental index load -------------------------------------------------------------------
 
@@ -240,3 +242,50 @@ def test_addresses_are_read_by_one_scan(spark, tmp_path):
     assert got.where("extra = 7").count() == n["wa", 2015]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 2  # the lake and one scan over all addresses
+
+
+# --- exact percentiles of a trailing hour -----------------------------------------------------
+
+
+def test_trailing_percentiles_and_freed_state(spark, tmp_path):
+    """Several batches, late requests within the watermark, a repeated folder and compaction; old panes leave the state."""
+    schema = "ts timestamp, args string, upstream_time_s string"
+    source, path = tmp_path / "in", str(tmp_path / "panes")
+    source.mkdir()
+    rng = random.Random(4)
+    told, sizes = [], []
+
+    def batch(i, minutes):
+        rows = [(m * 60 + rng.randrange(60), rng.choice(["0.1", "0.25", "1.5", "-", f"0.{rng.randrange(999):03}"])) for m in minutes for _ in range(20)]
+        told.extend(rows)
+        (source / f"{i}.json").write_text("\n".join(json.dumps({"ts": f"2024-01-01T{t // 3600:02}:{t // 60 % 60:02}:{t % 60:02}Z", "args": "REQUEST=GetMap", "upstream_time_s": v}) for t, v in rows))
+        raw = spark.readStream.schema(schema).json(str(source))
+        query = ST.panes_to(raw, path, str(tmp_path / "checkpoint"), slide="5 minutes", late="10 minutes").trigger(availableNow=True).start()
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+
+    batch(0, range(0, 30))
+    batch(1, range(22, 60))  # some of the first batch's panes again
+    batch(2, range(60, 90))
+    batch(3, range(300, 302))
+    batch(4, range(302, 303))
+    assert sizes[-1] < 60 < max(sizes)  # only the panes of the last minutes are left
+    store = ST.pane_store(path)
+
+    def check():
+        got = {r["window_start"].timestamp(): r for r in ST.trailing_latency(store.current(spark)).collect()}
+        base = 1704067200
+        want = {}
+        for t, v in told:
+            for back in range(12):
+                want.setdefault(base + t // 300 * 300 - back * 300, []).append(0.0 if v == "-" else float(v))
+        assert got.keys() == want.keys()
+        for start, values in want.items():
+            values.sort()
+            r, n = got[start], len(values)
+            assert (r["n"], r["min"], r["max"]) == (n, values[0], values[-1]) and r["mean"] == pytest.approx(sum(values) / n)
+            assert (r["median"], r["p95"], r["p99"]) == tuple(values[min(n - 1, int(n * p))] for p in (0.5, 0.95, 0.99))
+
+    check()
+    store.compact(spark)
+    check()
