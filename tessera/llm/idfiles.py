@@ -47,7 +47,7 @@ from .common import materialize, slices
 
 MAGIC = b"EFIDS02\n"
 SHARD_IDS = 1 << 22
-CACHE = 500_000
+CACHE = 1_000_000
 #: Characters whose form, case or class is left to the library; U+0130 becomes two when lower-cased.
 OTHER = re.compile("[^\x21-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]")
 
