@@ -4,27 +4,38 @@ over word bigrams.
 Compared are three kinds of segment: every line, every paragraph of several lines (between blank lines) and every
 text of several paragraphs. Normalising lower-cases, turns all that is no letter or digit into one blank and trims.
 Dice is 2 |A and B| / (|A| + |B|) over the sets of word bigrams. A segment with a bigrams can reach ``least`` with
-a template of b only if b least / (2 - least) <= a <= b (2 - least) / least; these bounds drop segments before
-their bigrams are exploded and templates in the join. Bigrams of the segments that are left meet the templates'
-in an equi-join, which the planner broadcasts if the templates are small; matches are counted per segment.
+a template of b only if b least / (2 - least) <= a <= b (2 - least) / least; these bounds prune templates.
+
+Everything happens within a row. Every segment's bigrams are bigrams of its text, and a match shares at least
+b least / (2 - least) of them with the template. So a text is first asked which templates' bigrams it holds in that
+number; the few texts that hold any are written to the shared folder, and only they are cut into segments, which meet
+only the templates of their text. Templates are constants of the plan: at most ``HELD`` bigrams at a time; a larger set is
+taken in slices, and the best of the slices' results counts.
 
 Besides, notices that no such segment holds are found in runs of adjacent sentences, across lines and paragraphs (kind
 ``run``, ``place`` counts sentences of one word or more from 0). A run counts if its words make m low .. m high bigrams,
 repeats included, for the template's m. Its first and last sentence share a bigram with the template, as others only
 lower the score. Runs that touch a line, paragraph or text that reaches ``least`` with the same template are left to it;
-of overlapping runs of one licence the best is kept, then the shortest, then the first. A run of Dice ``least`` has
-m low or more of the template's bigrams, so only texts with so many are cut into sentences.
+of overlapping runs of one licence the best is kept, then the shortest, then the first.
 
 Defined results: null text = empty text = no match. A segment's best template is kept, ties to the smaller
-``licence``. Repeated rows match as often as they occur. An empty table gives none. Extra columns are ignored.
+``licence``. Repeated rows match as often as they occur. An empty table gives none. Long texts are read whole. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 LEAST = 0.8
+#: Bigrams of templates that one plan holds.
+HELD = 200_000
 
 # Public licence notices, as their licences word them or as files commonly quote them.
 TEMPLATES = {
@@ -64,14 +75,11 @@ def dice(grams: str) -> str:
     return f"transform(array({grams}), g -> 2D * size(array_intersect(g, t.b)) / (size(g) + size(t.b)))[0]"
 
 
-def runs(docs: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """(__id, kind, place, licence, score) of the runs in the rows (__id, __t); templates are held in one row."""
+def runs(some: DataFrame, least: float) -> DataFrame:
+    """(__id, __row, kind, place, licence, score) of the runs in the rows (__id, __row, __t) with their templates ``ts``."""
     low, high = least / (2 - least), (2 - least) / least
     once = lambda x: F.explode(F.expr(f"array({x})"))  # noqa: E731  a generator: what reads the column does not repeat it
-    held = known.agg(F.array_sort(F.collect_list(F.struct("licence", "b"))).alias("ts"))
-    held = held.select("ts", F.expr("array_distinct(flatten(transform(ts, t -> t.b)))").alias("every"))
-    some = docs.crossJoin(F.broadcast(held)).withColumn("hit", once(f"array_intersect({bigrams('__t')}, every)")).filter("size(hit) > 0")
-    some = some.withColumn("t", F.explode(F.expr(f"filter(ts, t -> size(array_intersect(hit, t.b)) >= size(t.b) * {low} - 1e-9)"))).drop("ts", "every", "hit")
+    some = some.withColumn("t", F.explode("ts")).drop("ts")
     grams = pairs_of(words("z"))
     sentences = f"filter(transform(split(l, '(?<=[.!?])\\\\s+'), s -> named_struct('w', {words('s')}, 'held', lheld or pheld or theld)), u -> size(u.w) > 0)"
     reaches = lambda x: f"({dice(grams.replace('lower(z)', f'lower({x})'))} >= {least})"
@@ -88,7 +96,7 @@ def runs(docs: DataFrame, known: DataFrame, least: float) -> DataFrame:
     some = some.select("__id", "__row", "t.licence", "from", "to", once(dice(pairs_of("w"))).alias("score")).filter(F.col("score") >= least)
     found = some.groupBy("__row", "__id", "licence").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (F.col("to") - F.col("from")).alias("n"), "from", "to"))).alias("a"))
     best = "aggregate(a, slice(a, 1, 0), (acc, r) -> if(exists(acc, x -> x.from <= r.to and r.from <= x.to), acc, concat(acc, array(r))))"
-    return found.withColumn("x", F.explode(F.expr(best))).select("__id", F.lit("run").alias("kind"), F.col("x.from").alias("place"), "licence", (-F.col("x.s")).alias("score"))
+    return found.withColumn("x", F.explode(F.expr(best))).select("__id", "__row", F.lit("run").alias("kind"), F.col("x.from").alias("place"), "licence", (-F.col("x.s")).alias("score"))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
@@ -97,33 +105,56 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
     return spark.createDataFrame(rows, "licence string, template string")
 
 
-def find(docs: DataFrame, templates: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def candidates(rows: DataFrame, held: list[tuple[str, list[str]]], least: float) -> DataFrame:
+    """(__id, __row, __t, ts): the rows whose texts hold enough bigrams of some templates, with these templates."""
+    low = least / (2 - least)
+    constant = F.from_json(F.lit(json.dumps([{"licence": k, "b": b} for k, b in held])), "array<struct<licence:string,b:array<string>>>")
+    every = F.from_json(F.lit(json.dumps(sorted({g for _, b in held for g in b}))), "array<string>")
+    # a generator in between: the bigrams of a text are made once
+    hit = rows.withColumn("hit", F.explode(F.array(F.array_intersect(F.expr(bigrams("__t")), every)))).filter("size(hit) > 0")
+    enough = F.filter(constant, lambda t: F.size(F.array_intersect(F.col("hit"), t["b"])) >= F.size(t["b"]) * low - 1e-9)
+    found = hit.withColumn("ts", F.explode(F.array(enough))).filter("size(ts) > 0").drop("hit")
+    return materialize(found, "licence-texts")
+
+
+def segments(some: DataFrame, least: float) -> DataFrame:
+    """(__id, __row, kind, place, licence, score) of lines, paragraphs and texts whose best template reaches ``least``."""
+    low, high = least / (2 - least), (2 - least) / least
+    parts = """concat(
+        transform(split(__t, '\\n'), (t, i) -> named_struct('kind', 'line', 'place', i, 't', t)),
+        filter(transform(split(__t, '\\n[ \\t\\r]*\\n'), (t, i) -> named_struct('kind', 'paragraph', 'place', i, 't', t)), p -> instr(p.t, '\\n') > 0),
+        if(__t rlike '\\n[ \\t\\r]*\\n', array(named_struct('kind', 'text', 'place', 0, 't', __t)), array()))"""
+    cut = some.withColumn("p", F.explode(F.expr(parts))).select("__id", "__row", "ts", "p.kind", "p.place", F.expr(bigrams("p.t")).alias("b"))
+    near = f"filter(ts, t -> size(b) between size(t.b) * {low} - 1e-9 and size(t.b) * {high} + 1e-9)"
+    scored = f"transform({near}, t -> named_struct('s', -2D * size(array_intersect(b, t.b)) / (size(b) + size(t.b)), 'licence', t.licence))"
+    best = cut.withColumn("x", F.explode(F.expr(f"array(array_min({scored}))"))).filter(F.col("x.s") <= -least)
+    return best.select("__id", "__row", "kind", "place", "x.licence", (-F.col("x.s")).alias("score"))
+
+
+def find(docs: DataFrame, templates: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """(id, kind, place, licence, score) for every segment whose best template reaches ``least``.
 
     ``kind`` is line, paragraph, text or run; ``place`` counts the segments of a kind in the text from 0.
     """
-    low, high = least / (2 - least), (2 - least) / least
-    known = templates.select("licence", F.expr(bigrams("template")).alias("b")).filter("size(b) > 0").select("licence", F.size("b").alias("m"), "b")
-    bounds = known.agg(F.min("m"), F.max("m")).first()
-    if bounds[0] is None:
-        bounds = (0, -1)
-    fewest, most = bounds[0] * low, bounds[1] * high
-    pairs = known.select("licence", "m", F.explode("b").alias("bigram"))
-    text = f"coalesce(`{text_col}`, '')"
-    parts = f"""concat(
-        transform(split({text}, '\\n'), (t, i) -> named_struct('kind', 'line', 'place', i, 't', t)),
-        filter(transform(split({text}, '\\n[ \\t\\r]*\\n'), (t, i) -> named_struct('kind', 'paragraph', 'place', i, 't', t)), p -> instr(p.t, '\\n') > 0),
-        if({text} rlike '\\n[ \\t\\r]*\\n', array(named_struct('kind', 'text', 'place', 0, 't', {text})), array()))"""
-    segments = docs.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"), F.explode(F.expr(parts)).alias("p"))
-    segments = segments.select("__id", "__row", "p.kind", "p.place", F.expr(bigrams("p.t")).alias("b")).withColumn("n", F.size("b"))
-    words = segments.filter(F.col("n").between(fewest, most)).withColumn("bigram", F.explode("b")).drop("b")
-    near = words.join(pairs, "bigram").filter((F.col("n") >= F.col("m") * low) & (F.col("n") <= F.col("m") * high))
-    counts = near.groupBy("__row", "__id", "kind", "place", "n", "licence", "m").agg(F.count(F.lit(1)).alias("both"))
-    scored = counts.withColumn("score", 2 * F.col("both") / (F.col("n") + F.col("m"))).filter(F.col("score") >= least)
-    best = scored.groupBy("__row", "__id", "kind", "place").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("x"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.expr(text).alias("__t"), F.monotonically_increasing_id().alias("__row"))
-    best = best.select("__id", "kind", "place", "x.licence", (-F.col("x.s")).alias("score")).unionByName(runs(rows, known.select("licence", "b"), least))
-    return best.select(F.col("__id").alias(id_col), "kind", F.col("place").cast("long").alias("place"), "licence", "score")
+    known = templates.select("licence", F.expr(bigrams("template")).alias("b")).filter("size(b) > 0")
+    slices, room = [[]], held
+    for row in known.orderBy("licence").toLocalIterator():  # one slice after another; a plan holds one
+        if slices[-1] and room < len(row["b"]):
+            slices.append([])
+            room = held
+        slices[-1].append((row["licence"], row["b"]))
+        room -= len(row["b"])
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), text.alias("__t"), F.monotonically_increasing_id().alias("__row"))
+    if len(slices) > 1:
+        rows = materialize(rows, "licence-rows")  # the slices must agree on the rows' numbers
+    each = [candidates(rows, part, least) for part in slices]
+    best, found = (functools.reduce(DataFrame.unionByName, [make(some, least) for some in each]) for make in (segments, runs))
+    if len(slices) > 1:
+        one = best.groupBy("__id", "__row", "kind", "place").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("x"))
+        best = one.select("__id", "__row", "kind", "place", "x.licence", (-F.col("x.s")).alias("score"))
+    found = best.unionByName(found)
+    return found.select(F.col("__id").alias(id_col), "kind", F.col("place").cast("long").alias("place"), "licence", "score")
 
 
 def oracle(templates: dict[str, str] | None = None, least: float = LEAST) -> str:
