@@ -2,16 +2,18 @@
 
 A page is parsed into a tree; every element gets features of itself and its surroundings (tag, attribute tokens, depth,
 siblings, subtree size and density, share of linked text). Boosted trees give the odds that an element belongs to the
-article. Decoding is hierarchical: each element is taken whole, left out whole, or decided by its children, so that the
-likelihood over the whole tree is greatest and no choice contradicts one above it.
+article. Decoding is hierarchical: each element is taken whole, left out whole, or decided by its parts, so that the
+likelihood over the whole tree is greatest and no choice contradicts one above it. The text that an element holds itself
+is a part like its children, so an article of bare text keeps it when an advert or comments inside it go.
 
 Training needs no labelled table. It takes at most ``SAMPLE`` pages (smallest hash of their id) and rebuilds each
 as its own layout and as invented ones: their text blocks are dealt to an article and to menus, headers, footers, side
 columns, notices, adverts, forms and reader comments under varied tags and attribute tokens, whose labels are known
-by construction. Layouts depend on the page id alone. Pages with an ``article`` element also train as they are, with
+by construction; some articles hold bare text between line breaks. Layouts depend on the page id alone. Pages with an ``article`` element also train as they are, with
 that element as the article.
 
-Defined results: null html = empty html = no text, 0 characters. Markup may be cut off, unclosed or misnested. Repeated
+Defined results: null html = empty html = no text, 0 characters. Markup may be cut off, unclosed or misnested; a tag
+whose quote is never closed ends at its first ``>``. Repeated
 rows have repeated results. Without any page to train on the text is all text outside elements that never hold
 prose (scripts, styles, menus, forms). Extra columns are ignored.
 """
@@ -43,7 +45,7 @@ HIDDEN = RAW | frozenset("head button select option form canvas object audio vid
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "html", "body"}
 TAGS = ("a", "article", "aside", "blockquote", "body", "dd", "div", "dl", "figure", "footer", "form", "h1", "h2", "h3", "header", "li", "main", "nav", "ol", "p", "pre", "section", "span", "table", "td", "ul")
-TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|([^<]+|<)", re.DOTALL)
+TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+")
@@ -69,7 +71,9 @@ def parse(source: str) -> Node:
     while at < n:
         m = TOKENS.match(source, at)
         at = m.end()
-        closing, tag, attributes, text = m.groups()
+        closing, tag, attributes, closing_2, tag_2, attributes_2, text = m.groups()
+        if tag_2 is not None:  # an attribute's quote is not closed
+            closing, tag, attributes = closing_2, tag_2, attributes_2
         if text is not None:
             if here.children and here.children[-1].tag == "#":
                 here.children[-1].text += text
@@ -254,11 +258,16 @@ class Boosted:
         return out
 
 
-def decode(nodes: list[Node], odds: np.ndarray) -> set[int]:
-    """Places of the elements taken whole, by the most likely consistent choice.
+#: What it costs to decide an element by its parts: whole elements are the rule.
+MIXED = 3.0
+
+
+def decode(nodes: list[Node], odds: np.ndarray) -> tuple[set[int], set[int]]:
+    """Places of the elements taken whole, and of those of which only the own text is, by the most likely consistent choice.
 
     An element's weight is the text it holds itself, and a choice for an element holds for all below it: taking
-    earns the log probability of the article for each of them, leaving that of the rest.
+    earns the log probability of the article for each of them, leaving that of the rest. An element that is decided by its
+    parts has its own text taken or left by its own odds.
     """
     place = {id(x): i for i, x in enumerate(nodes)}
     n = len(nodes)
@@ -273,15 +282,16 @@ def decode(nodes: list[Node], odds: np.ndarray) -> set[int]:
     best, choice = np.zeros(n), np.zeros(n, np.int8)
     below = np.zeros(n)
     for i in range(n - 1, -1, -1):
-        mixed = below[i] + (leave[i] if own[i] else -3.0)  # text of an element that is decided by its children is not taken
-        options = (mixed, all_leave[i], all_take[i])
-        choice[i] = int(np.argmax(options)) if below[i] else int(np.argmax((-np.inf, *options[1:])))
+        apart = (leave[i], take[i] - MIXED) if own[i] else (-MIXED, -np.inf)
+        options = (below[i] + apart[0], all_leave[i], all_take[i], below[i] + apart[1])
+        choice[i] = int(np.argmax(options)) if below[i] else int(np.argmax((-np.inf, *options[1:3])))
         best[i] = options[choice[i]]
         if nodes[i].parent is not None and (j := place.get(id(nodes[i].parent))) is not None:
             all_take[j] += all_take[i]
             all_leave[j] += all_leave[i]
             below[j] += best[i]
     taken: set[int] = set()
+    bare: set[int] = set()
     stack = [0] if n else []
     children: list[list[int]] = [[] for _ in range(n)]
     for i, x in enumerate(nodes):
@@ -291,13 +301,19 @@ def decode(nodes: list[Node], odds: np.ndarray) -> set[int]:
         i = stack.pop()
         if choice[i] == 2:
             taken.add(i)
-        elif choice[i] == 0:
+        elif choice[i] in (0, 3):
             stack.extend(children[i])
-    return taken
+            if choice[i] == 3:
+                bare.add(i)
+    return taken, bare
+
 
+def text_of(node: Node, whole: set[int] | None = None, bare: set[int] | None = None) -> list[str]:
+    """Blocks of text below a node in page order, white space made single blanks and trimmed, empty ones left out.
 
-def text_of(node: Node) -> list[str]:
-    """Blocks of text below a node in page order, white space made single blanks and trimmed, empty ones left out."""
+    ``whole`` and ``bare`` hold the ids of the nodes taken whole and of those whose own text alone is taken; without
+    them everything is taken. What is left out ends a block if it is one.
+    """
     blocks: list[str] = []
     run: list[str] = []
 
@@ -308,20 +324,23 @@ def text_of(node: Node) -> list[str]:
                 blocks.append(text)
             run.clear()
 
-    stack: list = [(node, False)]
+    stack: list = [(node, False, whole is None)]
     while stack:
-        x, closing = stack.pop()
+        x, closing, inside = stack.pop()
         if closing:
             end()
-        elif x.tag == "#":
-            run.append(x.text)
-        elif x.tag == "br":
+            continue
+        if x.tag == "#":
+            if inside or (x.parent is not None and id(x.parent) in bare) or x.text.isspace():
+                run.append(x.text)
+            continue
+        if x.tag == "br":
             run.append(" ")
         elif x.tag not in HIDDEN:
             if x.tag in BLOCK:
                 end()
-                stack.append((x, True))
-            stack.extend((c, False) for c in reversed(x.children))
+                stack.append((x, True, False))
+            stack.extend((c, False, inside or id(x) in whole) for c in reversed(x.children))
     end()
     return blocks
 
@@ -338,9 +357,9 @@ def extract(sources: list[str], model: tuple[Vocabulary, Boosted] | None) -> lis
         odds = model[1].odds(np.concatenate([x for _, x in made]))
         at = 0
         for nodes, _ in made:
-            taken = decode(nodes, odds[at : at + len(nodes)])
+            taken, bare = decode(nodes, odds[at : at + len(nodes)])
             at += len(nodes)
-            out.append("\n".join(b for i in sorted(taken) for b in text_of(nodes[i])))
+            out.append("\n".join(text_of(nodes[0], {id(nodes[i]) for i in taken}, {id(nodes[i]) for i in bare})))
     return out
 
 
@@ -372,21 +391,27 @@ def invented(blocks: list[str], rng: random.Random) -> str:
             item = rng.choice(("div", "li", "article"))
             inner = "".join(f'<{item} class="{rng.choice(OTHER_WORDS["comments"][:2])}"><p>{esc(t)}</p></{item}>' for t in [rng.choice(blocks)[:400] for _ in range(rng.randint(1, 6))])
         else:
-            wrap = rng.choice(("{}", "<p>{}</p>", "<div>{}</div>"))
+            wrap = rng.choice(("{}", "<p>{}</p>", "<div>{}</div>", *(("<h1>{}</h1>", "<h2>{}</h2>") if kind in ("header", "side") else ())))
             inner = "".join(wrap.format(esc(t)) for t in some(rng.randint(1, 3)))
         return f"<{tag}{named}>{inner}</{tag}>"
 
     tag = rng.choice(("article", "article", "main", "div", "div", "section"))
     named = f' class="{rng.choice(ARTICLE_WORDS)}"' if tag in ("div", "section") or rng.random() < 0.4 else ""
     body = []
-    for t in [blocks[(rng.randrange(len(blocks)) + i) % len(blocks)] for i in range(rng.randint(1, 12))]:
+    short = rng.random() < 0.4  # articles of little text on pages of little else
+    chosen = [blocks[(rng.randrange(len(blocks)) + i) % len(blocks)][: rng.randint(120, 900) if short else None] for i in range(rng.randint(1, 3 if short else 12))]
+    for t in chosen:
         kind = rng.random()
         body.append(f"<p>{esc(t)}</p>" if kind < 0.75 else f"<h2>{esc(t[:60])}</h2>" if kind < 0.85 else f"<blockquote><p>{esc(t)}</p></blockquote>" if kind < 0.9 else f"<ul><li>{esc(t)}</li><li>{esc(t[:80])}</li></ul>" if kind < 0.95 else f"<p><b>{esc(t)}<br>")
-    inside = [part(k) for k in ("advert", "notice", "comments", "side") if rng.random() < 0.12]
+    if rng.random() < 0.2:  # bare text between line breaks
+        body = [esc(t) + rng.choice(("<br><br>", "<br>", "<p>", " ")) for t in chosen]
+    inside = [part(k) for k in ("advert", "notice", "comments", "side") if rng.random() < 0.15]
     body[rng.randint(0, len(body)) : 0] = inside
-    main = f'<{tag}{named} data-main="1"><h1>{esc(rng.choice(blocks)[:60])}</h1>{"".join(body)}</{tag}>'
-    top = [part(k) for k in ("header", "menu", "advert", "notice", "side") if rng.random() < 0.5]
-    bottom = [part(k) for k in ("comments", "side", "advert", "footer", "notice") if rng.random() < 0.5]
+    heading = f"<h1>{esc(rng.choice(blocks)[:60])}</h1>" if rng.random() < 0.8 else ""
+    main = f'<{tag}{named} data-main="1">{heading}{"".join(body)}</{tag}>'
+    share = 0.15 if short else 0.5
+    top = [part(k) for k in ("header", "menu", "advert", "notice", "side") if rng.random() < share]
+    bottom = [part(k) for k in ("comments", "side", "advert", "footer", "notice") if rng.random() < share]
     rng.shuffle(top)
     whole = "".join([*top, main, *bottom])
     if rng.random() < 0.3:
@@ -415,7 +440,7 @@ def labelled(source: str) -> tuple[Node, set[int]] | None:
     return root, inside
 
 
-def fit(pages: list[tuple[int, str]], layouts: int = 6) -> tuple[Vocabulary, Boosted] | None:
+def fit(pages: list[tuple[int, str]], layouts: int = 8) -> tuple[Vocabulary, Boosted] | None:
     """Vocabulary and trees from sample pages (id, html)."""
     trained: list[tuple[Node, set[int]]] = []
     for page_id, source in pages:

@@ -94,8 +94,8 @@ def test_held_out_layouts(spark):
         blocks = pages.text_of(pages.parse(s))
         root, inside = pages.labelled(pages.invented(blocks, rng))
         nodes, x = pages.features(root, model[0])
-        taken = pages.decode(nodes, model[1].odds(x))
-        chosen, stack = set(), [nodes[i] for i in taken]
+        taken, bare = pages.decode(nodes, model[1].odds(x))
+        chosen, stack = {id(nodes[i]) for i in bare}, [nodes[i] for i in taken]
         assert not any(id(p) in {id(nodes[j]) for j in taken} for i in taken for p in ancestors(nodes[i]))
         while stack:
             n = stack.pop()
@@ -120,6 +120,34 @@ def test_blocks():
     assert pages.text_of(pages.parse("<p>cut <b")) == ["cut"] and pages.text_of(pages.parse("")) == []
 
 
+OTHER_HAND = [  # layouts that the invented ones do not have, with their main text
+    ("<article>{0}<div class='advert'>Buy now, cheap and good</div>{1}</article>", "{0}\n{1}"),
+    ("<div class='content'>{0}<br><br>{1}<div class='comments'>Anna: I liked that. Ben: I did not.</div></div>", "{0} {1}"),
+    ("<div id='page'><div class='nav'><a href='/'>Home</a> <a href='/x'>News</a></div><div class='article-body'><p>{0}</p><div class='ads'><div class='ad'>Sale of shoes</div></div><p>{1}</p></div></div>", "{0}\n{1}"),
+    ("<main><h1>{2}</h1>{0}<p>{1}</p><section class='comments'><h2>Comments</h2><div class='comment'><p>Nice.</p></div></section></main>", "{2}\n{0}\n{1}"),
+    ("<header><h1>Daily</h1></header><article><h1>{2}</h1><p>{0}</p><aside class='related'><ul><li><a href='/a'>More</a></li></ul></aside><p>{1}</p></article><footer>Imprint</footer>", "{2}\n{0}\n{1}"),
+    ("<article><p title=\"5 o'clock>{0}</p><p>{1}</p></article>".replace("\"", "&#34;"), "{0}\n{1}"),
+]
+
+
+def test_layouts_of_another_hand(spark):
+    """Bare text beside adverts and comments inside the article."""
+    source = [(r["page_id"], r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").limit(80).collect()]
+    model = pages.fit(source)
+    texts = [b for _, s in source for b in pages.text_of(pages.parse(s)) if 200 < len(b) < 900][:60]
+    right = {i: 0 for i in range(len(OTHER_HAND))}
+    for a in range(0, 60, 3):
+        one, two, title = texts[a], texts[a + 1], texts[a + 2][:50].strip()
+        for i, (page, text) in enumerate(OTHER_HAND):
+            html = "<html><body>" + page.format(*(pages.entities.escape(t) for t in (one, two, title))) + "</body></html>"
+            right[i] += pages.extract([html], model)[0] == text.format(one, two, title)
+    assert min(right.values()) >= 18, right
+
+
+def test_unclosed_quotes():
+    assert pages.text_of(pages.parse("<p title=\"5 o'clock>Hello <b>there</b></p><p>you</p>")) == ["Hello there", "you"]
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<html><body>" + "<div>" * 3000 + "deep"), (4, "u", "<article>" + "<p>word text. " * 20_000), (4, "u", "plain"), (4, "u", "plain"), (None, "u", "<<<>>&&amp;")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'x' as text", "1 as n_chars")
