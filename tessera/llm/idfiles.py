@@ -147,7 +147,7 @@ class Encoder:
 
     def _of_pieces(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks without characters that ``OTHER`` names: NFC leaves them, and every piece ends with a token that ends a word."""
-        found = [self.pieces.findall(c.lower()) for c in chunks]
+        found = [[c.lower()] if c.isascii() and c.isalpha() else self.pieces.findall(c.lower()) for c in chunks]
         encoded = self.bare.encode_batch_fast([" ".join(x for some in found[a : a + 500] for x in some) for a in range(0, len(found), 500)], add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, f"<u{self.width}") for e in encoded])
         last = np.cumsum([len(some) for some in found]) - 1
@@ -161,7 +161,7 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known = {}
         missing = set().union(*chunks) - self.known.keys()
-        plain = [c for c in missing if self.pieces is not None and not OTHER.search(c)]
+        plain = [c for c in missing if c.isascii() and c.isalpha() or not OTHER.search(c)] if self.pieces is not None else []
         for some, ids in ((plain, self._of_pieces), (list(missing.difference(plain)), self._ids)):
             for a in range(0, len(some), 50_000):
                 part = some[a : a + 50_000]
