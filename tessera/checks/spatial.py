@@ -377,17 +377,18 @@ FEATURE_CAP = f"WITH {ctes('fx_footprints')} SELECT id, key FROM fx_footprints W
 def label_points(spark, sf):
     fp = footprints(spark, sf).withColumns({"file_name": F.element_at(F.split("key", "/"), -1), "location": F.col("key")})
     few = spatial.bbox_window(fp, WINDOW, max_rows=None)
-    many = fp.where(F.col("collection_id") == "c1")
-    return spatial.label_points(few).withColumn("view", F.lit("window")).union(
-        spatial.label_points(many).withColumn("view", F.lit("collection"))
-    )
+    found = spatial.label_points(few).withColumn("view", F.lit("window"))
+    for c in range(4):  # the collections of the footprints
+        one = spatial.label_points(fp.where(F.col("collection_id") == f"c{c}"))
+        found = found.union(one.withColumn("view", F.lit(f"c{c}")))
+    return found
 
 
 LABELS = f"""WITH {ctes('fx_footprints')},
 named AS (SELECT *, regexp_extract(key, '[^/]*$') AS label, (xmin + xmax) / 2 AS label_x, (ymin + ymax) / 2 AS label_y FROM fx_footprints),
-few AS (SELECT * FROM named WHERE {IN_WINDOW}), many AS (SELECT * FROM named WHERE collection_id = 'c1')
+few AS (SELECT * FROM named WHERE {IN_WINDOW}), many AS (SELECT *, count(*) OVER (PARTITION BY collection_id) AS n FROM named)
 SELECT key, label, label_x, label_y, 'window' AS view FROM few WHERE (SELECT count(*) FROM few) <= 500
-UNION ALL SELECT key, label, label_x, label_y, 'collection' AS view FROM many WHERE (SELECT count(*) FROM many) <= 500"""
+UNION ALL SELECT key, label, label_x, label_y, collection_id AS view FROM many WHERE n <= 500"""
 
 
 QUERIES = {

@@ -9,8 +9,8 @@ from .geometry import col
 
 # Formats that other programs rely on.
 S3_URI = r"^s3://([^/]+)/(.+)$"
-WKT_ROOT_AUTHORITY = r'AUTHORITY\["EPSG","(\d+)"\]\]\s*$'
-WKT_NESTED_AUTHORITY = r'PROJCS\[.*AUTHORITY\["EPSG","(\d+)"\]\]\s*,\s*(?:VERT_CS|COMPD_CS)'
+#: A quoted text, a name with its opening bracket, or a closing bracket of WKT.
+WKT_TOKEN = r'"[^"]*"|[A-Za-z_0-9]+\s*[\[(]|[\])]'
 COLLECTION_ID = r"^[a-z0-9]+(-[a-z0-9]+)*$"
 STATE_CODE = r"^[a-z]{2}$"
 RASTER_SUFFIX = r"\.tiff?$"
@@ -51,11 +51,35 @@ def normalize_prefix(prefix) -> Column:
 
 
 def epsg_from_wkt(wkt, override=None) -> Column:
-    """Authority code at the end of the text, else that of a projected system inside a compound one."""
-    code = F.coalesce(
-        extract(wkt, WKT_ROOT_AUTHORITY, 1), extract(wkt, WKT_NESTED_AUTHORITY, 1)
-    ).cast("int")
-    return code if override is None else F.coalesce(code, F.nullif(col(override).cast("int"), F.lit(0)))
+    """EPSG code of the system that a WKT text describes: that of its root, else that of the projected system in it.
+
+    The tokens are read once with the names of the open brackets, so a code counts only for the bracket that it stands in:
+    those of datums, units and of a vertical or geographic part never do, whatever the nesting.
+    """
+    tokens = F.regexp_extract_all(col(wkt), F.lit(WKT_TOKEN), F.lit(0))
+    empty = F.struct(F.array().cast("array<string>").alias("path"), F.lit("").alias("name"), F.lit(None).cast("int").alias("root"), F.lit(None).cast("int").alias("projected"))
+
+    def read(s: Column, t: Column) -> Column:
+        def state(path=s["path"], name=s["name"], root=s["root"], projected=s["projected"]):
+            return F.struct(path.alias("path"), name.alias("name"), root.alias("root"), projected.alias("projected"))
+
+        depth = F.size(s["path"])
+        number = F.btrim(t, F.lit('"')).try_cast("int")
+        opened = F.concat(s["path"], F.array(F.upper(F.btrim(t, F.lit("[( ")))))
+        inside = F.get(s["path"], depth - 1) == "AUTHORITY"
+        is_code = inside & (s["name"] == "EPSG")
+        return (
+            F.when(t.rlike(r"[\[(]$"), state(path=opened, name=F.lit("")))
+            .when(t.rlike(r"^[\])]$"), state(path=F.slice(s["path"], 1, F.greatest(depth - 1, F.lit(0))), name=F.lit("")))
+            .when(depth < 2, s)
+            .when(inside & (s["name"] == ""), state(name=F.upper(F.btrim(t, F.lit('"')))))
+            .when(is_code & (depth == 2), state(root=F.coalesce(s["root"], number)))
+            .when(is_code & (depth == 3) & (F.get(s["path"], F.lit(1)) == "PROJCS"), state(projected=F.coalesce(s["projected"], number)))
+            .otherwise(s)
+        )
+
+    found = F.aggregate(tokens, empty, read, lambda s: F.coalesce(s["root"], s["projected"]))
+    return found if override is None else F.coalesce(found, F.nullif(col(override).cast("int"), F.lit(0)))
 
 
 def location_url(base, mode, region, bucket, key) -> Column:
