@@ -9,6 +9,7 @@ from ..functions import crs as C
 from ..functions import geometry as G
 from ..functions import sql as S
 from ..functions import tiles as T
+from ..operators import footprints as P
 from ..operators import spatial, tilegen
 from ..plans import tile_report
 from .common import E, R, ctes, footprints, unboxed, utm_boxes
@@ -189,9 +190,7 @@ SELECT z, x, y, coalesce(n, 0) AS cog_count, coalesce(inside, false) AS inside_o
 
 def tile_coverage(spark, sf):
     fp = footprints(spark, sf)
-    tiles = tile_report.area_tiles(fp, 16)
-    hits = spatial.tile_hits(tiles, fp, 16)
-    return spatial.tile_coverage(hits, fp, 16).withColumn("coverage", F.round("coverage", 6))
+    return spatial.tile_coverage(tile_report.area_tiles(fp, 16), fp, 16).withColumn("coverage", F.round("coverage", 6))
 
 
 COVERAGE = with_area(16, pairs_sql(), class_sql()) + """
@@ -228,15 +227,16 @@ SELECT z, x, y, class, cog_count, round(coverage, 6) AS coverage FROM classes"""
 
 
 def classify_tiles_native(spark, sf):
-    """Footprints in UTM zone 16 against reprojected tiles."""
-    fp = utm_boxes(spark, sf).where("epsg = 26916")
-    from ..operators import footprints as P
-
-    web = P.with_web_copy(fp).select("id", "native_bbox", F.col("web_bbox").alias("bbox"))
-    tiles = tile_report.area_tiles(web, 15)
-    return spatial.classify_tiles_native(tiles, web, 15, "native_bbox", "bbox", C.crs_literal(26916)).select(
-        "z", "x", "y", "class", "cog_count"
-    )
+    """The footprints of every known system against tiles reprojected to it, each system on its own tiles."""
+    web = P.with_web_copy(utm_boxes(spark, sf)).select("id", "epsg", "native_bbox", F.col("web_bbox").alias("bbox"))
+    found = None
+    for epsg in (26916, 26917):  # the codes of the footprints; of others there is no native geometry on the map
+        one = web.where(F.col("epsg") == epsg)
+        tiles = tile_report.area_tiles(one, 15)
+        classes = spatial.classify_tiles_native(tiles, one, 15, "native_bbox", "bbox", C.crs_literal(epsg))
+        part = classes.select(F.lit(epsg).alias("epsg"), "z", "x", "y", "class", "cog_count")
+        found = part if found is None else found.union(part)
+    return found
 
 
 def class_stats(spark, sf):

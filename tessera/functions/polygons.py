@@ -1,8 +1,8 @@
 """Area of unions of convex quadrilaterals, for batches of rows.
 
 Clipping polygons has no built-in expression and is slow as nested array functions, so it runs as one
-Arrow-batched function over whole columns. It is called only for tiles whose class is still open, each with
-at most four quadrilaterals.
+Arrow-batched function over whole columns. Only tiles whose class is still open have
+members, at most four quadrilaterals each; for others the members are null.
 """
 
 from __future__ import annotations
@@ -82,19 +82,22 @@ def union_share(target: np.ndarray, members: np.ndarray, count: np.ndarray) -> n
 
 @F.pandas_udf(DoubleType())
 def _share(target: pd.Series, members: pd.Series) -> pd.Series:
-    if not len(target):
-        return pd.Series([], dtype="float64")
-    quads = np.zeros((len(target), MAX_MEMBERS, 4, 2))
-    count = np.zeros(len(target), dtype=int)
-    for i, flat in enumerate(members):
-        known = np.asarray(flat, dtype=float).reshape(-1, 4, 2)
-        if len(known) > MAX_MEMBERS:
-            raise ValueError(f"at most {MAX_MEMBERS} quadrilaterals, got {len(known)}")
-        quads[i, : len(known)] = known
-        count[i] = len(known)
-    return pd.Series(union_share(np.stack(list(target)).astype(float).reshape(-1, 4, 2), quads, count))
+    share = pd.Series([None] * len(members), dtype=object)
+    known = np.flatnonzero(members.notna().to_numpy())
+    if not len(known):
+        return share
+    flat = [members.iloc[i] for i in known]
+    count = np.fromiter((len(f) // 8 for f in flat), dtype=int, count=len(flat))
+    if count.max() > MAX_MEMBERS:
+        raise ValueError(f"at most {MAX_MEMBERS} quadrilaterals, got {count.max()}")
+    # one copy into fixed rows: the flat numbers go where the row has members
+    quads = np.zeros((len(flat), MAX_MEMBERS * 8))
+    quads[np.arange(MAX_MEMBERS * 8) < count[:, None] * 8] = np.concatenate(flat).astype(float)
+    squares = np.stack([target.iloc[i] for i in known]).astype(float)
+    share.iloc[known] = union_share(squares.reshape(-1, 4, 2), quads.reshape(-1, MAX_MEMBERS, 4, 2), count)
+    return share
 
 
 def quad_union_share(target: Column, members: Column) -> Column:
-    """Covered share of a quadrilateral (eight numbers) by at most four others (eight numbers each, end to end)."""
+    """Covered share of a quadrilateral (eight numbers) by at most four others (eight numbers each, end to end); null for null."""
     return _share(target, members)

@@ -13,6 +13,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from ..functions import crs as C
 from ..functions import geometry as G
@@ -118,37 +119,51 @@ def _keys(on: tuple[str, ...]) -> list[str]:
     return [*on, "z", "x", "y"]
 
 
-def _count_hits(tiles: DataFrame, pairs: DataFrame, inside: Column, on) -> DataFrame:
-    """Hits per tile, zero where there is none.
+def _count_hits(tiles: DataFrame, pairs: DataFrame, inside: Column, on, member: Column | None = None) -> DataFrame:
+    """Hits per tile, zero where there is none; with ``member`` also ``members``, at most five of its hits' values.
 
-    The tiles themselves enter the aggregation with weight 0, which replaces an outer join; counts are
-    combined before the shuffle, so a tile under very many footprints costs one row per task.
+    The tiles themselves enter the aggregation with weight 0, which replaces an outer join. Counts are combined and member
+    lists cut before the shuffle, so a tile under very many footprints costs one row per task. Five members are one more
+    than a tile of unknown class can have, so the list of such a tile is whole. The smallest members are kept, in order:
+    the same ones on every layout.
     """
     zero = tiles.select(*_keys(on), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("inside"))
-    one = pairs.select(*_keys(on), F.lit(1).cast("bigint").alias("n"), inside.alias("inside"))
+    one = pairs.select(
+        *_keys(on), F.lit(1).cast("bigint").alias("n"), inside.alias("inside"), *([] if member is None else [member.alias("member")])
+    )
+    kept = []
+    if member is not None:
+        zero = zero.withColumn("member", F.lit(None).cast(one.schema["member"].dataType))
+        kept = [InternalFunction.collect_top_k(F.col("member"), MAX_READABLE_HITS + 1, True).alias("members")]
     return (
         zero.union(one)
         .groupBy(*_keys(on))
-        .agg(F.sum("n").alias("cog_count"), F.bool_or("inside").alias("inside_one"))
+        .agg(F.sum("n").alias("cog_count"), F.bool_or("inside").alias("inside_one"), *kept)
     )
 
 
+def _inside(box: str, ring) -> Column:
+    if ring is None:
+        return G.bbox_contains(box, "tile_bbox")
+    # The box test rejects rings without area, whose half-planes exclude nothing.
+    return G.bbox_contains(box, "tile_bbox") & G.box_within_planes("tile_bbox", "__planes")
+
+
 def tile_hits(
     tiles: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None
 ) -> DataFrame:
     """Number of footprints per tile and whether one of them contains it; tiles without hits give 0/false."""
     pairs = tile_footprint_join(tiles.select(*_keys(on)), footprints, zoom, box, on, ring, max_shift)
-    if ring is None:
-        inside = G.bbox_contains(box, "tile_bbox")
-    else:
-        # The box test rejects rings without area, whose half-planes exclude nothing.
-        inside = G.bbox_contains(box, "tile_bbox") & G.box_within_planes("tile_bbox", "__planes")
-    return _count_hits(tiles, pairs, inside, on)
+    return _count_hits(tiles, pairs, _inside(box, ring), on)
 
 
 def undecided(hits: DataFrame) -> DataFrame:
     """Tiles whose class depends on their coverage: one to four hits, none of which contains the tile."""
-    return hits.where(F.col("cog_count").between(1, MAX_READABLE_HITS) & ~F.col("inside_one"))
+    return hits.where(_is_undecided())
+
+
+def _is_undecided() -> Column:
+    return F.col("cog_count").between(1, MAX_READABLE_HITS) & ~F.col("inside_one")
 
 
 def _unit_box(box: str, tile: str) -> Column:
@@ -178,29 +193,37 @@ def _union_of_unit_boxes(boxes: str) -> Column:
     return F.expr(" + ".join(terms))
 
 
-def tile_coverage(
-    hits: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None
+def tile_summary(
+    tiles: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None
 ) -> DataFrame:
-    """``coverage`` of each undecided tile of ``hits`` (see ``tile_hits``).
+    """``cog_count``, ``inside_one`` and ``coverage`` of every tile, from one join and one aggregation.
 
-    Only tiles with at most four hits take part, so the list gathered per tile has at most four members.
+    ``coverage`` is null for tiles whose class does not depend on it.
     """
-    open_tiles = undecided(hits).select(*_keys(on))
-    pairs = tile_footprint_join(open_tiles, footprints, zoom, box, on, ring, max_shift)
+    tiles = tiles.select(*_keys(on))
+    pairs = tile_footprint_join(tiles, footprints, zoom, box, on, ring, max_shift)
     if ring is None:
-        part = _unit_box(box, "tile_bbox")
-        gathered = pairs.groupBy(*_keys(on)).agg(F.array_sort(F.collect_list(part)).alias("__members"))
-        share = _union_of_unit_boxes("__members")
+        member = _unit_box(box, "tile_bbox")
     else:
-        near = G.ring_numbers(ring, "tile_bbox.xmin", "tile_bbox.ymin")  # near the origin doubles are precise
-        gathered = (
-            pairs.groupBy(*_keys(on))
-            .agg(F.flatten(F.array_sort(F.collect_list(near))).alias("__members"))
-            .withColumn("__size", T.tile_size("z"))
-            .withColumn("__square", F.expr("array(0D, 0D, __size, 0D, __size, __size, 0D, __size)"))
-        )
-        share = P.quad_union_share(F.col("__square"), F.col("__members"))
-    return gathered.select(*_keys(on), share.alias("coverage"))
+        member = G.ring_numbers(ring, "tile_bbox.xmin", "tile_bbox.ymin")  # near the origin doubles are precise
+    hits = _count_hits(tiles, pairs, _inside(box, ring), on, member)
+    # lists of decided tiles go no further
+    opened = hits.withColumn("members", F.when(_is_undecided(), F.col("members")))
+    if ring is None:
+        share = F.when(F.col("members").isNotNull(), _union_of_unit_boxes("members"))
+    else:
+        size = T.tile_size("z")
+        square = F.array(F.lit(0.0), F.lit(0.0), size, F.lit(0.0), size, size, F.lit(0.0), size)
+        share = P.quad_union_share(square, F.flatten("members"))
+    return opened.select(*_keys(on), "cog_count", "inside_one", share.alias("coverage"))
+
+
+def tile_coverage(
+    tiles: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None
+) -> DataFrame:
+    """``coverage`` of each undecided tile."""
+    summary = tile_summary(tiles, footprints, zoom, box, on, ring, max_shift)
+    return undecided(summary).select(*_keys(on), "coverage")
 
 
 def tile_class(cog_count="cog_count", inside_one="inside_one", coverage="coverage") -> Column:
@@ -218,13 +241,8 @@ def classify_tiles(
     tiles: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None
 ) -> DataFrame:
     """``class`` and ``cog_count`` of every tile."""
-    hits = tile_hits(tiles.select(*_keys(on)), footprints, zoom, box, on, ring, max_shift)
-    covered = tile_coverage(hits, footprints, zoom, box, on, ring, max_shift)
-    return (
-        hits.join(covered, _keys(on), "left")
-        .withColumn("class", tile_class())
-        .select(*_keys(on), "class", "cog_count", "coverage")
-    )
+    summary = tile_summary(tiles, footprints, zoom, box, on, ring, max_shift)
+    return summary.select(*_keys(on), tile_class().alias("class"), "cog_count", "coverage")
 
 
 def class_stats(classified: DataFrame, *by: str) -> DataFrame:
@@ -271,27 +289,20 @@ def classify_tiles_native(
         shaped = F.struct(G.ring_bbox("__ring").alias("__box"), G.half_planes("__ring").alias("__tile_planes"))
         return ringed.select("*", F.inline(F.array(moved))).select("*", F.inline(F.array(shaped))).drop("__web")
 
-    def exact(tile_rows: DataFrame) -> DataFrame:
-        pairs = tile_footprint_join(with_native_tile(tile_rows), grown, zoom, "__search", on)
-        return pairs.where(
-            G.bbox_intersects("__native", "__box") & ~G.box_misses_planes("__native", "__tile_planes")
-        )
-
-    inside = G.bbox_contains("__native", "__box")
-    hits = _count_hits(tiles, exact(tiles.select(*_keys(on))), inside, on)
+    pairs = tile_footprint_join(with_native_tile(tiles.select(*_keys(on))), grown, zoom, "__search", on)
+    exact = pairs.where(
+        G.bbox_intersects("__native", "__box") & ~G.box_misses_planes("__native", "__tile_planes")
+    ).withColumn("__native_ring", G.ring_from_bbox("__native"))
     near = G.ring_numbers("__native_ring", "__box.xmin", "__box.ymin")
     target = G.ring_numbers("__ring", "__box.xmin", "__box.ymin")
-    members = (
-        exact(undecided(hits).select(*_keys(on)))
-        .withColumn("__native_ring", G.ring_from_bbox("__native"))
-        .groupBy(*_keys(on))
-        .agg(F.flatten(F.array_sort(F.collect_list(near))).alias("__members"), F.first(target).alias("__target"))
-        .select(*_keys(on), P.quad_union_share(F.col("__target"), F.col("__members")).alias("coverage"))
-    )
+    member = F.struct(near.alias("quad"), target.alias("target"))
+    hits = _count_hits(tiles, exact, G.bbox_contains("__native", "__box"), on, member)
+    opened = hits.withColumn("members", F.when(_is_undecided(), F.col("members")))
+    quads = F.flatten(F.transform("members", lambda m: m["quad"]))
+    share = P.quad_union_share(F.get("members", F.lit(0))["target"], quads)
     return (
-        hits.join(members, _keys(on), "left")
-        .withColumn("class", tile_class())
-        .select(*_keys(on), "class", "cog_count", "coverage")
+        opened.select(*_keys(on), "cog_count", "inside_one", share.alias("coverage"))
+        .select(*_keys(on), tile_class().alias("class"), "cog_count", "coverage")
     )
 
 
