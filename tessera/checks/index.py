@@ -9,14 +9,13 @@ from ..functions import crs as C
 from ..functions import geometry as G
 from ..functions import text as X
 from ..functions import tiles as T
-from ..functions.crs import crs_rows
 from ..operators import footprints as P
 from ..operators import ranks, spatial, staging
 from ..plans import scan
 from ..session import scratch_path
 from ..sinks import writers
 from ..sources import readers
-from .common import E, R, ctes, footprints, unboxed, utm_boxes
+from .common import E, R, ctes, footprints, lake, unboxed, utm_boxes
 
 WKT_SQL = """CASE WHEN id % 9 = 0 THEN 'PROJCS["unnamed",GEOGCS["NAD83",AUTHORITY["EPSG","4269"]],UNIT["metre",1]]'
  ELSE concat('PROJCS["x",GEOGCS["WGS 84",AUTHORITY["EPSG","4326"]],AUTHORITY["EPSG","', CAST(CASE WHEN id % 7 = 0 THEN 3395 ELSE 3857 END AS STRING), '"]]') END"""
@@ -92,29 +91,20 @@ FROM (SELECT DISTINCT 'c' || (id % 10) AS collection_id FROM f) c LEFT JOIN r ON
 # --- CRS --------------------------------------------------------------------------------------
 
 
-def _series(name: str, rows, epsg: int) -> str:
-    columns = ("epsg", "method", "lon0", "k0", "fe", "fn", "unit", "a", "e", "alpha", "beta", "delta", "scale", "offset", "cone")
-    return dict(zip(columns, next(r for r in rows if r[0] == epsg)))[name]
-
-
-def _utm_params() -> str:
-    rows = crs_rows()
-    parts = []
-    for epsg in (26916, 26917):
-        beta, delta = _series("beta", rows, epsg), _series("delta", rows, epsg)
-        numbers = ", ".join(f"{v!r}::DOUBLE AS b{i + 1}" for i, v in enumerate(beta))
-        more = ", ".join(f"{v!r}::DOUBLE AS d{i + 1}" for i, v in enumerate(delta))
-        parts.append(
-            f"SELECT {epsg} AS epsg, {_series('lon0', rows, epsg)!r}::DOUBLE AS l0, {_series('scale', rows, epsg)!r}::DOUBLE AS sc, {numbers}, {more}"
-        )
-    return " UNION ALL ".join(parts)
+# The system of a UTM code, from the ellipsoid and the published series; nothing is taken from the operator.
+UTM_PARAMS = """SELECT epsg, radians((epsg - 26900) * 6 - 183) AS l0, 0.9996::DOUBLE * 6378137 * (1 + n * n / 4 + n * n * n * n / 64) / (1 + n) AS sc,
+ n / 2 - n * n * 2 / 3 + n * n * n * 37 / 96 - n * n * n * n / 360 AS b1, n * n / 48 + n * n * n / 15 - n * n * n * n * 437 / 1440 AS b2,
+ n * n * n * 17 / 480 - n * n * n * n * 37 / 840 AS b3, n * n * n * n * 4397 / 161280 AS b4,
+ 2 * n - n * n * 2 / 3 - 2 * n * n * n + n * n * n * n * 116 / 45 AS d1, n * n * 7 / 3 - n * n * n * 8 / 5 - n * n * n * n * 227 / 45 AS d2,
+ n * n * n * 56 / 15 - n * n * n * n * 136 / 35 AS d3, n * n * n * n * 4279 / 630 AS d4
+ FROM (SELECT unnest([26916, 26917]) AS epsg, (1 / 298.257222101::DOUBLE) / (2 - 1 / 298.257222101::DOUBLE) AS n)"""
 
 
 def _sum(name: str, f: str, g: str) -> str:
     return " + ".join(f"{name}{j} * {f}({2 * j} * u) * {g}({2 * j} * v)" for j in (1, 2, 3, 4))
 
 
-REPROJECTED = f"""WITH {ctes('fx_utm')}, crs AS ({_utm_params()}),
+REPROJECTED = f"""WITH {ctes('fx_utm')}, crs AS ({UTM_PARAMS}),
 corners AS (SELECT id, epsg, 1 AS i, xmin AS px, ymin AS py FROM fx_utm UNION ALL SELECT id, epsg, 2, xmax, ymin FROM fx_utm
   UNION ALL SELECT id, epsg, 3, xmax, ymax FROM fx_utm UNION ALL SELECT id, epsg, 4, xmin, ymax FROM fx_utm),
 a AS (SELECT id, i, c.*, py / sc AS u, (px - 500000) / sc AS v FROM corners JOIN crs c USING (epsg)),
@@ -143,6 +133,47 @@ REPROJECTED_BOXES = REPROJECTED + """ SELECT id, round_even(min(x), 3) AS xmin,
  round_even(max(x), 3) AS xmax, round_even(max(y), 3) AS ymax FROM w GROUP BY id"""
 
 
+FURTHER = (5070, 3413, 3031, 26714)
+
+
+def reproject_further(spark, sf):
+    """Corners of the lake in an equal-area, two polar and an older datum's system, and back."""
+    found = None
+    for epsg in FURTHER:
+        there = C.from_lonlat("named_struct('x', bbox.xmin, 'y', bbox.ymin)", C.crs_literal(epsg))
+        moved = lake(spark, sf).select("id", F.lit(epsg).alias("epsg"), there.alias("p")).withColumn("g", C.to_lonlat("p", C.crs_literal(epsg)))
+        known = F.col("epsg") != 26714  # the SQL has no shift of datum: of that system only the way back is compared
+        x, y = (F.when(known, F.bround(f"p.{v}", 2)) for v in "xy")
+        part = moved.select("id", "epsg", x.alias("x"), y.alias("y"), F.bround("g.x", 8).alias("lon"), F.bround("g.y", 8).alias("lat"))
+        found = part if found is None else found.union(part)
+    return found
+
+
+# Snyder's forms with logarithms and tangents of half angles.
+FURTHER_SQL = f"""WITH {ctes('fx_lake')},
+p AS (SELECT id, xmin AS lon, ymin AS lat, radians(ymin) AS f, sin(radians(ymin)) AS s FROM fx_lake),
+grs AS (SELECT f * (2 - f) AS e2, sqrt(f * (2 - f)) AS e FROM (SELECT 1 / 298.257222101::DOUBLE AS f)),
+wgs AS (SELECT f * (2 - f) AS e2, sqrt(f * (2 - f)) AS e FROM (SELECT 1 / 298.257223563::DOUBLE AS f)),
+par AS (SELECT e, e2, unnest([23.0, 29.5, 45.5]::DOUBLE[]) AS deg FROM grs),
+qm AS (SELECT deg, (1 - e2) * (sin(radians(deg)) / (1 - e2 * sin(radians(deg)) * sin(radians(deg))) - ln((1 - e * sin(radians(deg))) / (1 + e * sin(radians(deg)))) / (2 * e)) AS q,
+ cos(radians(deg)) * cos(radians(deg)) / (1 - e2 * sin(radians(deg)) * sin(radians(deg))) AS mm FROM par),
+k AS (SELECT max(CASE WHEN deg = 23.0 THEN q END) AS q0, max(CASE WHEN deg = 29.5 THEN q END) AS q1, max(CASE WHEN deg = 45.5 THEN q END) AS q2,
+ max(CASE WHEN deg = 29.5 THEN mm END) AS m1, max(CASE WHEN deg = 45.5 THEN mm END) AS m2 FROM qm),
+cone AS (SELECT (m1 - m2) / (q2 - q1) AS n, m1 + (m1 - m2) / (q2 - q1) * q1 AS c, q0 FROM k),
+aea AS (SELECT id, lon, lat, n, 6378137 * sqrt(c - n * (1 - e2) * (s / (1 - e2 * s * s) - ln((1 - e * s) / (1 + e * s)) / (2 * e))) / n AS rho,
+ 6378137 * sqrt(c - n * q0) / n AS rho0, n * radians(lon + 96) AS th FROM p, grs, cone),
+pole AS (SELECT e, e2, 6378137 * cos(radians(ts)) / sqrt(1 - e2 * sin(radians(ts)) * sin(radians(ts)))
+  / (tan(pi() / 4 - radians(ts) / 2) / pow((1 - e * sin(radians(ts))) / (1 + e * sin(radians(ts))), e / 2)) AS r, ts
+  FROM wgs, (SELECT unnest([70, 71]::DOUBLE[]) AS ts)),
+st AS (SELECT id, lon, lat, ts, CASE WHEN ts = 70 THEN r * tan(pi() / 4 - f / 2) / pow((1 - e * s) / (1 + e * s), e / 2)
+  ELSE r * tan(pi() / 4 + f / 2) * pow((1 - e * s) / (1 + e * s), e / 2) END AS rho FROM p, pole),
+u AS (SELECT id, 5070 AS epsg, rho * sin(th) AS x, rho0 - rho * cos(th) AS y, lon, lat FROM aea
+ UNION ALL SELECT id, 3413, rho * sin(radians(lon + 45)), -rho * cos(radians(lon + 45)), lon, lat FROM st WHERE ts = 70
+ UNION ALL SELECT id, 3031, rho * sin(radians(lon)), rho * cos(radians(lon)), lon, lat FROM st WHERE ts = 71
+ UNION ALL SELECT id, 26714, NULL, NULL, lon, lat FROM p)
+SELECT id, epsg, round_even(x, 2) AS x, round_even(y, 2) AS y, round_even(lon, 8) AS lon, round_even(lat, 8) AS lat FROM u"""
+
+
 def dropped_by_projection(spark, sf):
     """Rows that keep only their native copy: no code, or a code without parameters."""
     fp = P.with_web_copy(utm_boxes(spark, sf))
@@ -399,7 +430,7 @@ def staged_window(spark, sf):
     writers.write_staged_index(footprints(spark, sf).select("id", "key", "bbox"), path, tie=("id",))
     from .spatial import WINDOW
 
-    return spatial.bbox_window(spark.read.parquet(path), WINDOW, max_rows=None).select("id", "key")
+    return readers.read_window(spark, path, WINDOW).select("id", "key")
 
 
 def exported_features(spark, sf):
@@ -437,6 +468,7 @@ QUERIES = {
     "median_zoom": (median_zoom, MEDIAN_ZOOM),
     "reproject_rings": (reproject_rings, REPROJECTED + " SELECT id, i, round(x, 3) AS x, round(y, 3) AS y FROM w"),
     "reproject_boxes": (reproject_boxes, REPROJECTED_BOXES),
+    "reproject_further": (reproject_further, FURTHER_SQL),
     "dropped_by_projection": (dropped_by_projection, DROPPED_BY_PROJECTION),
     "epsg_from_wkt": (epsg_from_wkt, EPSG_FROM_WKT),
     "extent_by_epsg": (extent_by_epsg, EXTENT),

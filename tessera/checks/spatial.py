@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..fixtures import derive
 from ..functions import crs as C
 from ..functions import geometry as G
 from ..functions import sql as S
@@ -12,7 +13,7 @@ from ..functions import tiles as T
 from ..operators import footprints as P
 from ..operators import spatial, tilegen
 from ..plans import tile_report
-from .common import E, R, ctes, footprints, unboxed, utm_boxes
+from .common import E, R, boxed, ctes, footprints, unboxed, utm_boxes
 
 TILE_BOX = """
 -{E} + x * (2 * {E} / pow(2, z)) AS txmin, {E} - (y + 1) * (2 * {E} / pow(2, z)) AS tymin,
@@ -306,7 +307,10 @@ def _draws(spark, sf):
 
 
 def sample_tiles(spark, sf):
-    return tilegen.sample_tiles(_draws(spark, sf), WANTED)
+    """Drawn in rounds until enough are usable."""
+    fp = footprints(spark, sf)
+    draws = tilegen.classify_in_rounds(tile_report.covered_range(fp, SAMPLE_ZOOM), fp, SAMPLE_ZOOM, WANTED, SEED)
+    return tilegen.sample_tiles(draws, WANTED)
 
 
 def sample_stats(spark, sf):
@@ -334,12 +338,20 @@ SELECT {ATTEMPTS}::BIGINT AS attempts, {WANTED}::BIGINT AS requested,
  count(*) FILTER (WHERE class = 'too_many') AS too_many, {ATTEMPTS} - count(*) AS duplicates FROM classes"""
 
 
+PIXELS = 1000  # width of the footprints' rasters
+
+
 def prepared_tiles(spark, sf):
     """Zoom from the data's own native zoom, then a sample with request addresses."""
-    return tile_report.prepare_tiles(footprints(spark, sf), SAMPLE_ZOOM, WANTED, SEED).select("z", "x", "y", "class", "url")
+    fp = footprints(spark, sf)
+    zooms = fp.withColumns({"id": F.lit("all"), "native_zoom": T.native_zoom("bbox", F.lit(PIXELS))})
+    entry = P.median_native_zoom(zooms, ("id",))
+    return tile_report.prepare_collection(entry, "all", fp, WANTED, SEED).select("z", "x", "y", "class", "url")
 
 
-PREPARED = SAMPLE_BASE + f""",
+NATIVE = f"""(SELECT CAST(round_even(zoom, 0) AS INT) FROM (SELECT zoom, row_number() OVER (ORDER BY zoom) - 1 AS i, count(*) OVER () AS n
+ FROM (SELECT log2(2 * {E} / (256 * ((xmax - xmin) / {PIXELS}))) AS zoom FROM fx_footprints)) WHERE i = n // 2)"""
+PREPARED = SAMPLE_BASE.replace(range_sql(SAMPLE_ZOOM), range_sql(NATIVE)) + f""",
 picked AS (SELECT z, x, y, class, attempt FROM classes JOIN firsts USING (z, x, y) WHERE class IN ('interior', 'seam') ORDER BY attempt LIMIT {WANTED}),
 pb AS (SELECT *, {TILE_BOX} FROM picked)
 SELECT z, x, y, class, 'http://127.0.0.1/mapserv?SERVICE=WMS&VERSION=1.3.0&REQUEST=GetMap&LAYERS=imagery&CRS=EPSG:3857&BBOX=' ||
@@ -374,6 +386,18 @@ def feature_cap(spark, sf):
 FEATURE_CAP = f"WITH {ctes('fx_footprints')} SELECT id, key FROM fx_footprints WHERE {IN_WINDOW} ORDER BY id LIMIT 50000"
 
 
+def feature_cap_binds(spark, sf):
+    """More than 50,000 features meet the window (at scale 0.01 and above): the first ones in key order."""
+    parcels = boxed(derive(spark, sf, PARCELS))
+    return spatial.bbox_window(parcels, PARCEL_WINDOW, max_rows=50_000, order="id").select("id", "key")
+
+
+PARCELS = """SELECT CAST(l_orderkey AS BIGINT) * 8 + l_linenumber AS id, concat('parcel/', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS key,
+ CAST(l_partkey % 1000 AS DOUBLE) AS xmin, CAST(l_suppkey AS DOUBLE) AS ymin, CAST(l_partkey % 1000 + l_linenumber AS DOUBLE) AS xmax, CAST(l_suppkey + 1 AS DOUBLE) AS ymax FROM lineitem"""
+PARCEL_WINDOW = (5.0, 0.0, 1e9, 1e9)
+FEATURE_CAP_BINDS = f"SELECT id, key FROM ({PARCELS}) WHERE xmax >= 5 ORDER BY id LIMIT 50000".replace("AS STRING", "AS VARCHAR")
+
+
 def label_points(spark, sf):
     fp = footprints(spark, sf).withColumns({"file_name": F.element_at(F.split("key", "/"), -1), "location": F.col("key")})
     few = spatial.bbox_window(fp, WINDOW, max_rows=None)
@@ -415,5 +439,6 @@ QUERIES = {
     "bbox_window": (bbox_window, BBOX_WINDOW),
     "bbox_window_polygons": (bbox_window_polygons, f"WITH {ctes('fx_footprints')} SELECT id, key FROM fx_footprints WHERE {IN_WINDOW}"),
     "feature_cap": (feature_cap, FEATURE_CAP),
+    "feature_cap_binds": (feature_cap_binds, FEATURE_CAP_BINDS),
     "label_points": (label_points, LABELS),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tiles as T
 from ..functions.geometry import col
+from ..session import materialize
 from . import spatial
 
 # The area and centre used when a collection states no bounds ([[lat, lon], [lat, lon]]).
@@ -79,11 +80,14 @@ def _uniform(low: Column, high: Column, seed: int, salt: str) -> Column:
     return (low + draw % (high - low + 1)).cast("int")
 
 
-def draw_tiles(ranges: DataFrame, zoom: int, attempts: int, seed: int, rng: str = "range") -> DataFrame:
-    """``attempts`` random tiles of a one-row range, numbered by ``attempt``; repeats included."""
-    r = F.col(rng)
+def draw_tiles(ranges: DataFrame, zoom: int, attempts: int, seed: int, rng: str = "range", after: int = 0) -> DataFrame:
+    """Random tiles of a one-row range for the attempts ``after + 1 .. attempts``; repeats included.
+
+    The attempts are generated in parallel, and the range comes to them as one value.
+    """
+    drawn = ranges.sparkSession.range(after + 1, attempts + 1)
     return (
-        ranges.select(r.alias("__r"), F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
+        drawn.select(ranges.select(rng).scalar().alias("__r"), F.col("id").cast("int").alias("attempt"))
         .select(
             "attempt",
             F.lit(zoom).cast("int").alias("z"),
@@ -109,6 +113,31 @@ def classify_draws(
     return drawn.join(classes, ["z", "x", "y"])
 
 
+def classify_in_rounds(
+    ranges: DataFrame, footprints: DataFrame, zoom: int, requests: int, seed: int = 0, box: str = "bbox",
+    rng: str = "range", ring: str | None = None, first: int | None = None,
+) -> DataFrame:
+    """The draws of ``classify_draws`` up to the round in which ``requests`` of them are usable.
+
+    Each round has four times as many attempts as there were so far, and only tiles not drawn before are classified. The
+    rounds' results are kept in the shared folder. Draws depend on the attempt's number alone, so the first usable ones are
+    those that classifying every attempt gives.
+    """
+    limit = max_attempts(requests)
+    done, size, known = 0, first or 4 * requests, None
+    while done < limit:
+        upto = min(limit, done + size)
+        drawn = first_attempts(draw_tiles(ranges, zoom, upto, seed, rng, after=done))
+        fresh = drawn if known is None else drawn.join(known, ["z", "x", "y"], "left_anti")
+        classes = spatial.classify_tiles(fresh, footprints, zoom, box, (), ring)
+        part = materialize(fresh.join(classes, ["z", "x", "y"]), "draws")
+        known = part if known is None else known.union(part)
+        if spatial.usable_tiles(known).limit(requests).count() == requests:
+            break
+        done, size = upto, 4 * upto
+    return known
+
+
 def sample_tiles(classified_draws: DataFrame, requests: int) -> DataFrame:
     """The first ``requests`` usable tiles in drawing order."""
     return (

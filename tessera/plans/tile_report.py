@@ -33,11 +33,22 @@ def area_report(footprints: DataFrame, zoom: int, box: str = "bbox", by: tuple[s
 
 def prepare_tiles(footprints: DataFrame, zoom: int, requests: int = 50, seed: int = 0, layer: str = "imagery") -> DataFrame:
     """Sampled usable tiles with the request address of each."""
-    draws = tilegen.classify_draws(covered_range(footprints, zoom), footprints, zoom, requests, seed)
+    draws = tilegen.classify_in_rounds(covered_range(footprints, zoom), footprints, zoom, requests, seed)
     picked = tilegen.sample_tiles(draws, requests)
     return picked.withColumn("url", T.tile_request_url(F.lit(layer), T.tile_bbox("x", "y", "z")))
 
 
+def prepare_collection(
+    collections: DataFrame, collection_id: str, footprints: DataFrame, requests: int = 50, seed: int = 0,
+    requested: int | None = None, viewer_zoom: int | None = None, layer: str = "imagery",
+) -> DataFrame:
+    """``prepare_tiles`` at the zoom that the request, the collection's catalog row or the viewer names, in that order."""
+    row = collection_zoom(collections.where(F.col("id") == collection_id), requested, viewer_zoom).select("zoom").first()
+    if row is None:
+        raise ValueError(f"no collection {collection_id} in the catalog")
+    return prepare_tiles(footprints, row["zoom"], requests, seed, layer)
+
+
 def collection_zoom(collections: DataFrame, requested: int | None = None, viewer_zoom: int | None = None) -> DataFrame:
     """``zoom`` each collection is measured at."""
     return collections.withColumn(

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..operators import catalog as K
 from ..operators import staging
 from ..sources import files, readers
@@ -111,6 +112,20 @@ def write_staged_index(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    write_file_boxes(df.sparkSession, path, box)
+
+
+def write_file_boxes(spark: SparkSession, path: str, box: str = "bbox") -> None:
+    """The box around the rows of each file, kept inside the index under a name that scans of it leave out.
+
+    File names are relative to the index, so it can be moved or published as a whole.
+    """
+    inside = F.lit(len(files.bare_text(files.qualified(spark, path)).rstrip("/")) + 2)
+    # of the index as it is: an earlier table of boxes is hidden from this scan
+    rows = spark.read.parquet(path).select(files.decoded(F.col("_metadata.file_path")).alias("__name"), box)
+    edges = [f(f"{box}.{e}").alias(e) for e, f in zip(G.BBOX_FIELDS, (F.min, F.min, F.max, F.max))]
+    boxes = rows.groupBy(F.substring("__name", inside, F.length("__name")).alias("file")).agg(*edges, F.count(F.lit(1)).alias("n"))
+    boxes.coalesce(1).write.mode("overwrite").parquet(f"{path}/{files.FILE_BOXES}")
 
 
 def feature_lines(df: DataFrame, ring: str, properties: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Beside the files of a staged index: the box of each.
+FILE_BOXES = "_boxes"
 #: Scheme and authority of a qualified path.
 SCHEME = "^[a-z0-9]+:(//[^/]*)?"
 
@@ -42,10 +44,20 @@ def unescaped(name: str) -> str:
     return unquote(name)
 
 
+def escaped(name: str) -> str:
+    """A plain name as a path pattern that means itself."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
+
+
 def bare(path: Column) -> Column:
     return F.regexp_replace(path, SCHEME, "")
 
 
+def decoded(path: Column) -> Column:
+    """A file's name as scans give it (an escaped address) as a plain path."""
+    return F.url_decode(F.replace(bare(path), F.lit("+"), F.lit("%2B")))
+
+
 def read_with_text_ids(spark: SparkSession, path: str, name: str = "collection_id") -> DataFrame:
     """A table partitioned by ``name``, whose folder names stay text: ids such as 007 or 2024-01-01 are no numbers or dates."""
     found = spark.read.parquet(path).schema

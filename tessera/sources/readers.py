@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import ranks, staging
+from ..operators import ranks, spatial, staging
 from ..operators.catalog import CATALOG_SCHEMA
 from . import files
 
@@ -112,8 +112,7 @@ def read_addresses(spark: SparkSession, selected: list[tuple[str, int, str]]) ->
         plain = files.unescaped(files.bare_text(name))
         owners += [(plain, s, y) for s, y, uri in selected if plain == places[uri] or plain.startswith(places[uri] + "/")]
     owner = spark.createDataFrame(owners, "__file string, region string, year int")
-    here = F.url_decode(F.replace(files.bare(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B")))
-    plain_rows = rows.select("*", here.alias("__file")).drop("region", "year")
+    plain_rows = rows.select("*", files.decoded(F.col("_metadata.file_path")).alias("__file")).drop("region", "year")
     return plain_rows.join(owner, "__file").drop("__file")
 
 
@@ -227,6 +226,25 @@ def read_index(spark: SparkSession, path: str, collection_id: str | None = None,
     return df.select(*columns) if columns else df
 
 
+def read_window(spark: SparkSession, path: str, window: tuple[float, float, float, float], box: str = "bbox") -> DataFrame:
+    """Rows of a staged index that intersect the window; only files whose box meets it are opened.
+
+    The table of file boxes has one row for each file, and the names chosen from it are no more than the scan would list.
+    An index without that table is read as a whole, its row groups pruned by their statistics.
+    """
+    if not files.exists(spark, f"{path}/{files.FILE_BOXES}"):
+        return spatial.bbox_window(spark.read.parquet(path), window, box)
+    edges = ("file string", *(f"{e} double" for e in G.BBOX_FIELDS), "n bigint")
+    boxes = spark.read.schema(", ".join(edges)).parquet(f"{path}/{files.FILE_BOXES}")
+    met = spatial.bbox_window(boxes.select("file", G.bbox(*G.BBOX_FIELDS).alias("b")), window, "b")
+    names = [f"{path.rstrip('/')}/{files.escaped(r['file'])}" for r in met.select("file").toLocalIterator()]
+    whole = spark.read.parquet(path)
+    if not names:
+        return whole.where(F.lit(False))
+    chosen = spark.read.schema(whole.schema).option("basePath", path).parquet(*names)
+    return spatial.bbox_window(chosen, window, box)
+
+
 def by_collection(index: DataFrame, collection_id: str) -> DataFrame:
     return index.where(F.col("collection_id") == collection_id)
 

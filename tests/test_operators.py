@@ -12,7 +12,7 @@ from tessera.functions import geometry as G
 from tessera.functions import text as X
 from tessera.operators import catalog as K
 from tessera.operators import footprints as P
-from tessera.operators import ranks, staging, telemetry
+from tessera.operators import ranks, spatial, staging, telemetry
 from tessera.plans import refresh, scan
 from tessera.sinks import generations, writers
 from tessera.sources import files, readers
@@ -220,6 +220,30 @@ def test_replace_and_delete_collection(spark, tmp_path):
     assert writers.delete_index_rows(spark, path, "b") == 1 and writers.delete_index_rows(spark, path, "b") == 0
 
 
+def test_window_opens_only_files_that_meet_it(spark, tmp_path):
+    """File boxes choose the files; names with marks, null and NaN boxes, windows without files, and indexes without boxes."""
+    rows = spark.range(4000).selectExpr(
+        "id", "concat('r [', cast(id % 3 as string), ']*') AS region",
+        "CASE WHEN id % 97 = 0 THEN NULL WHEN id % 89 = 0 THEN named_struct('xmin', 0D, 'ymin', 0D, 'xmax', double('nan'), 'ymax', 1D) "
+        "ELSE named_struct('xmin', id % 100 * 1D, 'ymin', floor(id / 100) * 1D, 'xmax', id % 100 + 0.5D, 'ymax', floor(id / 100) + 0.5D) END AS bbox",
+    )
+    path = f"{tmp_path}/staged"
+    writers.write_staged_index(rows, path, partition_by=("region",), partitions=12, world=180.0, tie=("id",))
+    assert spark.read.parquet(path).count() == 4000  # the table of boxes is no part of the index
+    for window in ((10.0, 10.0, 20.0, 12.0), (-5.0, -5.0, 200.0, 200.0), (500.0, 500.0, 501.0, 501.0)):
+        found = readers.read_window(spark, path, window)
+        want = spatial.bbox_window(spark.read.parquet(path), window)
+        assert sorted(r["id"] for r in found.collect()) == sorted(r["id"] for r in want.collect())
+        boxes = {r["file"]: r for r in spark.read.parquet(f"{path}/_boxes").collect()}
+        met = {f for f, b in boxes.items() if b["xmin"] is not None and b["xmin"] <= window[2] and (b["xmax"] >= window[0] or math.isnan(b["xmax"])) and b["ymin"] <= window[3] and b["ymax"] >= window[1]}
+        if met:
+            assert {files.unescaped(files.bare_text(f))[len(path) + 1:] for f in found.inputFiles()} == met
+        assert len(boxes) > 6 and sum(b["n"] for b in boxes.values()) == 4000
+    assert 0 < len(readers.read_window(spark, path, (10.0, 10.0, 20.0, 12.0)).inputFiles()) < len(boxes)
+    files.remove(spark, f"{path}/_boxes")
+    assert readers.read_window(spark, path, (10.0, 10.0, 20.0, 12.0)).count() == len([1 for r in rows.collect() if r["bbox"] and r["bbox"]["xmin"] <= 20 and (r["bbox"]["xmax"] >= 10 or math.isnan(r["bbox"]["xmax"])) and r["bbox"]["ymin"] <= 12 and r["bbox"]["ymax"] >= 10])
+
+
 def test_staged_index_layout(spark, tmp_path):
     import pyarrow.parquet as pq
 

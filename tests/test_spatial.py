@@ -184,7 +184,9 @@ def test_native_classes_equal_brute_force(spark):
             assert abs(share - got[key]["coverage"]) < 0.01
 
 
-@pytest.mark.parametrize("epsg,lon,lat", [(26916, -87.1, 40.2), (26917, -80.0, 33.3), (32733, 16.0, -24.0), (6527, -74.3, 40.3), (3089, -84.5, 37.7), (3857, 5.0, 52.0)])
+@pytest.mark.parametrize("epsg,lon,lat", [(26916, -87.1, 40.2), (26917, -80.0, 33.3), (32733, 16.0, -24.0), (6527, -74.3, 40.3), (3089, -84.5, 37.7), (3857, 5.0, 52.0),
+                                          (5070, -75.0, 35.0), (3338, -150.0, 61.5), (3577, 133.0, -25.0), (3413, 10.0, 81.0), (3031, 120.0, -75.0), (32761, -60.0, -88.0),
+                                          (26716, -87.1, 40.2), (4267, -100.0, 40.0)])
 def test_crs_round_trip(spark, epsg, lon, lat):
     df = spark.range(1).select(G.point(lon, lat).alias("p")).withColumn("q", C.from_lonlat("p", C.crs_literal(epsg)))
     back = df.select(C.to_lonlat("q", C.crs_literal(epsg)).alias("b")).first()["b"]
@@ -199,6 +201,38 @@ def test_crs_known_points(spark):
         assert math.isclose(p["x"], x, abs_tol=1e-6) and math.isclose(p["y"], y, abs_tol=1e-6)
 
 
+def test_crs_published_control_points(spark):
+    """Worked examples of the published formulas (one metre's hundredth, as printed)."""
+    jamaica = C.crs_text(C._lambert_one(0, 18.0, -77.0, 1.0, 250000.0, 150000.0, 1.0, C.CLARKE_1866))
+    albers = C.crs_text(C._albers(0, 23.0, -96.0, 29.5, 45.5, 0.0, 0.0, C.CLARKE_1866))
+    cases = [
+        (jamaica, -(76 + 56 / 60 + 37.26 / 3600), 17 + 55 / 60 + 55.80 / 3600, 255966.58, 142493.51, 0.01),
+        (albers, -75.0, 35.0, 1885472.7, 1535925.0, 0.1),
+        (C.crs_literal(32661), 44.0, 73.0, 3320416.75, 632668.43, 0.01),
+        (C.crs_literal(3032), 120.0, -75.0, 7255380.79, 7053389.56, 0.01),
+    ]
+    for crs, lon, lat, x, y, tolerance in cases:
+        p = spark.range(1).select(G.point(lon, lat).alias("p")).select(C.from_lonlat("p", crs).alias("q")).first()["q"]
+        assert math.isclose(p["x"], x, abs_tol=tolerance) and math.isclose(p["y"], y, abs_tol=tolerance), (lon, lat, p)
+
+
+def test_datum_shift(spark):
+    """The translation of the mean shift, from geocentric coordinates put together by hand."""
+    lon, lat = math.radians(-100.0), math.radians(40.0)
+    a, f = C.CLARKE_1866
+    e2 = f * (2 - f)
+    n = a / math.sqrt(1 - e2 * math.sin(lat) ** 2)
+    x, y, z = n * math.cos(lat) * math.cos(lon) - 8, n * math.cos(lat) * math.sin(lon) + 160, n * (1 - e2) * math.sin(lat) + 176
+    a2, f2 = C.WGS84
+    e2 = f2 * (2 - f2)
+    phi = lat
+    for _ in range(20):
+        n = a2 / math.sqrt(1 - e2 * math.sin(phi) ** 2)
+        phi = math.atan2(z + e2 * n * math.sin(phi), math.hypot(x, y))
+    got = spark.range(1).select(G.point(-100.0, 40.0).alias("p")).select(C.to_lonlat("p", C.crs_literal(4267)).alias("q")).first()["q"]
+    assert math.isclose(got["x"], math.degrees(math.atan2(y, x)), abs_tol=1e-9) and math.isclose(got["y"], math.degrees(phi), abs_tol=1e-9)
+
+
 def test_tile_range_takes_corners_in_any_order(spark):
     low, high = ((37.0, -90.0), (42.0, -73.0)), ((42.0, -73.0), (37.0, -90.0))
     a, b = (tilegen.one_row_range(spark, v, 8).first()["range"] for v in (low, high))
@@ -219,6 +253,21 @@ def test_sample_is_repeatable_and_an_empty_one_is_an_error(spark):
         tilegen.require_tiles(tilegen.sample_tiles(tilegen.classify_draws(rng, far, ZOOM, 5, seed=4), 5))
 
 
+def test_drawing_in_rounds_gives_the_sample_of_all_draws(spark):
+    """Rounds stop early, and what they give are the first usable tiles of all attempts; without any, all attempts are made."""
+    t = tile_box(1000, 1500)
+    fp = boxes(spark, [(1, t[0], t[1], t[2] + 2 * SIZE, t[3] + 2 * SIZE)])
+    rng = spark.range(1).selectExpr("named_struct('x_min', 990, 'x_max', 1010, 'y_min', 1490, 'y_max', 1510) AS range")
+    everything = tilegen.classify_draws(rng, fp, ZOOM, 5, seed=11)
+    rounds = tilegen.classify_in_rounds(rng, fp, ZOOM, 5, seed=11, first=8)
+    want, got = (sorted(map(tuple, tilegen.sample_tiles(d, 5).collect())) for d in (everything, rounds))
+    assert want == got and len(got) == 5
+    assert rounds.count() < everything.count()
+    far = boxes(spark, [(1, 0.0, 0.0, 1.0, 1.0)])
+    none = tilegen.classify_in_rounds(rng, far, ZOOM, 5, seed=11)
+    assert sorted(map(tuple, none.collect())) == sorted(map(tuple, tilegen.classify_draws(rng, far, ZOOM, 5, seed=11).collect()))
+
+
 def test_tiles_are_never_broadcast(spark):
     """Grids of any size meet the footprints in the same join, and no job runs while it is planned."""
     fp = spark.range(20000).select("id", G.bbox("id * 100", "id * 50", "id * 100 + 90", "id * 50 + 40").alias("bbox"))
