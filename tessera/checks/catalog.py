@@ -193,21 +193,32 @@ SELECT id AS "activeCollection", CASE WHEN database AND postgis THEN 'PostGIS' W
 
 
 def tiles_of_collection(spark, sf):
-    """Collection bounds -> tile range -> all tiles, each collection at its own zoom."""
-    c = collections(spark, sf).where("bbox_4326 IS NOT NULL").select(
-        "id", G.bounds_from_bbox(G.bbox_from_array("bbox_4326")).alias("bounds"),
-        (T.resolve_zoom(F.lit(None), "native_zoom", F.lit(0)) - 8).alias("zoom"),
+    """Collection bounds -> tile range -> all tiles, each collection at its own zoom; the tiles of a collection in figures."""
+    c = collections(spark, sf).select(
+        "id", G.bounds_from_bbox(G.bbox_from_array("bbox_4326")).alias("bounds"), T.resolve_zoom(F.lit(None), "native_zoom", F.lit(0)).alias("zoom"),
+    )
+    tiles = tilegen.tiles_of_collection(c, "zoom")
+    x, y = F.col("x").cast("bigint"), F.col("y").cast("bigint")
+    return tiles.groupBy("collection_id", "z").agg(
+        F.count(F.lit(1)).alias("tiles"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"),
+        F.sum(x).alias("sum_x"), F.sum(y).alias("sum_y"), F.sum((x * 31 + y) % 1009).alias("mixed"),
     )
-    return tilegen.tiles_of_collection(c, "zoom")
 
 
 def _tiles_sql() -> str:
+    """Counts and sums in closed form; the mixed sum row by row, from the number of times each remainder of y occurs."""
     from .spatial import tile_x, tile_y
 
-    return FULL + f""", b AS (SELECT id, CASE WHEN position % 5 = 1 THEN 9 ELSE 10 END AS z, position / 8::DOUBLE AS lon0, position / 8::DOUBLE + 2 AS lon1,
- position / 4::DOUBLE AS lat0, position / 4::DOUBLE + 1 AS lat1 FROM cat WHERE edge IS NOT NULL),
-r AS (SELECT id, z, {tile_x('lon0', 'z')} AS x0, {tile_x('lon1', 'z')} AS x1, {tile_y('lat1', 'z')} AS y0, {tile_y('lat0', 'z')} AS y1 FROM b)
-SELECT id AS collection_id, z, x, CAST(unnest(generate_series(y0, y1)) AS INT) AS y FROM (SELECT id, z, y0, y1, CAST(unnest(generate_series(x0, x1)) AS INT) AS x FROM r)"""
+    return FULL + f""", b AS (SELECT id, CASE WHEN position % 5 = 1 THEN 17 ELSE 18 END AS z, CASE WHEN edge IS NULL THEN -90 ELSE position / 8::DOUBLE END AS lon0,
+ CASE WHEN edge IS NULL THEN -73 ELSE position / 8::DOUBLE + 2 END AS lon1, CASE WHEN edge IS NULL THEN 37 ELSE position / 4::DOUBLE END AS lat0,
+ CASE WHEN edge IS NULL THEN 42 ELSE position / 4::DOUBLE + 1 END AS lat1 FROM cat),
+r AS (SELECT id, z, {tile_x('lon0', 'z')}::BIGINT AS x0, {tile_x('lon1', 'z')}::BIGINT AS x1, {tile_y('lat1', 'z')}::BIGINT AS y0, {tile_y('lat0', 'z')}::BIGINT AS y1 FROM b),
+ry AS (SELECT id, y % 1009 AS my, count(*) AS ny FROM (SELECT id, unnest(generate_series(y0, y1)) AS y FROM r) GROUP BY 1, 2),
+rx AS (SELECT id, (x * 31) % 1009 AS mx, count(*) AS nx FROM (SELECT id, unnest(generate_series(x0, x1)) AS x FROM r) GROUP BY 1, 2),
+mix AS (SELECT id, sum(nx * ny * ((mx + my) % 1009)) AS mixed FROM rx JOIN ry USING (id) GROUP BY id)
+SELECT id AS collection_id, z, (x1 - x0 + 1) * (y1 - y0 + 1) AS tiles, x0::INT AS x_min, x1::INT AS x_max, y0::INT AS y_min, y1::INT AS y_max,
+ CAST((x0 + x1) * (x1 - x0 + 1) / 2 * (y1 - y0 + 1) AS BIGINT) AS sum_x, CAST((y0 + y1) * (y1 - y0 + 1) / 2 * (x1 - x0 + 1) AS BIGINT) AS sum_y, CAST(mixed AS BIGINT) AS mixed
+FROM r JOIN mix USING (id)"""
 
 
 def text_rules(spark, sf):

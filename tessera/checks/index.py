@@ -336,15 +336,53 @@ def catalog_entry(spark, sf):
     settings = scan.ScanSettings("all-2024", bucket="imagery", prefix="lake/", attribution="Survey", index_path="/index")
     entry = scan.collection_entry(fp, settings, F.lit("2024-05-01 00:00:00").cast("timestamp"))
     shown = F.map_entries("fields")
-    rows = entry.select(F.explode(shown).alias("e")).select(F.col("e.key").alias("field"), F.to_json(F.struct(F.col("e.value").alias("v"))).alias("value"))
-    return rows.where(F.col("field").isin("id", "layer_names", "map_name", "enabled", "draw_order", "cog_count", "indexed_at", "postgis", "label"))
-
-
-CATALOG_ENTRY = f"""WITH {ctes('fx_headers')}, k AS (SELECT count(*) AS n, bool_or(id % 7 = 0 AND id % 9 <> 0) AS two FROM fx_headers)
-SELECT 'id' AS field, '{{"v":"all-2024"}}' AS value UNION ALL SELECT 'map_name', '{{"v":"all-2024-imagery"}}' UNION ALL SELECT 'enabled', '{{"v":true}}'
-UNION ALL SELECT 'draw_order', '{{"v":10}}' UNION ALL SELECT 'cog_count', '{{"v":' || n || '}}' FROM k UNION ALL SELECT 'indexed_at', '{{"v":"2024-05-01T00:00:00Z"}}'
-UNION ALL SELECT 'postgis', '{{"v":false}}' UNION ALL SELECT 'label', '{{"v":"all-2024"}}'
-UNION ALL SELECT 'layer_names', CASE WHEN two THEN '{{"v":["all-2024-3395","all-2024-3857"]}}' ELSE '{{"v":["all-2024"]}}' END FROM k"""
+    return entry.select(F.explode(shown).alias("e")).select(F.col("e.key").alias("field"), F.to_json(F.struct(F.col("e.value").alias("v"))).alias("value"))
+
+
+def _box_text(*edges: str) -> str:
+    return "'[' || concat_ws(',', " + ", ".join(f"CAST({e} AS VARCHAR)" for e in edges) + ") || ']'"
+
+
+def _entry_sql() -> str:
+    """One row a field: constants of the scan's settings, and what comes from the rows."""
+    fixed = {
+        "type": '"Collection"', "stac_version": '"1.0.0"', "id": '"all-2024"', "title": '"all-2024"', "license": '"various"',
+        "description": '"COG collection \'\'all-2024\'\' scanned from S3"', "providers": '[{"name":"Survey","roles":["producer","host"]}]',
+        "links": '[{"href":"./all-2024.json","rel":"self","type":"application/json"}]', "layer_name": '"all-2024"',
+        "map_name": '"all-2024-imagery"', "label": '"all-2024"', "attribution": '"Survey"', "enabled": "true", "draw_order": "10",
+        "source": '{"access_mode":"unsigned","bucket":"imagery","prefix":"lake/","region":"us-west-2","requester_pays":false}',
+        "postgis": "false", "indexed_at": '"2024-05-01T00:00:00Z"',
+    }
+    index = "'/index/collection_id=all-2024/native_epsg=' || code"
+    extent = """'{"spatial":{"bbox":[' || lonlat || ']},"temporal":{"interval":[["2024-05-01T00:00:00Z","2024-05-01T00:00:00Z"]]}}'"""
+    derived = {
+        "extent": extent, "layer_names": "'[' || names || ']'", "min_zoom": "zoom - 4", "max_zoom": "zoom + 1", "native_zoom": "zoom",
+        "native_epsg": "code", "native_epsgs": "'[' || codes || ']'", "cog_count": "n", "bbox_4326": "lonlat", "extent_3857": "web",
+        "extent_native": "native", "tileindexes": "'[' || groups || ']'", "tileindex": f"""'"' || {index} || '"'""",
+        "tileindex_layer_name": """'"all-2024_tileindex_' || code || '"'""",
+    }
+    rows = [f"""SELECT '{k}' AS field, '{{"v":{v}}}' AS value""" for k, v in fixed.items()]
+    rows += [f"""SELECT '{k}' AS field, '{{"v":' || {v} || '}}' AS value FROM a""" for k, v in derived.items()]
+    whole = _box_text(*(f"CAST({f}({e}) AS BIGINT)" for f, e in (("min", "xmin"), ("min", "ymin"), ("max", "xmax"), ("max", "ymax"))))
+    lonlat = _box_text(
+        f"round_even(degrees(wx0 / {R}), 4)", f"round_even(degrees(atan(sinh(wy0 / {R}))), 4)",
+        f"round_even(degrees(wx1 / {R}), 4)", f"round_even(degrees(atan(sinh(wy1 / {R}))), 4)",
+    )
+    layer = "'\"all-2024' || CASE WHEN many > 1 THEN '-' || code ELSE '' END || '\"'"
+    return HEADERS + f""", k AS (SELECT *, coalesce(epsg, 3857) AS code FROM f),
+e AS (SELECT code, count(*) AS n, {whole} AS box, count(*) OVER () AS many FROM k GROUP BY code),
+es AS (SELECT min(code) AS code, string_agg(code::VARCHAR, ',' ORDER BY code) AS codes, string_agg({layer}, ',' ORDER BY code) AS names,
+ string_agg('{{"cog_count":' || n || ',"epsg":' || code || ',"extent_native":' || box || ',"layer_name":' || {layer} || ',"tileindex":"' || {index}
+  || '","tileindex_layer_name":"all-2024_tileindex_' || code || '"}}', ',' ORDER BY code) AS groups FROM e),
+z AS (SELECT native_zoom, row_number() OVER (ORDER BY native_zoom) - 1 AS i, count(*) OVER () AS m FROM k WHERE native_zoom IS NOT NULL),
+m AS (SELECT count(*) AS n, {whole} AS native, min(CASE WHEN has_web THEN xmin END) AS wx0, min(CASE WHEN has_web THEN ymin END) AS wy0,
+ max(CASE WHEN has_web THEN xmax END) AS wx1, max(CASE WHEN has_web THEN ymax END) AS wy1 FROM k),
+a AS (SELECT es.*, n, native, {_box_text(*(f'CAST({c} AS BIGINT)' for c in ('wx0', 'wy0', 'wx1', 'wy1')))} AS web, {lonlat} AS lonlat,
+ (SELECT CAST(round_even(native_zoom, 0) AS INT) FROM z WHERE i = m // 2) AS zoom FROM es, m)
+""" + " UNION ALL ".join(rows)
+
+
+CATALOG_ENTRY = _entry_sql()
 
 
 # --- listing, order, index tables -------------------------------------------------------------
