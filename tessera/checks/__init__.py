@@ -14,9 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def registry() -> dict[str, tuple[Query, str | None]]:
-    from . import catalog, index, spatial, staging, streams, telemetry
+    from . import catalog, files, index, spatial, staging, streams, telemetry
 
     found: dict[str, tuple[Query, str | None]] = {}
-    for module in (spatial, index, staging, catalog, telemetry, streams):
+    for module in (spatial, index, files, staging, catalog, telemetry, streams):
         found.update(module.QUERIES)
     return found

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import crs as C
 from ..functions import geometry as G
 from ..functions import text as X
+from ..functions.wkb import wkb_box
 
 YEAR_RANGE = (1900, 2100)
 SELECTION_SCHEMA = "state string, year string, uri string, label string"
@@ -61,6 +62,15 @@ def selected_partitions(lake: DataFrame, selections: DataFrame) -> DataFrame:
     return lake.join(wanted, ["region", "year"], "left_semi")
 
 
+def with_boxes(rows: DataFrame, box: str = "bbox", geometry: str = "geometry") -> DataFrame:
+    """Lake rows with a box: the one they carry, else that of their binary geometry, null where there is none."""
+    if box in rows.columns or geometry not in rows.columns:
+        return rows
+    found = rows.withColumn("__box", wkb_box(geometry))
+    known = F.col("__box.xmin").isNotNull() & ~F.isnan("__box.xmin")
+    return found.withColumn(box, F.when(known, F.col("__box"))).drop("__box")
+
+
 def staged_columns(
     rows: DataFrame, proxy_base: str, access_mode: str = "requester-pays", region: str = "us-west-2"
 ) -> DataFrame:

@@ -16,7 +16,7 @@ CATALOG = "_catalog.json"
 
 
 def staged_rows(lake: DataFrame, proxy_base: str, access_mode: str = "requester-pays", region: str = "us-west-2") -> DataFrame:
-    return staging.staged_columns(lake, proxy_base, access_mode, region)
+    return staging.staged_columns(staging.with_boxes(lake), proxy_base, access_mode, region)
 
 
 def staged_entries(
@@ -91,7 +91,7 @@ def refresh(
     ``catalog_path`` names a copy of the catalog outside; it is replaced after the pointer has moved, and if that fails,
     the pointer goes back.
 
-    The lake's rows carry ``bbox`` (lon/lat struct), ``source_bucket``, ``source_key`` and ``proj_epsg``.
+    The lake's rows carry ``bbox`` (lon/lat struct) or a binary ``geometry``, ``source_bucket``, ``source_key`` and ``proj_epsg``.
     """
     selections = staging.resolve_uris(readers.read_selections(spark, selection_json), uri_template)
     rows = staged_rows(readers.read_selected(spark, lake_root, selections), proxy_base, access_mode, region)

@@ -277,9 +277,10 @@ def stream_access_log(spark: SparkSession, path: str, cache: bool = False, **opt
 
 
 def _scan_lines(lines: DataFrame) -> DataFrame:
-    """One job per file; lines written as ``<number><tab><text>``."""
+    """One job per file, or per ``job_id=`` folder; lines written as ``<number><tab><text>``."""
+    job = F.col("job_id").cast("string") if "job_id" in lines.columns else X.file_stem(F.col("_metadata.file_name"))
     return lines.select(
-        X.file_stem(F.col("_metadata.file_name")).alias("job_id"),
+        job.alias("job_id"),
         F.split("value", "\t", 2)[0].try_cast("bigint").alias("line_no"),
         F.split("value", "\t", 2)[1].alias("line"),
     )

@@ -283,3 +283,39 @@ def test_tiles_are_never_broadcast(spark):
     assert n_small == n_large > 0
     for plan in (small, large):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan and "NestedLoop" not in plan
+
+
+def test_boxes_of_binary_geometries():
+    """Both byte orders, nesting, further dimensions, and what gives no box."""
+    import struct
+
+    import numpy as np
+    import pandas as pd
+
+    from tessera.functions import wkb
+
+    def ring(order, *points):
+        return struct.pack(order + "I", len(points)) + b"".join(struct.pack(order + "d" * len(p), *p) for p in points)
+
+    def geometry(order, kind, body):
+        return struct.pack(order + "BI", order == "<", kind) + body
+
+    plain = [(1.0, 2.0), (4.0, 2.0), (4.0, 6.0), (1.0, 2.0)]
+    high = [(*p, 9e9) for p in plain]
+    little, big = (geometry(o, 3, struct.pack(o + "I", 1) + ring(o, *plain)) for o in "<>")
+    other = geometry(">", 3, struct.pack(">I", 2) + ring(">", (-5.0, 0.0), (0.0, 0.0), (-5.0, 0.0)) + ring(">", (-1.0, 0.0), (-1.0, 1.0), (-1.0, 0.0)))
+    several = geometry("<", 6, struct.pack("<I", 2) + little + other)
+    collection = geometry(">", 7, struct.pack(">I", 2) + several + geometry("<", 1, struct.pack("<dd", 50.0, -50.0)))
+    with_height = geometry("<", 1003, struct.pack("<I", 1) + ring("<", *high))
+    extended = geometry("<", 0x80000000 | 0x20000000 | 3, struct.pack("<I", 4326) + struct.pack("<I", 1) + ring("<", *high))
+    nan = geometry("<", 3, struct.pack("<I", 1) + ring("<", (float("nan"), 1.0), (2.0, 2.0)))
+    empty = geometry("<", 6, struct.pack("<I", 0))
+    cases = [
+        (little, (1, 2, 4, 6)), (big, (1, 2, 4, 6)), (other, (-5, 0, 0, 1)), (several, (-5, 0, 4, 6)), (collection, (-5, -50, 50, 6)),
+        (with_height, (1, 2, 4, 6)), (extended, (1, 2, 4, 6)), (geometry("<", 1, struct.pack("<dd", 3.0, 4.0)), (3, 4, 3, 4)),
+        (nan, None), (empty, None), (None, None), (b"", None), (little[:-3], None), (b"\x01text", None), (geometry("<", 77, b""), None), (little, (1, 2, 4, 6)),
+    ]
+    got = wkb.boxes_of(pd.Series([c for c, _ in cases], dtype=object))
+    for row, (_, want) in zip(got, cases):
+        assert np.isnan(row).all() if want is None else tuple(row) == want
+    assert wkb.boxes_of(pd.Series([], dtype=object)).shape == (0, 4)
