@@ -88,7 +88,8 @@ def scan_log_read(spark, sf):
     lines = scan_log(spark, sf).select(
         F.concat(F.lit("job-"), F.floor(F.col("job_id") / 64).cast("string")).alias("job_id"), F.concat_ws("\t", F.col("line_no").cast("string"), "line").alias("value")
     )
-    lines.repartition("job_id").write.partitionBy("job_id").text(path)
+    # a chatty job is dealt to several tasks
+    lines.repartition("job_id", F.xxhash64("value") % 8).write.partitionBy("job_id").text(path)
     return telemetry.job_rollup(readers.read_scan_log(spark, path))
 
 
