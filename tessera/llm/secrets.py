@@ -228,7 +228,7 @@ def scan_text(text: str):
         if scored is not None and scored[0] in REPORTED:
             name, length, p = scored
             candidates.append((s, e, name, length, score_class(p), p >= ACCEPT))
-    words = ORDINARY.findall(text) if candidates else ordinary_words(text)
+    words = ORDINARY.findall(text)
     if len(words) >= 5:
         rng = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
         bounds = [(MIN_LENGTH, *LENGTHS, TOP)[k : k + 2] for k in rng.choices(range(len(LENGTHS)), k=DECOYS)]

@@ -145,6 +145,15 @@ def test_decoys_come_from_the_whole_text():
     assert len(secrets.LENGTHS) - 1 in lengths
 
 
+def test_decoys_are_made_of_all_words_of_a_long_text(monkeypatch):
+    """Words are not sampled: a text longer than 16,000 characters without candidates hands all of them to its decoys."""
+    text = " ".join(f"{a}{b}{c}" for a in "bcdfghjklmnp" for b in "aeiou" for c in "bcdfghjklmnpqrst" for _ in range(6))
+    seen = []
+    monkeypatch.setattr(secrets, "ordinary", lambda rng, words, name, n, made=secrets.ordinary: seen.append(words) or made(rng, words, name, n))
+    assert len(text) > 16_000 and secrets.scan_text(text)[1] == []
+    assert len(seen) == secrets.DECOYS and all(words == text.split() for words in seen)
+
+
 # ------------------------------------------------------------------------------------------------------ simhash
 
 
