@@ -74,12 +74,13 @@ def subtract(a: str, b: str) -> str:
 
 
 def peeled(cells: str, most: str) -> str:
-    """SQL: the digests recovered from subtracted cells with their signs, or null if peeling gets stuck."""
+    """SQL: the digests recovered from subtracted cells with their signs, or null if peeling gets stuck. Without a pure cell it is over: later steps do nothing."""
     pure = f"filter(acc.cells, c -> abs(c.n) = 1 and {_check('c.id')} = c.ck)"
     without = f"transform(acc.cells, c -> if((p[0].id & c.m) = c.v, named_struct('m', c.m, 'v', c.v, 'n', c.n - p[0].n, 'id', c.id ^ p[0].id, 'ck', c.ck ^ p[0].ck), c))"
-    step = f"transform(array({pure}), p -> if(size(p) = 0, acc, named_struct('cells', {without}, 'found', concat(acc.found, array(named_struct('sign', p[0].n, 'id', p[0].id))))))[0]"
-    start = f"named_struct('cells', {cells}, 'found', cast(array() as array<struct<sign:int,id:bigint>>))"
-    return f"aggregate(sequence(1, greatest({most}, 1)), {start}, (acc, i) -> {step}, acc -> if(forall(acc.cells, c -> c.n = 0 and c.id = 0 and c.ck = 0), acc.found, null))"
+    over = "named_struct('cells', acc.cells, 'found', acc.found, 'over', true)"
+    step = f"transform(array({pure}), p -> if(size(p) = 0, {over}, named_struct('cells', {without}, 'found', concat(acc.found, array(named_struct('sign', p[0].n, 'id', p[0].id))), 'over', false)))[0]"
+    start = f"named_struct('cells', {cells}, 'found', cast(array() as array<struct<sign:int,id:bigint>>), 'over', false)"
+    return f"aggregate(sequence(1, greatest({most}, 1)), {start}, (acc, i) -> if(acc.over, acc, {step}), acc -> if(forall(acc.cells, c -> c.n = 0 and c.id = 0 and c.ck = 0), acc.found, null))"
 
 
 def _number(found: str) -> str:
@@ -93,14 +94,14 @@ def _split(g: str, salt: int, parts: str, k: str) -> str:
 
 
 def _in_block(g: str, level: int) -> str:
-    """SQL: digests in which the sides of block g differ, cut into four where peeling fails."""
+    """SQL: digests in which the sides of block g differ, cut into four where peeling fails. Nothing cancels where a side is empty."""
     found = _number(peeled(difference_sketch(g + ".a", g + ".b", level), f"size({g}.a) + size({g}.b)"))
     if level == LEVELS:
         again = f"size(array_except({g}.a, {g}.b)) + size(array_except({g}.b, {g}.a))"
     else:
         h, k = f"g{level}", f"k{level}"
         again = f"aggregate(sequence(0, 3), 0, (n{level}, {k}) -> n{level} + transform(array({_split(g, 10 + level, '4', k)}), {h} -> {_in_block(h, level + 1)})[0])"
-    return f"transform(array({found}), d{level} -> if(d{level} >= 0, d{level}, {again}))[0]"
+    return f"if(size({g}.a) = 0 or size({g}.b) = 0, size({g}.a) + size({g}.b), transform(array({found}), d{level} -> if(d{level} >= 0, d{level}, {again}))[0])"
 
 
 def difference(a: str, b: str, cells_a: str, cells_b: str) -> str:
