@@ -53,11 +53,13 @@ def collection_facts(footprints: DataFrame, by: tuple[str, ...] = ("collection_i
     """Everything a catalog entry derives from footprints, one row per collection.
 
     Group extents and counts are reduced per EPSG code first; the collection level is computed from those
-    few rows, so the footprints are read once for extents and once for the zoom median.
+    few rows. Extents and the zoom median, which reads its rows several times, need a box or a number of each footprint;
+    these are written to the shared folder once, so footprints that are still to be reprojected are made once.
     """
-    per_code = footprints.select(
-        *by, "epsg", G.ring_bbox("native_ring").alias("n"), G.ring_bbox("web_ring").alias("w")
-    ).groupBy(*by, "epsg").agg(
+    facts = materialize(
+        footprints.select(*by, "epsg", G.ring_bbox("native_ring").alias("n"), G.ring_bbox("web_ring").alias("w"), "native_zoom"), "facts"
+    )
+    per_code = facts.groupBy(*by, "epsg").agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[agg(f"{b}.{f}").alias(f"{b}_{f}") for b in ("n", "w") for f, agg in zip(G.BBOX_FIELDS, (F.min, F.min, F.max, F.max))],
     )
@@ -82,7 +84,7 @@ def collection_facts(footprints: DataFrame, by: tuple[str, ...] = ("collection_i
         ).alias("groups"),
     )
     web = G.round_bbox("w", 0)
-    zooms = ranks.rank_percentiles(footprints, "native_zoom", {"median": 0.5}, by)
+    zooms = ranks.rank_percentiles(facts, "native_zoom", {"median": 0.5}, by)
     zoom = F.coalesce(F.bround("median").cast("int"), F.lit(T.DEFAULT_NATIVE_ZOOM))
     return rows.join(zooms, list(by), "left").select(
         *by,

@@ -442,3 +442,20 @@ def test_load_over_several_batches(spark, tmp_path):
 
     assert load("first", range(10)) == list(range(10))
     assert load("second", range(5, 9)) == [5, 6, 7, 8]
+
+
+def test_facts_make_each_footprint_once(spark):
+    """Footprints still to be computed are computed once for extents and the zoom median together."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def zoom(i):
+        made.add(1)
+        return float(i % 7)
+
+    box = G.bbox("id", "id", "id + 1", "id + 1")
+    fp = spark.range(200).select(
+        F.lit("c").alias("collection_id"), F.lit(26916).alias("epsg"), box.alias("b"), zoom("id").alias("native_zoom")
+    ).withColumns({"native_ring": G.ring_from_bbox("b"), "web_ring": G.ring_from_bbox("b")})
+    row = scan.collection_facts(fp).first()
+    assert (row["cog_count"], row["native_zoom"], made.value) == (200, 3, 200)
