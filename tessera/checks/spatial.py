@@ -219,7 +219,7 @@ CLASSES_BY = with_area(15, pairs_sql("collection_id"), class_sql("collection_id"
 def classify_tiles_polygons(spark, sf):
     """The polygon path on rings; the footprints are boxes, so box arithmetic gives the expected result."""
     fp = footprints(spark, sf).withColumn("ring", G.ring_from_bbox("bbox"))
-    classes = spatial.classify_tiles(tile_report.area_tiles(fp, 15), fp, 15, ring="ring")
+    classes = tile_report.area_classes(fp, 15, ring="ring")
     return classes.select("z", "x", "y", "class", "cog_count", F.round("coverage", 6).alias("coverage"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
 
@@ -27,6 +27,11 @@ TILE_CLASSES = ("empty", "interior", "seam", "partial", "too_many")
 
 CELLS_PER_AXIS = 8
 SHIFT_STEP = 3
+#: Tiles of a run: what stands for a column of tiles until it is opened.
+RUN_BITS = 8
+RUN = 1 << RUN_BITS
+#: The summary of a tile without hits.
+NO_HITS = {"cog_count": "0L", "inside_one": "false", "coverage": "CAST(NULL AS DOUBLE)"}
 # Candidate cells are widened by this share of a cell, so that rounding in the cell arithmetic can
 # never lose a pair; the exact test removes what the widening adds.
 CELL_SLACK = 1e-6
@@ -115,29 +120,112 @@ def tile_footprint_join(
     return hits.select(*tiles.columns, "tile_bbox", *kept)
 
 
+def range_footprint_join(
+    ranges: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on: tuple[str, ...] = (), ring: str | None = None, rng: str = "range",
+) -> DataFrame:
+    """``tile_footprint_join`` for tiles that are the whole grid of a range (one row of ``ranges`` for each ``on``).
+
+    Whether a tile is one of the grid is a comparison with the range, so a footprint names its tiles itself: no tile without
+    a footprint is made, and only footprints are shuffled, cut into blocks where they are large.
+    """
+    placed = place_footprints(footprints, box, zoom)
+    kept = [c for c in footprints.columns if c not in on]
+    if ring is not None:
+        placed = placed.withColumn("__planes", G.half_planes(ring))
+        kept = [*kept, "__planes"]
+    pairs = _range_tiles(placed, ranges, zoom, on, rng).withColumn("tile_bbox", T.tile_bbox("x", "y", "z"))
+    hits = pairs.where(G.bbox_intersects("tile_bbox", box))
+    if ring is not None:
+        hits = hits.where(~G.box_misses_planes("tile_bbox", "__planes"))
+    return hits.select(*_keys(on), "tile_bbox", *kept)
+
+
+def _range_tiles(placed: DataFrame, ranges: DataFrame, zoom, on: tuple[str, ...], rng: str) -> DataFrame:
+    """Placed footprints, once for each tile (``z, x, y``) of their closed tile range that lies in the range of their ``on``."""
+    if on:
+        within = placed.join(ranges.select(*on, F.col(rng).alias("__r")), list(on))
+    else:
+        within = placed.withColumn("__r", ranges.select(rng).scalar())
+    clipped = within.withColumns(
+        {
+            "__x0": F.expr("greatest(__x0, CAST(__r.x_min AS BIGINT))"), "__x1": F.expr("least(__x1, CAST(__r.x_max AS BIGINT))"),
+            "__y0": F.expr("greatest(__y0, CAST(__r.y_min AS BIGINT))"), "__y1": F.expr("least(__y1, CAST(__r.y_max AS BIGINT))"),
+        }
+    ).where("__r IS NOT NULL AND __x0 <= __x1 AND __y0 <= __y1")
+
+    # Rows of footprints are small beside the tiles they open, and one may lie over very many: blocks of it, dealt to several tasks.
+    n = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    cut = (
+        clipped.drop("__r", "__shift")
+        .select("*", F.expr(f"explode(sequence(__x0, __x1, {RUN}L)) AS __bx"))
+        .select("*", F.expr(f"explode(sequence(__y0, __y1, {RUN}L)) AS __by"))
+        .repartition(n)
+    )
+    return (
+        cut.select("*", F.expr(f"explode(sequence(__bx, least(__x1, __bx + {RUN - 1}))) AS __x"))
+        .select("*", F.expr(f"explode(sequence(__by, least(__y1, __by + {RUN - 1}))) AS __y"))
+        .select("*", T.col(zoom).cast("int").alias("z"), F.col("__x").cast("int").alias("x"), F.col("__y").cast("int").alias("y"))
+        .drop("__x", "__y", "__bx", "__by", "__x0", "__x1", "__y0", "__y1")
+    )
+
+
+def with_empty_tiles(hits: DataFrame, ranges: DataFrame, zoom, on: tuple[str, ...] = (), rng: str = "range", **empty: str) -> DataFrame:
+    """All tiles of the ranges: rows of ``hits`` (``on, z, x, y`` and the columns of ``empty``), and the SQL values of ``empty`` for the others.
+
+    Only hits and runs of ``RUN`` tiles are shuffled. A run's hits, at most ``RUN``, meet it as one list, and the run is opened
+    behind the join: a tile without a hit is never a row of a shuffle.
+    """
+    n = max(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    runs = (
+        ranges.select(*on, *[F.col(rng)[f].alias(f"__{f}") for f in ("x_min", "x_max", "y_min", "y_max")])
+        .select("*", F.expr(f"explode(sequence(__x_min, __x_max, {RUN})) AS __bx"))
+        .select("*", F.expr(f"explode(sequence(shiftright(__y_min, {RUN_BITS}), shiftright(__y_max, {RUN_BITS}))) AS __run"))
+        .select(
+            *on, "__bx", "__run", F.expr(f"least(__bx + {RUN - 1}, __x_max)").alias("__last"),
+            F.expr(f"greatest(__run * {RUN}, __y_min)").alias("__from"), F.expr(f"least(__run * {RUN} + {RUN - 1}, __y_max)").alias("__to"),
+        )
+        .repartition(n, *on, "__bx", "__run")
+        .select(*on, "__run", "__from", "__to", F.expr("explode(sequence(__bx, __last)) AS x"))
+    )
+    columns = list(empty)
+    keys = [*on, "x", "__run"]
+    lists = hits.withColumn("__run", F.expr(f"shiftright(y, {RUN_BITS})")).groupBy(*keys).agg(F.collect_list(F.struct("y", *columns)).alias("__hits"))
+    missing = "IF(__hits IS NULL, sequence(__from, __to), array_except(sequence(__from, __to), transform(__hits, h -> h.y)))"
+    blank = f"named_struct('y', y, {', '.join(f"'{c}', {v}" for c, v in empty.items())})"
+    blanks = f"transform({missing}, y -> {blank})"
+    return (
+        runs.hint("merge").join(lists, keys, "left")
+        .select(*on, "x", F.expr(f"inline(IF(__hits IS NULL, {blanks}, concat(__hits, {blanks})))"))
+        .select(*on, T.col(zoom).cast("int").alias("z"), "x", "y", *columns)
+    )
+
+
 def _keys(on: tuple[str, ...]) -> list[str]:
     return [*on, "z", "x", "y"]
 
 
-def _count_hits(tiles: DataFrame, pairs: DataFrame, inside: Column, on, member: Column | None = None) -> DataFrame:
+def _count_hits(tiles: DataFrame | None, pairs: DataFrame, inside: Column, on, member: Column | None = None) -> DataFrame:
     """Hits per tile, zero where there is none; with ``member`` also ``members``, at most five of its hits' values.
 
-    The tiles themselves enter the aggregation with weight 0, which replaces an outer join. Counts are combined and member
+    The tiles themselves enter the aggregation with weight 0, which replaces an outer join; without ``tiles`` only those with
+    hits are counted. Counts are combined and member
     lists cut before the shuffle, so a tile under very many footprints costs one row per task. Five members are one more
     than a tile of unknown class can have, so the list of such a tile is whole. The smallest members are kept, in order:
     the same ones on every layout.
     """
-    zero = tiles.select(*_keys(on), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("inside"))
     one = pairs.select(
         *_keys(on), F.lit(1).cast("bigint").alias("n"), inside.alias("inside"), *([] if member is None else [member.alias("member")])
     )
     kept = []
+    if tiles is not None:
+        zero = tiles.select(*_keys(on), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("inside"))
+        if member is not None:
+            zero = zero.withColumn("member", F.lit(None).cast(one.schema["member"].dataType))
+        one = zero.union(one)
     if member is not None:
-        zero = zero.withColumn("member", F.lit(None).cast(one.schema["member"].dataType))
         kept = [InternalFunction.collect_top_k(F.col("member"), MAX_READABLE_HITS + 1, True).alias("members")]
     return (
-        zero.union(one)
-        .groupBy(*_keys(on))
+        one.groupBy(*_keys(on))
         .agg(F.sum("n").alias("cog_count"), F.bool_or("inside").alias("inside_one"), *kept)
     )
 
@@ -202,11 +290,16 @@ def tile_summary(
     """
     tiles = tiles.select(*_keys(on))
     pairs = tile_footprint_join(tiles, footprints, zoom, box, on, ring, max_shift)
+    return _with_coverage(_count_hits(tiles, pairs, _inside(box, ring), on, _member(box, ring)), on, ring)
+
+
+def _member(box: str, ring: str | None) -> Column:
     if ring is None:
-        member = _unit_box(box, "tile_bbox")
-    else:
-        member = G.ring_numbers(ring, "tile_bbox.xmin", "tile_bbox.ymin")  # near the origin doubles are precise
-    hits = _count_hits(tiles, pairs, _inside(box, ring), on, member)
+        return _unit_box(box, "tile_bbox")
+    return G.ring_numbers(ring, "tile_bbox.xmin", "tile_bbox.ymin")  # near the origin doubles are precise
+
+
+def _with_coverage(hits: DataFrame, on: tuple[str, ...], ring: str | None) -> DataFrame:
     # lists of decided tiles go no further
     opened = hits.withColumn("members", F.when(_is_undecided(), F.col("members")))
     if ring is None:
@@ -218,6 +311,25 @@ def tile_summary(
     return opened.select(*_keys(on), "cog_count", "inside_one", share.alias("coverage"))
 
 
+def range_summary(ranges: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, rng: str = "range") -> DataFrame:
+    """``tile_summary`` of all tiles of the ranges.
+
+    Counts are plain sums. The members come from a second pass over the pairs, ranked by value, which Spark limits to four a
+    tile and task before the shuffle; both are partitioned by tile and join where they are.
+    """
+    pairs = range_footprint_join(ranges, footprints, zoom, box, on, ring, rng)
+    inside = _inside(box, ring)
+    keys = _keys(on)
+    first = Window.partitionBy(*keys).orderBy("member")
+    lists = (
+        pairs.where(~inside).select(*keys, _member(box, ring).alias("member"))
+        .withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= MAX_READABLE_HITS)
+        .groupBy(*keys).agg(F.array_sort(F.collect_list("member")).alias("members"))
+    )
+    hits = _count_hits(None, pairs, inside, on).join(lists, keys, "left")
+    return with_empty_tiles(_with_coverage(hits, on, ring), ranges, zoom, on, rng, **NO_HITS)
+
+
 def tile_coverage(
     tiles: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, max_shift=None
 ) -> DataFrame:
@@ -245,6 +357,12 @@ def classify_tiles(
     return summary.select(*_keys(on), tile_class().alias("class"), "cog_count", "coverage")
 
 
+def classify_range(ranges: DataFrame, footprints: DataFrame, zoom, box: str = "bbox", on=(), ring=None, rng: str = "range") -> DataFrame:
+    """``classify_tiles`` of all tiles of the ranges."""
+    summary = range_summary(ranges, footprints, zoom, box, on, ring, rng)
+    return summary.select(*_keys(on), tile_class().alias("class"), "cog_count", "coverage")
+
+
 def class_stats(classified: DataFrame, *by: str) -> DataFrame:
     """One row (per ``by``) with the number of tiles in each of the five classes and the tile range."""
     return classified.groupBy(*by).agg(

@@ -23,8 +23,8 @@ def area_tiles(footprints: DataFrame, zoom: int, box: str = "bbox", by: tuple[st
     return tilegen.tile_grid(covered_range(footprints, zoom, box, by), zoom, by)
 
 
-def area_classes(footprints: DataFrame, zoom: int, box: str = "bbox", by: tuple[str, ...] = ()) -> DataFrame:
-    return spatial.classify_tiles(area_tiles(footprints, zoom, box, by), footprints, zoom, box, by)
+def area_classes(footprints: DataFrame, zoom: int, box: str = "bbox", by: tuple[str, ...] = (), ring: str | None = None) -> DataFrame:
+    return spatial.classify_range(covered_range(footprints, zoom, box, by), footprints, zoom, box, by, ring)
 
 
 def area_report(footprints: DataFrame, zoom: int, box: str = "bbox", by: tuple[str, ...] = ()) -> DataFrame:

@@ -319,3 +319,27 @@ def test_boxes_of_binary_geometries():
     for row, (_, want) in zip(got, cases):
         assert np.isnan(row).all() if want is None else tuple(row) == want
     assert wkb.boxes_of(pd.Series([], dtype=object)).shape == (0, 4)
+
+
+def test_classes_of_a_range_equal_classes_of_its_tiles(spark):
+    """Small, large, piled and distant footprints, with and without collections and rings; tiles on both sides of row 0."""
+    from tessera.plans import tile_report
+
+    rng = random.Random(3)
+    rows = [(i, "ab"[i % 2], *(v := (-9e6 + rng.random() * 9e5, 4e6 + rng.random() * 9e5)), v[0] + rng.random() * 4e4, v[1] + rng.random() * 4e4) for i in range(60)]
+    rows += [(100 + i, "a", -8.8e6, 4.2e6, -8.5e6, 4.5e6) for i in range(7)] + [(200, "b", -9e6, 2.1e7, -8.9e6, 2.11e7), (201, None, -9e6, 4e6, -8.9e6, 4.1e6)]
+    fp = spark.createDataFrame(rows, "id long, c string, x0 double, y0 double, x1 double, y1 double").select(
+        "id", "c", G.bbox("x0", "y0", "x1", "y1").alias("bbox")
+    ).withColumn("ring", G.ring_from_bbox("bbox"))
+
+    def rounded(df):
+        return sorted(map(repr, df.withColumn("coverage", F.round("coverage", 6)).collect()))
+
+    for by, ring in (((), None), (("c",), None), ((), "ring")):
+        ranges = tile_report.covered_range(fp, 11, by=by)
+        want = spatial.classify_tiles(tilegen.tile_grid(ranges, 11, by), fp, 11, on=by, ring=ring)
+        got = spatial.classify_range(ranges, fp, 11, on=by, ring=ring)
+        assert got.schema["z"].dataType == want.schema["z"].dataType and got.columns == want.columns
+        assert rounded(got) == rounded(want)
+    plan = spark._jvm.PythonSQLUtils.explainString(spatial.classify_range(ranges, fp, 11)._jdf.queryExecution(), "simple")
+    assert "collect_top_k" not in plan
