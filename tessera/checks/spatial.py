@@ -13,6 +13,7 @@ from ..functions import tiles as T
 from ..operators import footprints as P
 from ..operators import spatial, tilegen
 from ..plans import tile_report
+from ..session import materialize
 from .common import E, R, boxed, ctes, footprints, unboxed, utm_boxes
 
 TILE_BOX = """
@@ -230,11 +231,12 @@ SELECT z, x, y, class, cog_count, round(coverage, 6) AS coverage FROM classes"""
 def classify_tiles_native(spark, sf):
     """The footprints of every known system against tiles reprojected to it, each system on its own tiles."""
     web = P.with_web_copy(utm_boxes(spark, sf)).select("id", "epsg", "native_bbox", F.col("web_bbox").alias("bbox"))
+    web = materialize(web, "web-boxes")  # read for the extent and the pairs of each system
     found = None
     for epsg in (26916, 26917):  # the codes of the footprints; of others there is no native geometry on the map
         one = web.where(F.col("epsg") == epsg)
-        tiles = tile_report.area_tiles(one, 15)
-        classes = spatial.classify_tiles_native(tiles, one, 15, "native_bbox", "bbox", C.crs_literal(epsg))
+        ranges = tile_report.covered_range(one, 15)
+        classes = spatial.classify_range_native(ranges, one, 15, "native_bbox", "bbox", C.crs_literal(epsg))
         part = classes.select(F.lit(epsg).alias("epsg"), "z", "x", "y", "class", "cog_count")
         found = part if found is None else found.union(part)
     return found

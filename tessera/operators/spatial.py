@@ -391,23 +391,49 @@ def classify_tiles_native(
     pairs still come from the 3857 grid, with the web box grown by a tile so that the curvature of edges
     between corners cannot hide a pair; the exact test then runs on the reprojected tile.
     """
+    grown = _grown(footprints, zoom, native_box, web_box, on)
+    pairs = tile_footprint_join(_with_native_tile(tiles.select(*_keys(on)), crs), grown, zoom, "__search", on)
+    summary = _native_summary(tiles, pairs, on)
+    return summary.select(*_keys(on), tile_class().alias("class"), "cog_count", "coverage")
+
+
+def classify_range_native(
+    ranges: DataFrame, footprints: DataFrame, zoom, native_box: str, web_box: str, crs: str, on=(), rng: str = "range"
+) -> DataFrame:
+    """``classify_tiles_native`` of all tiles of the ranges.
+
+    Only tiles near a footprint are reprojected, each once, where the pairs of its key meet it: the reprojected tiles, far larger
+    than their keys, are not shuffled, and the other tiles are empty.
+    """
+    grown = _grown(footprints, zoom, native_box, web_box, on)
+    keys = _keys(on)
+    candidates = range_footprint_join(ranges, grown, zoom, "__search", on, rng=rng).select(*keys, "__native")
+    near = _with_native_tile(candidates.select(*keys).distinct(), crs)
+    pairs = candidates.hint("merge").join(near, keys)
+    hits = with_empty_tiles(_native_summary(None, pairs, on), ranges, zoom, on, rng, **NO_HITS)
+    return hits.select(*keys, tile_class().alias("class"), "cog_count", "coverage")
+
+
+def _grown(footprints: DataFrame, zoom, native_box: str, web_box: str, on: tuple[str, ...]) -> DataFrame:
     size = T.tile_size(zoom)
     w = F.col(web_box)
-    grown = footprints.select(
+    return footprints.select(
         *on,
         F.col(native_box).alias("__native"),
         G.bbox(w["xmin"] - size, w["ymin"] - size, w["xmax"] + size, w["ymax"] + size).alias("__search"),
     )
 
-    def with_native_tile(df: DataFrame) -> DataFrame:
-        # ``inline`` evaluates its argument once per tile and keeps later pushdown from repeating it.
-        boxed = df.withColumn("__tile_box", T.tile_bbox("x", "y", "z"))
-        ringed = boxed.withColumn("__web", G.ring_from_bbox("__tile_box")).drop("__tile_box")
-        moved = F.struct(C.reproject_ring("__web", C.crs_literal(3857), crs).alias("__ring"))
-        shaped = F.struct(G.ring_bbox("__ring").alias("__box"), G.half_planes("__ring").alias("__tile_planes"))
-        return ringed.select("*", F.inline(F.array(moved))).select("*", F.inline(F.array(shaped))).drop("__web")
 
-    pairs = tile_footprint_join(with_native_tile(tiles.select(*_keys(on))), grown, zoom, "__search", on)
+def _with_native_tile(tiles: DataFrame, crs: str) -> DataFrame:
+    # ``inline`` evaluates its argument once per tile and keeps later pushdown from repeating it.
+    boxed = tiles.withColumn("__tile_box", T.tile_bbox("x", "y", "z"))
+    ringed = boxed.withColumn("__web", G.ring_from_bbox("__tile_box")).drop("__tile_box")
+    moved = F.struct(C.reproject_ring("__web", C.crs_literal(3857), crs).alias("__ring"))
+    shaped = F.struct(G.ring_bbox("__ring").alias("__box"), G.half_planes("__ring").alias("__tile_planes"))
+    return ringed.select("*", F.inline(F.array(moved))).select("*", F.inline(F.array(shaped))).drop("__web")
+
+
+def _native_summary(tiles: DataFrame | None, pairs: DataFrame, on: tuple[str, ...]) -> DataFrame:
     exact = pairs.where(
         G.bbox_intersects("__native", "__box") & ~G.box_misses_planes("__native", "__tile_planes")
     ).withColumn("__native_ring", G.ring_from_bbox("__native"))
@@ -418,10 +444,7 @@ def classify_tiles_native(
     opened = hits.withColumn("members", F.when(_is_undecided(), F.col("members")))
     quads = F.flatten(F.transform("members", lambda m: m["quad"]))
     share = P.quad_union_share(F.get("members", F.lit(0))["target"], quads)
-    return (
-        opened.select(*_keys(on), "cog_count", "inside_one", share.alias("coverage"))
-        .select(*_keys(on), tile_class().alias("class"), "cog_count", "coverage")
-    )
+    return opened.select(*_keys(on), "cog_count", "inside_one", share.alias("coverage"))
 
 
 # --- read plan and window query ---------------------------------------------------------------

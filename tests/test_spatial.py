@@ -343,3 +343,27 @@ def test_classes_of_a_range_equal_classes_of_its_tiles(spark):
         assert rounded(got) == rounded(want)
     plan = spark._jvm.PythonSQLUtils.explainString(spatial.classify_range(ranges, fp, 11)._jdf.queryExecution(), "simple")
     assert "collect_top_k" not in plan
+
+
+def test_native_classes_of_a_range_reproject_tiles_near_footprints_only(spark):
+    """Two footprints far apart span 30 million tiles, all of them counted; a smaller range is compared tile by tile."""
+    from tessera.plans import tile_report
+
+    def web(rows):
+        fp = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double").select(
+            "id", F.lit(26916).alias("epsg"), F.lit(100).alias("width"), G.bbox("x0", "y0", "x1", "y1").alias("native_bbox")
+        )
+        return P.with_web_copy(fp).select("id", "native_bbox", F.col("web_bbox").alias("bbox"))
+
+    crs = C.crs_literal(26916)
+    near = web([(i, 500000.0 + 900 * (i % 5), 4400000.0 + 9000 * (i // 5), 500000.0 + 900 * (i % 5) + 1800, 4400000.0 + 9000 * (i // 5) + 1905) for i in range(15)])
+    want = spatial.classify_tiles_native(tile_report.area_tiles(near, 15), near, 15, "native_bbox", "bbox", crs)
+    got = spatial.classify_range_native(tile_report.covered_range(near, 15), near, 15, "native_bbox", "bbox", crs)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+    far = web([(1, 300000.0, 4300000.0, 301000.0, 4301000.0), (2, 700000.0, 8300000.0, 701000.0, 8301000.0)])
+    ranges = tile_report.covered_range(far, 17)
+    r = ranges.select("range.*").first()
+    stats = spatial.class_stats(spatial.classify_range_native(ranges, far, 17, "native_bbox", "bbox", crs)).first()
+    assert stats["tiles"] == (r["x_max"] - r["x_min"] + 1) * (r["y_max"] - r["y_min"] + 1) > 30_000_000
+    assert 20 < stats["tiles"] - stats["empty"] < 500
