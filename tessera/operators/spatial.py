@@ -407,9 +407,12 @@ def classify_range_native(
     """
     grown = _grown(footprints, zoom, native_box, web_box, on)
     keys = _keys(on)
-    candidates = range_footprint_join(ranges, grown, zoom, "__search", on, rng=rng).select(*keys, "__native")
-    near = _with_native_tile(candidates.select(*keys).distinct(), crs)
-    pairs = candidates.hint("merge").join(near, keys)
+    places = [*on, "x", "y"]  # without the zoom, a constant: the planner would drop it on one side and shuffle that side again
+    # A stated number, as a tile is a few bytes but costs about 0.1 ms to reproject.
+    n = max(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    candidates = range_footprint_join(ranges, grown, zoom, "__search", on, rng=rng).select(*places, "__native")
+    tiles = candidates.select(*places).distinct().repartition(n, *places).withColumn("z", T.col(zoom).cast("int"))
+    pairs = candidates.hint("merge").join(_with_native_tile(tiles, crs), places)
     hits = with_empty_tiles(_native_summary(None, pairs, on), ranges, zoom, on, rng, **NO_HITS)
     return hits.select(*keys, tile_class().alias("class"), "cog_count", "coverage")
 
