@@ -2,15 +2,17 @@
 
 Largest inner product becomes smallest distance: with M the largest norm, a vector x gets the extra component
 sqrt(M^2 - |x|^2) and a query 0, so distance^2 = |q|^2 + M^2 - 2 q x. Pivots (a bounded, documented number of
-vectors with the smallest hashes) cut the space: every vector goes to its nearest pivot, and a pivot's vectors, copies
-and hot regions alike, are dealt by hash to shards of about ``shard_rows``. Every shard gets a tree, stored as one row
-of a table in the shared folder: all vectors are indexed.
+vectors with the smallest hashes, not more than there are shards) cut the space: every vector goes to its nearest pivot, and a
+pivot's vectors, copies and hot regions alike, are dealt by hash to shards of about ``shard_rows`` (by default 16 MB of
+vectors). Every shard gets a tree, stored as one row of a table in the shared folder: all vectors are indexed.
 
 A query first searches the shards of its nearest pivot. With the distance r of its k-th hit so far it then searches
 every other shard whose ring of pivot distances [a, b] can hold something nearer: by the triangle inequality nothing
 is nearer than max(a - d, d - b), d being its own distance to the pivot. Inside a tree a vantage point prunes alike.
 The bound is multiplied by ``factor`` before it is compared: one is exact, more prunes more and may miss. Queries
-travel in blocks, each to the shards it needs; hits are merged by rank, at most k for each query and shard.
+travel in blocks as large as shards, each to the shards it needs, and walk a tree together, first each to its nearest leaf, then
+all through the nodes where they may find more; hits are merged by rank, at most k for each query and shard, in the second
+round only those that reach the k-th of the first.
 
 Defined results: vectors that are null, zero, of another length than most, or with null or non-finite components
 take no part. Ties go to the smaller id. Repeated ids are vectors of their own, a query never meets rows of its own id, and
@@ -29,9 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-PIVOTS, SHARD_ROWS, LEAF, QUERY_BLOCK = 32, 4096, 48, 1024
+PIVOTS, LEAF, LEAF_QUERIES = 32, 1024, 1024
+#: Bytes of vectors in a shard and in a block of queries.
+TILE_BYTES = 16 << 20
 #: Slack for rounding when distances are compared.
 EPS = 1e-9
+#: Squared norms up to this lose digits and count as this.
+TINY = 1e-280
+#: Products of unit vectors that differ by less are told apart in double precision only, as single precision has none so small.
+LEAST = 1e-30
 
 
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -84,51 +92,115 @@ class Tree:
             stack.append((part[near], me, 4))
         return 0
 
-    def search(self, q_ids: np.ndarray, q: np.ndarray, radius: np.ndarray, k: int, factor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query its best (row, ids, products) here that can be within ``radius``, all queries walking together."""
+    def search(self, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, id, product) of the at most k best here for each query that reach its ``least``, all queries walking together.
+
+        A leaf is one matrix product in single precision that gives upper bounds, as each row carries the most that rounding
+        can take from a product with it; pairs whose bound reaches the query's k-th so far are summed in double precision and ranked.
+        """
         n = len(q_ids)
         best_p = np.full((n, k), -np.inf)
         best_i = np.full((n, k), np.iinfo(np.int64).max)
-        bound = radius.copy()
         qn = (q * q).sum(axis=1)
-        stack: list[tuple[int, np.ndarray, np.ndarray]] = [(0, np.arange(n), np.zeros(n))] if self.nodes and n else []
-        while stack:
+        far = EPS * (1 + np.sqrt(qn) + np.sqrt(self.m2))
+        width = q.shape[1] - 1
+        slack = 2 * np.finfo(np.float32).eps * (width + 8)
+        scale_q, scale_x = np.sqrt(np.maximum(qn, TINY)), np.sqrt(max(self.m2, TINY))
+        norm = np.sqrt(np.maximum((self.x[:, :-1] ** 2).sum(axis=1), TINY)) / scale_x
+        above = np.concatenate([self.x[:, :-1] / scale_x, slack * norm[:, None]], axis=1).astype(np.float32)
+        unit = np.concatenate([q[:, :-1] / scale_q[:, None], np.ones((n, 1))], axis=1).astype(np.float32)
+        twice = (2 * slack * norm).astype(np.float32)  # from an upper to a lower bound
+        pairs = max(1, TILE_BYTES // (8 * width))
+        floor = least.copy()
+
+        def reach(of: np.ndarray) -> np.ndarray:
+            """Distances beyond which nothing reaches the floors."""
+            return np.sqrt(np.maximum(qn[of] + self.m2 - 2 * floor[of], 0))
+
+        bound = reach(np.arange(n))
+        own_q, own_x = self._own(q_ids)
+        place = np.empty(n, np.int64)
+
+        def scan(node: list, who: np.ndarray) -> None:
+            start, end = node[1], node[1] + node[2]
+            x, ids = self.x[start:end], self.ids[start:end]
+            mine = slice(*np.searchsorted(own_x, [start, end]))
+            for one in range(0, len(who), LEAF_QUERIES):
+                some = who[one : one + LEAF_QUERIES]
+                rough = unit[some] @ above[start:end].T
+                if mine.start < mine.stop:
+                    place.fill(-1)
+                    place[some] = np.arange(len(some))
+                    row, col = place[own_q[mine]], own_x[mine] - start
+                    rough[row[row >= 0], col[row >= 0]] = -np.inf
+                enough = (floor[some] / scale_q[some] / scale_x - LEAST).astype(np.float32)
+                new = np.isneginf(enough)
+                if new.any() and len(x) > k:
+                    enough[new] = np.partition(rough[new] - twice[start:end], len(x) - k, axis=1)[:, len(x) - k]
+                i, j = np.divmod(np.flatnonzero(rough >= enough[:, None]), len(x))
+                fine = ~np.isneginf(rough[i, j])
+                i, j = i[fine], j[fine]
+                if len(i):
+                    cuts = range(0, len(i), pairs)
+                    p = np.concatenate([np.einsum("ij,ij->i", q[some[i[c : c + pairs]], :-1], x[j[c : c + pairs], :-1]) for c in cuts])  # the same sum for equal vectors wherever they stand
+                    self._merge(best_p, best_i, some, i, p, ids[j])
+                    hit = some[np.unique(i)]
+                    floor[hit] = np.maximum(floor[hit], best_p[hit, -1])
+                    bound[hit] = reach(hit)
+
+        def sides(node: list, who: np.ndarray) -> list[tuple[int, np.ndarray]]:
+            """The node's sides with the distance below which they hold nothing."""
+            d = np.linalg.norm(q[who] - node[1], axis=1)
+            return [(to, np.maximum(np.maximum(ring[0] - d, d - ring[1]), 0)) for ring, to in ((node[2], node[4]), (node[3], node[5]))]
+
+        home = np.full(n, -1)
+        down: list[tuple[int, np.ndarray]] = [(0, np.arange(n))] if self.nodes and n and k > 0 else []
+        while down:  # every query once, to the leaf that is nearest by the rings: a first floor
+            at, who = down.pop()
+            if self.nodes[at][0] == "leaf":
+                scan(self.nodes[at], who)
+                home[who] = at
+                continue
+            near, far_side = sides(self.nodes[at], who)
+            nearer = near[1] <= far_side[1]
+            down += [(to, who[m]) for to, m in ((near[0], nearer), (far_side[0], ~nearer)) if m.any()]
+        stack: list[tuple[int, np.ndarray, np.ndarray]] = [(0, np.arange(n), np.zeros(n))] if self.nodes and n and k > 0 else []
+        while stack:  # then every node once, with all queries that may find something in it
             at, who, low = stack.pop()
-            keep = low * factor <= bound[who] + EPS
-            who = who[keep]
+            keep = (low * factor <= bound[who] + far[who]) & (home[who] != at)
+            who, low = who[keep], low[keep]
             if not len(who):
                 continue
-            node = self.nodes[at]
-            if node[0] == "leaf":
-                rows = slice(node[1], node[1] + node[2])
-                rough = q[who] @ self.x[rows].T
-                rough[self.ids[rows][None, :] == q_ids[who][:, None]] = -np.inf
-                i, j = np.nonzero(rough >= best_p[who, -1][:, None] - EPS * (1 + np.abs(rough)))
-                fine = ~np.isneginf(rough[i, j])
-                i, j = i[fine], j[fine]
-                p = np.full(rough.shape, -np.inf)
-                p[i, j] = np.einsum("ij,ij->i", q[who][i, :-1], self.x[rows][j, :-1])  # the same sum for equal vectors wherever they stand
-                allp = np.concatenate([best_p[who], p], axis=1)
-                alli = np.concatenate([best_i[who], np.broadcast_to(self.ids[rows], p.shape)], axis=1)
-                alli = np.where(np.isneginf(allp), np.iinfo(np.int64).max, alli)
-                o = np.lexsort((alli, -allp), axis=1)[:, :k]
-                best_p[who], best_i[who] = np.take_along_axis(allp, o, 1), np.take_along_axis(alli, o, 1)
-                last = best_p[who, -1]
-                full = ~np.isneginf(last)
-                b = np.sqrt(np.maximum(qn[who] + self.m2 - 2 * last, 0), where=full, out=np.full(len(who), np.inf))
-                bound[who] = np.minimum(bound[who], np.where(full, b * (1 + 1e-12) + EPS, np.inf))
+            if self.nodes[at][0] == "leaf":
+                scan(self.nodes[at], who)
                 continue
-            d = np.linalg.norm(q[who] - node[1], axis=1)
-            sides = [(node[4], np.maximum(np.maximum(node[2][0] - d, d - node[2][1]), 0)), (node[5], np.maximum(np.maximum(node[3][0] - d, d - node[3][1]), 0))]
-            nearer = sides[0][1] <= sides[1][1]
-            for mask, (first, second) in ((nearer, (0, 1)), (~nearer, (1, 0))):
-                if mask.any():
-                    stack.append((sides[second][0], who[mask], sides[second][1][mask]))
-                    stack.append((sides[first][0], who[mask], sides[first][1][mask]))
-        for j in range(n):
-            found = ~np.isneginf(best_p[j])
-            if found.any():
-                yield j, best_i[j][found], best_p[j][found]
+            stack += [(to, who, np.maximum(low, x)) for to, x in sorted(sides(self.nodes[at], who), key=lambda side: -side[1].mean())]
+        i, j = np.nonzero((best_p >= least[:, None]) & ~np.isneginf(best_p))
+        return i, best_i[i, j], best_p[i, j]
+
+    def _own(self, q_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query row, row here) of equal ids, ordered by the row here."""
+        order = np.argsort(self.ids, kind="stable")
+        first, last = (np.searchsorted(self.ids[order], q_ids, side) for side in ("left", "right"))
+        n = last - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        q, x = np.repeat(np.arange(len(q_ids)), n), order[at]
+        by = np.argsort(x, kind="stable")
+        return q[by], x[by]
+
+    @staticmethod
+    def _merge(best_p: np.ndarray, best_i: np.ndarray, some: np.ndarray, i: np.ndarray, p: np.ndarray, ids: np.ndarray) -> None:
+        """Candidates (place in ``some``, ascending; product; id) go into the ranked rows of their queries."""
+        k = best_p.shape[1]
+        held, n = np.unique(i, return_counts=True)
+        row = np.repeat(np.arange(len(held)), n)
+        col = k + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        allp = np.full((len(held), k + n.max()), -np.inf)
+        alli = np.full(allp.shape, np.iinfo(np.int64).max)
+        allp[:, :k], alli[:, :k] = best_p[some[held]], best_i[some[held]]
+        allp[row, col], alli[row, col] = p, ids
+        o = np.lexsort((alli, -allp), axis=1)[:, :k]
+        best_p[some[held]], best_i[some[held]] = np.take_along_axis(allp, o, 1), np.take_along_axis(alli, o, 1)
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -136,10 +208,17 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def build(points: DataFrame, pivots: int = PIVOTS, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, np.ndarray, float]:
+def tile_rows(width: int) -> int:
+    """Vectors of ``width`` components in a shard or in a block of queries."""
+    return max(1, TILE_BYTES // (8 * (width + 1)))
+
+
+def build(points: DataFrame, pivots: int = PIVOTS, shard_rows: int | None = None) -> tuple[DataFrame, np.ndarray, float]:
     """(index table: shard, pivot, low, high, n, tree), pivots and M^2 of the valid points (id, v)."""
-    m2 = points.agg(F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)"))).first()[0] or 0.0
-    m2 *= 1 + 1e-12
+    m2, n, width = points.agg(F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")), F.count(F.lit(1)), F.max(F.size("v"))).first()
+    m2 = (m2 or 0.0) * (1 + 1e-12)
+    shard_rows = shard_rows or tile_rows(width or 1)
+    pivots = max(1, min(pivots, -(-n // shard_rows)))  # no more than shards are needed: each tree a query meets costs a row of it and its hits
     chosen = points.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     base = np.array([r["v"] for r in chosen])
 
@@ -172,7 +251,7 @@ def build(points: DataFrame, pivots: int = PIVOTS, shard_rows: int = SHARD_ROWS)
     return materialize(index, "vp-index"), centres, m2
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows of ``vectors`` found for each row of ``queries`` but those of its id."""
     points, asked = valid(vectors, id_col, vec_col), valid(queries, id_col, vec_col)
     index, centres, m2 = build(points, pivots, shard_rows)
@@ -180,9 +259,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     shard = np.array([r[0] for r in directory], np.int64)
     owner = np.array([r[1] for r in directory], np.int64)
     low, high = np.array([r[2] for r in directory], float), np.array([r[3] for r in directory], float)
+    block_rows = shard_rows or tile_rows(max(1, centres.shape[1] - 1))
 
     def route(second: bool):
-        """Rows (shard, id, v, radius) of the shards a query needs: in the first round those of its nearest pivot."""
+        """Rows (shard, id, v, least) of the shards a query needs, ``least`` being its k-th product so far: in the first round those of its nearest pivot."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -192,14 +272,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
                 d = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (centres * centres).sum(axis=1) - 2 * q @ centres.T, 0))
                 home = np.where(np.isin(np.arange(len(centres)), owner), d, np.inf).argmin(axis=1)
                 mine = owner[None, :] == home[:, None]
-                radius = np.full(b.num_rows, np.inf)
+                least = np.full(b.num_rows, -np.inf)
                 if second:
-                    radius = b.column(2).to_numpy(zero_copy_only=False)
+                    least = b.column(2).to_numpy(zero_copy_only=False)
+                    qn = (q * q).sum(axis=1)
+                    radius = np.sqrt(np.maximum(qn + m2 - 2 * least, 0))
                     dp = d[:, owner]
-                    mine = ~mine & (np.maximum(np.maximum(low - dp, dp - high), 0) * factor <= radius[:, None] + 1e-6)
+                    mine = ~mine & (np.maximum(np.maximum(low - dp, dp - high), 0) * factor <= (radius + 1e-6 * (1 + np.sqrt(qn) + np.sqrt(m2)))[:, None])
                 i, j = np.nonzero(mine)
                 take = pa.array(i)
-                yield pa.RecordBatch.from_arrays([pa.array(shard[j]), b.column(0).take(take), b.column(1).take(take), pa.array(radius[i])], names=["shard", "id", "v", "radius"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[j]), b.column(0).take(take), b.column(1).take(take), pa.array(least[i])], names=["shard", "id", "v", "least"])
 
         return run
 
@@ -210,16 +292,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
             if left.num_rows:
                 q = np.concatenate([_matrix(left["v"].combine_chunks()), np.zeros((left.num_rows, 1))], axis=1)
                 ids = left["id"].to_numpy()
-                for j, i, p in tree.search(ids, q, left["radius"].to_numpy(), k, factor):
-                    out_q.append(np.full(len(i), ids[j]))
-                    out_i.append(i)
-                    out_p.append(p)
+                j, i, p = tree.search(ids, q, left["least"].to_numpy(), k, factor)
+                out_q.append(ids[j])
+                out_i.append(i)
+                out_p.append(p)
         join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
         return pa.table({"query_id": join(out_q, pa.int64()), "id": join(out_i, pa.int64()), "score": join(out_p, pa.float64())})
 
     def searched(routed: DataFrame, label: str) -> DataFrame:
         """Queries in blocks against the trees they need; a shard's tree goes to each of its blocks."""
-        counts = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
+        counts = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
         counts, again = (materialize(counts, "query-blocks") for _ in range(2))  # two relations, as both sides of the cogroup use it
         trees = index.select("shard", "tree").join(again, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = routed.join(counts, "shard").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
@@ -228,12 +310,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
 
     asked = materialize(asked, "queries")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    routed = materialize(asked.mapInArrow(route(False), "shard bigint, id bigint, v array<double>, radius double"), "routed")
+    routed = materialize(asked.mapInArrow(route(False), "shard bigint, id bigint, v array<double>, least double"), "routed")
     first = searched(routed, "first-round")
     kth = first.withColumn("r", F.row_number().over(rank)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth")).distinct()
-    norm = F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")
-    bounded = asked.join(kth, "id", "left").select("id", "v", F.when(F.col("kth").isNull(), F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(norm + m2 - 2 * F.col("kth"), F.lit(0.0)))).alias("radius"))
-    second = materialize(bounded.mapInArrow(route(True), "shard bigint, id bigint, v array<double>, radius double"), "routed")
+    bounded = asked.join(kth, "id", "left").select("id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("least"))
+    second = materialize(bounded.mapInArrow(route(True), "shard bigint, id bigint, v array<double>, least double"), "routed")
     hits = first.unionByName(searched(second, "second-round"))
     ranked = hits.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
