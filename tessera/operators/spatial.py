@@ -315,7 +315,8 @@ def range_summary(ranges: DataFrame, footprints: DataFrame, zoom, box: str = "bb
     """``tile_summary`` of all tiles of the ranges.
 
     Counts are plain sums. The members come from a second pass over the pairs, ranked by value, which Spark limits to four a
-    tile and task before the shuffle; both are partitioned by tile and join where they are.
+    tile and task before the shuffle; both are partitioned by tile and join where they are. The join is a stated merge: the
+    planner takes the tiles that footprints open for as small as the footprints and would broadcast the lists.
     """
     pairs = range_footprint_join(ranges, footprints, zoom, box, on, ring, rng)
     inside = _inside(box, ring)
@@ -326,7 +327,7 @@ def range_summary(ranges: DataFrame, footprints: DataFrame, zoom, box: str = "bb
         .withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= MAX_READABLE_HITS)
         .groupBy(*keys).agg(F.array_sort(F.collect_list("member")).alias("members"))
     )
-    hits = _count_hits(None, pairs, inside, on).join(lists, keys, "left")
+    hits = _count_hits(None, pairs, inside, on).hint("merge").join(lists, keys, "left")
     return with_empty_tiles(_with_coverage(hits, on, ring), ranges, zoom, on, rng, **NO_HITS)
 
 

@@ -367,3 +367,32 @@ def test_native_classes_of_a_range_reproject_tiles_near_footprints_only(spark):
     stats = spatial.class_stats(spatial.classify_range_native(ranges, far, 17, "native_bbox", "bbox", crs)).first()
     assert stats["tiles"] == (r["x_max"] - r["x_min"] + 1) * (r["y_max"] - r["y_min"] + 1) > 30_000_000
     assert 20 < stats["tiles"] - stats["empty"] < 500
+
+
+def part_table(spark, folder):
+    """Footprints side by side, some of them two and six times, and the tables' SQL over them."""
+    import duckdb
+
+    keys = [*range(300), *range(60, 70), *(k for k in range(120, 126) for _ in range(5))]
+    spark.createDataFrame([(k, "box") for k in keys], "p_partkey long, p_type string").coalesce(1).write.parquet(f"{folder}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{folder}/part.parquet/*.parquet')")
+    return con
+
+
+def holds_without_broadcast(df, con, sql):
+    """The SQL's rows, and no join that the driver would have to hold a side of, neither planned nor taken up at run time."""
+    from compare import compare
+
+    n, _, problem = compare(df, con, sql)
+    assert n and problem is None, problem
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_class_stats_broadcasts_no_tiles(spark, tmp_path):
+    from tessera.checks.spatial import QUERIES
+
+    query, sql = QUERIES["class_stats"]
+    con = part_table(spark, tmp_path)
+    holds_without_broadcast(query(spark, str(tmp_path)), con, sql)
