@@ -404,3 +404,11 @@ def test_classify_tiles_broadcasts_no_tiles(spark, tmp_path):
     query, sql = QUERIES["classify_tiles"]
     con = part_table(spark, tmp_path)
     holds_without_broadcast(query(spark, str(tmp_path)), con, sql)
+
+
+def test_usable_tiles_broadcasts_no_tiles(spark, tmp_path):
+    from tessera.checks.spatial import QUERIES
+
+    query, sql = QUERIES["usable_tiles"]
+    con = part_table(spark, tmp_path)
+    holds_without_broadcast(query(spark, str(tmp_path)), con, sql)
