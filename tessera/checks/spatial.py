@@ -244,7 +244,8 @@ def classify_tiles_native(spark, sf):
 
 def class_stats(spark, sf):
     fp = footprints(spark, sf)
-    parts = [tile_report.area_report(fp, z).withColumn("zoom", F.lit(z)) for z in (14, 15, 16, 17)]
+    # One zoom after the other: as one query the driver holds the stages of all four and plans them anew after each.
+    parts = [materialize(tile_report.area_report(fp, z).withColumn("zoom", F.lit(z)), f"class-stats-{z}") for z in (14, 15, 16, 17)]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 

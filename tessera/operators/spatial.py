@@ -145,7 +145,8 @@ def _range_tiles(placed: DataFrame, ranges: DataFrame, zoom, on: tuple[str, ...]
     if on:
         within = placed.join(ranges.select(*on, F.col(rng).alias("__r")), list(on))
     else:
-        within = placed.withColumn("__r", ranges.select(rng).scalar())
+        # Behind ``inline`` the range is one subquery; as a plain column each use of it would be a copy with a plan of its own.
+        within = placed.select("*", F.inline(F.array(F.struct(ranges.select(rng).scalar().alias("__r")))))
     clipped = within.withColumns(
         {
             "__x0": F.expr("greatest(__x0, CAST(__r.x_min AS BIGINT))"), "__x1": F.expr("least(__x1, CAST(__r.x_max AS BIGINT))"),

@@ -391,11 +391,18 @@ def holds_without_broadcast(df, con, sql):
 
 
 def test_class_stats_broadcasts_no_tiles(spark, tmp_path):
+    from compare import compare
+    from tessera.checks.common import footprints
     from tessera.checks.spatial import QUERIES
+    from tessera.plans import tile_report
 
     query, sql = QUERIES["class_stats"]
     con = part_table(spark, tmp_path)
-    holds_without_broadcast(query(spark, str(tmp_path)), con, sql)
+    assert compare(query(spark, str(tmp_path)), con, sql) == (4, 4, None)
+    one = tile_report.area_report(footprints(spark, str(tmp_path)), 16).withColumn("zoom", F.lit(16))
+    holds_without_broadcast(one, con, f"SELECT * FROM ({sql}) WHERE zoom = 16")
+    # one for the count and one for the members, each planned and run: the range is not copied to where it is used
+    assert one._jdf.queryExecution().executedPlan().toString().count("Subquery subquery#") <= 8
 
 
 def test_classify_tiles_broadcasts_no_tiles(spark, tmp_path):
